@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .bpe import bpe
 from .common import text_of
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .sstable import tokens_to_shards
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +27,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(text_of(), 256)})
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL = {"op10_exact_dedup": sql.EXACT_DEDUP}
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe(table(spark, sf_dir, "documents"), tokenizer(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_to_shards(table(spark, sf_dir, "documents"), tokenizer())[1]
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_token_shards": op3_token_shards,
+    "op5_decontaminate": op5_decontaminate,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE_SQL = {"op5_decontaminate": sql.DECONTAMINATE, "op10_exact_dedup": sql.EXACT_DEDUP}
