@@ -10,6 +10,7 @@ from .bpe import bpe
 from .common import text_of
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .sstable import tokens_to_shards
 
 
@@ -39,10 +40,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_token_shards": op3_token_shards,
     "op5_decontaminate": op5_decontaminate,
+    "op6_near_duplicates": op6_near_duplicates,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {"op5_decontaminate": sql.DECONTAMINATE, "op10_exact_dedup": sql.EXACT_DEDUP}
