@@ -10,7 +10,9 @@ from .bpe import bpe
 from .common import text_of
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .langid import identify
 from .minhash import near_duplicates
+from .quality import quality
 from .sstable import tokens_to_shards
 
 
@@ -44,7 +46,17 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_language": op2_language,
+    "op7_quality": op7_quality,
     "op1_bpe": op1_bpe,
     "op3_token_shards": op3_token_shards,
     "op5_decontaminate": op5_decontaminate,
