@@ -11,9 +11,12 @@ from .common import text_of
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import identify
+from .line_dedup import line_dedup
 from .minhash import near_duplicates
+from .pii import find as find_pii
 from .quality import quality
 from .sstable import tokens_to_shards
+from .warc import archive
 
 
 def tokenizer() -> str:
@@ -54,7 +57,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2(text_of(), 256).alias("text_sha256"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op9_warc": op9_warc,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_pii": op8_pii,
     "op2_language": op2_language,
     "op7_quality": op7_quality,
     "op1_bpe": op1_bpe,
@@ -63,4 +82,4 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL = {"op5_decontaminate": sql.DECONTAMINATE, "op10_exact_dedup": sql.EXACT_DEDUP}
+ORACLE_SQL = {"op4_line_dedup": sql.LINE_DEDUP, "op5_decontaminate": sql.DECONTAMINATE, "op10_exact_dedup": sql.EXACT_DEDUP}

@@ -19,3 +19,17 @@ found AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items, sha256(coalesce(found.items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, array_to_string(l[i + 1 : i + 3], chr(10)) AS k FROM (SELECT *, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
+v AS (SELECT * FROM w WHERE regexp_matches(k, '[^ \t\n\x0b\f\r]')),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM v) WHERE n > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM later),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM covered) GROUP BY doc_id, g),
+r AS (SELECT doc_id, sum(e - s)::BIGINT AS n, string_agg(s || ':' || e, ',' ORDER BY s) AS removed FROM spans GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM lines ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(l), 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed, sha256(coalesce(kept.t, '')) AS text_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
