@@ -265,7 +265,7 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
                 for k in outputs:
                     out[k].append(
                         ids.count(" ") + 1 if k == "n_tokens" and ids else 0 if k == "n_tokens" else
-                        np.array(ids.split(), np.int32) if k == "ids" else sha(ids) if k == "ids_sha256" else decoded if k == "decoded" else sha(decoded)
+                        (np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)) if k == "ids" else sha(ids) if k == "ids_sha256" else decoded if k == "decoded" else sha(decoded)
                     )
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], OUTPUTS[k]) for k in outputs]], ["doc_id", *outputs])
 
