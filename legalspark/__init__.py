@@ -1,0 +1 @@
+"""Batch and streaming jobs for legal text corpora on Spark."""
