@@ -39,3 +39,24 @@ def test_a_very_long_word():
     word, began = "thequickbrown" * 4000, time.time()
     assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
     assert time.time() - began < 60
+
+
+def test_whole_table(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from legalspark.llm.bpe import bpe, decode
+
+    rows = [(k, t) for k, t in enumerate(texts()[:60])] + [(900, None), (None, "no identifier"), (0, "again"), (0, "again")]
+    got = bpe(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, ids int"), PATH, ("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256")).collect()
+    library = Tokenizer.from_file(PATH)
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), ids, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), text, hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    again = decode(spark.createDataFrame([(r["doc_id"], r["ids"]) for r in got] + [(901, None)], "doc_id long, ids array<int>"), PATH).where(F.col("doc_id") == 901)
+    assert again.first()["text"] == ""
+    assert bpe(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
