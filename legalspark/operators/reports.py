@@ -83,7 +83,7 @@ def mean_recall(per_query: DataFrame) -> DataFrame:
 def answer_accuracy(preds: DataFrame) -> DataFrame:
     """questions, correct, failed, accuracy: a label is right if it is the expected one and generation did not fail."""
     right = (F.lower(text("predicted_label")) == F.lower(text("expected_answer"))) & ~F.coalesce("generation_failed", F.lit(False))
-    return preds.agg(F.count("*").alias("questions"), F.count_if(right).alias("correct"), F.count_if(F.coalesce("generation_failed", F.lit(False))).alias("failed")).withColumn("accuracy", F.col("correct") / F.col("questions"))
+    return preds.agg(F.count("*").alias("questions"), F.count_if(right).alias("correct"), F.count_if(F.coalesce("generation_failed", F.lit(False))).alias("failed")).withColumn("accuracy", F.try_divide("correct", "questions"))
 
 
 def union_courts(*courts: DataFrame) -> DataFrame:

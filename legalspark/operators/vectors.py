@@ -122,10 +122,10 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id:
 
 
 def _cosine(a: str, b: str):
-    """Cosine of two array columns, in double, with built-in functions."""
+    """Cosine of two array columns, in double, with built-in functions; null for a zero vector."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(d(a), d(b)) / F.sqrt(dot(d(a), d(a)) * dot(d(b), d(b)))
+    return F.try_divide(dot(d(a), d(b)), F.sqrt(dot(d(a), d(a)) * dot(d(b), d(b))))
 
 
 def relevant_clauses(articles: DataFrame, clauses: DataFrame, subclauses: DataFrame, queries: DataFrame, n: int = 3, encoder: Callable = hashing_encoder) -> DataFrame:

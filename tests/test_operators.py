@@ -361,4 +361,4 @@ def test_evaluation(spark):
     got = spark.createDataFrame([(1, " 20 ", 1), (1, "21", 2), (1, "9", 11), (3, "5", 1)], "query_id int, section string, rank int")
     assert rows(reports.recall_at_k(got, gold), "query_id", "recall") == [(1, 2 / 3), (2, 1.0), (3, 1.0)]
     preds = spark.createDataFrame([("yes", "Yes", False), ("no", "yes", False), ("yes", "yes", True)], "predicted_label string, expected_answer string, generation_failed boolean")
-    assert reports.answer_accuracy(preds).first()["correct"] == 1
+    assert reports.answer_accuracy(preds).first()["correct"] == 1 and reports.answer_accuracy(preds.limit(0)).first()["accuracy"] is None
