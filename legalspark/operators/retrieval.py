@@ -44,7 +44,8 @@ def keyword_search(queries: DataFrame, corpus: DataFrame, columns: Sequence[str]
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = rows.select("id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = wanted.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # counting by both columns keeps the exchange of the postings as it is, so that Spark makes it once and reads it twice
+    df = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("length") > 0)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("w"))  # stats: one row
