@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import datasets, retrieval, scorers, structure, vectors
 from ..sources import html, tables
+from ..streaming import cases as stream
 from ..streaming import history
 from . import testdata as t
 from .registry import query
@@ -26,6 +27,46 @@ def _folder(spark: SparkSession) -> str:
 # --- files and streams ---
 
 
+def _one_per_file(df, path: str) -> str:
+    """A JSON document in each file, as statutes and listings come."""
+    df.write.option("maxRecordsPerFile", 1).json(path)
+    return path
+
+
+def _listings(spark: SparkSession, d: str) -> str:
+    """The cases as listing files of up to 500 records."""
+    c = t.cases(spark, d)
+    record = F.struct(F.col("citation").alias("lhc_citation"), F.concat(F.lit(" "), "title", F.lit(" on cyber crime")).alias("case_title"), F.col("date").alias("date_of_judgment"), F.col("court"), F.col("status").alias("winner"))
+    return _one_per_file(c.groupBy(F.floor(F.col("id") / 500).alias("file")).agg(F.collect_list(record).alias("judgments")).drop("file"), _folder(spark))
+
+
+@query("SELECT p_brand || ':Article:' || p_partkey AS id, p_brand AS document_title, CAST(p_partkey AS VARCHAR) AS article_number, p_name AS title, p_size AS page_number FROM part")
+def s1_read_statutes(spark, d):
+    """The parts of a brand as the sections of a statute file."""
+    section = F.struct(F.col("p_partkey").cast("string").alias("section_number"), F.col("p_name").alias("title"), F.col("p_size").alias("page_number"))
+    documents = table(spark, d, "part").groupBy(F.col("p_brand").alias("title")).agg(F.collect_list(section).alias("sections")).select(F.struct("title", "sections").alias("document"))
+    got = structure.normalise_articles(tables.read_statutes(spark, _one_per_file(documents, _folder(spark))))
+    return got.select("id", "document_title", "article_number", "title", "page_number")
+
+
+_LISTED = with_views("cases") + " SELECT citation AS id, title || ' on cyber crime' AS title, date, court, status AS winner FROM cases"
+
+
+@query(_LISTED)
+def s3_read_cases(spark, d):
+    raw = tables.read_cases(spark, _listings(spark, d))
+    one = structure.normalise_case(raw, "Lahore High Court").select("id", "title", "date", "winner")
+    return one.join(raw.select(F.col("lhc_citation").alias("id"), "court"), "id")
+
+
+@query(with_views("cases") + " SELECT citation AS id, title || ' on cyber crime' AS title, date, status AS winner FROM cases")
+def t1_stream_cases(spark, d):
+    """The listing files as a stream: classified, normalised, upserted."""
+    out = _folder(spark)
+    stream.stream_cases(spark, _listings(spark, d), out, _folder(spark)).awaitTermination()
+    return stream.read_stream_table(spark, out).select("id", "title", "date", "winner")
+
+
 @query("SELECT o_orderkey, o_orderpriority FROM orders")
 def s10_write_table(spark, d):
     path = _folder(spark)
