@@ -68,24 +68,37 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int = 1 << 26):
-    """A function Column -> Column: false only for 64-bit keys that are not among keys.
+class BitFilter:
+    """Which 64-bit keys may be among a set of keys; a Bloom filter with two probes.
 
-    A Bloom filter with two probes. Its bitmaps are gathered by Spark's own bitmap aggregate, so what
-    reaches the driver and the workers is at most bits / 8 bytes, whatever the number of keys; with
-    more keys it only lets more rows through, which later exact steps remove.
+    Its bitmaps are gathered by Spark's own bitmap aggregate, so what reaches the driver and the workers is at most
+    bits / 8 bytes, whatever the number of keys; with more keys it only lets more rows through, which later exact steps
+    remove.
     """
-    probe = lambda c, i: F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) + 1  # noqa: E731  bitmap positions start at 1
-    places = keys.select(F.explode(F.array(probe(F.col(key), 0), probe(F.col(key), 1))).alias("p"))
-    maps = places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    table = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():
-        table[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["m"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def known(first: pd.Series, second: pd.Series) -> pd.Series:
-        bit = lambda p: shared.value[p >> 3] >> (p & 7) & 1
-        return pd.Series((bit(first.to_numpy() - 1) & bit(second.to_numpy() - 1)).astype(bool))
-
-    return lambda c: known(probe(c, 0), probe(c, 1))
+
+    def __init__(self, keys: DataFrame, key: str, bits: int = 1 << 26):
+        self.bits = bits
+        places = keys.select(F.explode(F.array(*self.probes(F.col(key)))).alias("p"))
+        maps = places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        table = np.zeros(bits // 8, np.uint8)
+        for row in maps.toLocalIterator():
+            table[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["m"], np.uint8)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def probes(self, c: Column) -> list[Column]:
+        """Two places for a key; those of bitmap functions start at 1."""
+        return [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(self.bits)) + 1 for i in (0, 1)]
+
+    def holds(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """For places of keys, inside a task."""
+        bit = lambda p: self.table.value[p >> 3] >> (p & 7) & 1
+        return (bit(first - 1) & bit(second - 1)).astype(bool)
+
+    def column(self, c: Column) -> Column:
+        """The same as a boolean column. Only the places go to Python."""
+
+        @F.pandas_udf("boolean")
+        def known(first: pd.Series, second: pd.Series) -> pd.Series:
+            return pd.Series(self.holds(first.to_numpy(), second.to_numpy()))
+
+        return known(*self.probes(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bit_filter, materialise, text_of
+from .common import BitFilter, attach, materialise, text_of
 
 #: Characters of the prefix that the second level hashes.
 PREFIX = 128
@@ -31,10 +31,10 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None) -> Data
     lengths = rows.groupBy("length").count().where("count > 1").select("length", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "prefix"), F.lit(SALTS)).cast("int"))
     alike = salted.join(lengths, ["length", "salt"], "left_semi").groupBy("length", "prefix").count().where("count > 1")
-    maybe = bit_filter(alike.select(F.xxhash64("length", "prefix").alias("pair")), "pair")
+    maybe = BitFilter(alike.select(F.xxhash64("length", "prefix").alias("pair")), "pair")
 
     again = docs.select("doc_id", *pair, text.alias("text"), *[c.alias(f"carry_{n}") for n, c in (carry or {}).items()])
-    full = F.when(maybe(F.xxhash64("length", "prefix")), F.unhex(F.sha2("text", 256)))
+    full = F.when(maybe.column(F.xxhash64("length", "prefix")), F.unhex(F.sha2("text", 256)))
     hashed = materialise(again.select("doc_id", full.alias("full"), *[f"carry_{n}" for n in carry or {}]))
     groups = materialise(hashed.where("full is not null").groupBy("full").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     found = attach(hashed.where("full is not null"), groups, "full", "group_size", hashed.count())

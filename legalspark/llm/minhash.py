@@ -4,7 +4,8 @@
    Documents with equal sets are one class, and only its smallest doc_id goes on.
 2. Classes that share a band key are candidates. Pairs within a bucket are not listed: first each member meets
    only the bucket's smallest member. After the components of these links are known, buckets that still hold
-   several components have their pairs across components compared inside the task, in blocks.
+   several components have their pairs across components compared inside tasks, in blocks; of these pairs only links
+   that join components leave a task.
 3. A candidate's sketches are compared batch by batch; once the posterior probability that the similarity reaches the
    threshold, given the matches so far, falls below MISS, it is dropped. Survivors are confirmed on full sets.
 4. Connected components of the confirmed links give each document its component.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bit_filter, bounded_batches, drop_ids, materialise, text_of
+from .common import BitFilter, attach, bounded_batches, drop_ids, materialise, text_of
 from .components import connected_components
 
 #: Words in a shingle; MinHashes; those of them kept in the sketch; sizes at which the posterior is looked at.
@@ -29,7 +30,7 @@ SHINGLE, HASHES, SKETCH, LOOKS = 5, 192, 128, (16, 32, 64, 96, 128)
 #: Probability of missing a pair at the threshold, for the banding and for each look at the sketch.
 MISS = 1e-6
 #: Members of a bucket that meet in one task, and bytes of text hashed at once.
-BLOCK, CHUNK = 1024, 1 << 20
+BLOCK, CHUNK = 1024, 1 << 19
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
@@ -172,6 +173,25 @@ def plausible(left: np.ndarray, right: np.ndarray, looks: list[tuple[int, int]])
     return live
 
 
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, set (bytes of the sorted hashes) of the documents in wanted (a column id), and perhaps of a few more.
+
+    A filter of bounded size picks the documents in the scan, so that texts are not shuffled.
+    """
+    chosen = BitFilter(wanted, "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"), *[p.alias(f"p{k}") for k, p in enumerate(chosen.probes(F.col("doc_id").cast("long")))]).where("id is not null")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = np.flatnonzero(chosen.holds(batch.column("p0").to_numpy(), batch.column("p1").to_numpy()))
+            batch, at = batch.select(["id", "text"]).take(pa.array(known)), 0
+            for texts in groups_of(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "set"])
+                at += len(texts)
+
+    return materialise(rows.mapInArrow(run, "id long, set binary"))
+
+
 def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     looks = least_matches(percent / 100)
@@ -184,25 +204,13 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: in
             yield batch.select(["a", "b"]).take(pa.array(plausible(left, right, looks)))
 
     survivors = materialise(sized.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"))
-    wanted = survivors.select(F.col("a").alias("id")).union(survivors.select("b"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).where("id is not null")
-
-    def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for texts in groups_of(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "set"])
-                at += len(texts)
-
-    sets = materialise(rows.where(bit_filter(wanted, "id")(F.col("id"))).mapInArrow(full, "id long, set binary"))
+    sets = _full_sets(docs, survivors.select(F.col("a").alias("id")).union(survivors.select("b")))
 
     def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if linked(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]:
                     good.append(k)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
@@ -210,55 +218,97 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: in
     return materialise(survivors.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
 
 
-def _across(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of members of a bucket that are in different components.
-
-    A bucket is cut into blocks of about BLOCK members by the hash of their ids, and each pair of blocks meets in one
-    task; pairs are compared there as arrays, and only plausible ones leave it.
-    """
-    looks = least_matches(percent / 100)
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    rows = dealt.join(signed.select(F.col("doc_id").alias("id"), "sketch", "n_shingles"), "id")
-
-    def pairs(block: pd.DataFrame) -> list[tuple[int, int]]:
-        block = block.sort_values("id").drop_duplicates("id")
-        i, j = block["i"].iloc[0], block["j"].iloc[0]
-        ids, comp, own, size = (block[c].to_numpy() for c in ("id", "component", "own", "n_shingles"))
-        sketch, out = np.frombuffer(b"".join(block["sketch"]), np.uint8).reshape(-1, SKETCH), []
-        for k in range(len(ids)):
-            if i == j:
-                rest = np.arange(k + 1, len(ids))
-            elif own[k] == i:
-                rest = np.flatnonzero(own == j)
+def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether 100 * intersection >= percent * union, for a sorted set with each of others."""
+    size = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    both = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(size)[:-1])))
+    return 100 * both >= percent * (len(one) + size - both)
+
+
+class Block:
+    """Members of one bucket, or of two of its parts i < j, that meet in a task: rows of id, component, own, n_shingles."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        self.rows = rows.sort_values("id").drop_duplicates("id")
+        self.percent, self.looks = percent, least_matches(percent / 100)
+        self.i, self.j = self.rows["i"].iloc[0], self.rows["j"].iloc[0]
+        self.ids, self.own, self.size = (self.rows[c].to_numpy() for c in ("id", "own", "n_shingles"))
+        self.label = self.rows["component"].to_numpy().copy()
+        self.sketch = np.frombuffer(b"".join(self.rows["sketch"]), np.uint8).reshape(-1, SKETCH)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the later ones in other components that stay plausible; labels may change between steps."""
+        for k in range(len(self.ids)):
+            if self.i == self.j:
+                rest = np.arange(k + 1, len(self.ids))
+            elif self.own[k] == self.i:
+                rest = np.flatnonzero(self.own == self.j)
             else:
                 continue
-            rest = rest[(comp[rest] != comp[k]) & (100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k]))]
+            rest = rest[(self.label[rest] != self.label[k]) & (100 * np.minimum(self.size[rest], self.size[k]) >= self.percent * np.maximum(self.size[rest], self.size[k]))]
             if len(rest):
-                found = rest[plausible(np.broadcast_to(sketch[k], (len(rest), SKETCH)), sketch[rest], looks)]
-                out += [(max(ids[k], x), min(ids[k], x)) for x in ids[found]]
-        return out
+                rest = rest[plausible(np.broadcast_to(self.sketch[k], (len(rest), SKETCH)), self.sketch[rest], self.looks)]
+                if len(rest):
+                    yield k, rest
+
+    def met(self) -> pd.DataFrame:
+        """The members that have a partner."""
+        seen = np.zeros(len(self.ids), bool)
+        for k, rest in self.partners():
+            seen[k] = seen[rest] = True
+        return self.rows[seen]
+
+    def joins(self) -> pd.DataFrame:
+        """Confirmed links (a, b) that join components of this block, fewer than its members."""
+        sets, out = [np.frombuffer(s, np.uint64) for s in self.rows["set"]], []
+        for k, rest in self.partners():
+            for x in rest[linked(sets[k], [sets[x] for x in rest], self.percent)]:
+                if self.label[x] != self.label[k]:
+                    out.append((max(self.ids[k], self.ids[x]), min(self.ids[k], self.ids[x])))
+                    self.label[self.label == self.label[x]] = self.label[k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _in_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work (rows of one key, i, j as pandas -> pandas) on each block; a partition's blocks pass one after the other."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-        key = None
+        held, key = [], None
+        done = lambda: pa.RecordBatch.from_pandas(work(pd.concat(held))[arrow.names], arrow, preserve_index=False)
         for batch in batches:
             for k, block in batch.to_pandas().groupby(["key", "i", "j"], sort=False):
                 if k != key and held:
-                    yield _links(pairs(pd.concat(held) if len(held) > 1 else held[0]))
+                    yield done()
                     held = []
                 key = k
                 held.append(block)
         if held:
-            yield _links(pairs(pd.concat(held) if len(held) > 1 else held[0]))
+            yield done()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
+def _across(buckets: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within buckets (key, id, component, n).
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    A bucket is cut into parts of about BLOCK members by the hash of their ids, and each pair of parts meets in one task.
+    First the sketches tell which members have a plausible partner in another component; only these meet again, with
+    their full sets, and a task reports no more links than it has members, since a link within a component adds nothing.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    rows = dealt.join(signed.select(F.col("doc_id").alias("id"), "sketch", "n_shingles").dropDuplicates(["id"]), "id")
+    members = "key long, i int, j int, own int, id long, component long, n_shingles long, sketch binary"
+    near = materialise(_in_blocks(rows, lambda block: Block(block, percent).met(), members))
+    sets = _full_sets(docs, near.select("id"))
+    return materialise(_in_blocks(near.join(sets.dropDuplicates(["id"]), "id"), lambda block: Block(block, percent).joins(), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -284,10 +334,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     placed = shared.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = materialise(_across(materialise(placed.join(materialise(mixed), "key", "left_semi")), signed, percent).distinct())
+    more = _across(materialise(placed.join(materialise(mixed), "key", "left_semi")), signed, docs, percent)
     if not more.isEmpty():
-        links = links.union(_confirmed(more, signed, docs, percent))
-        found = connected_components(links)
+        found = connected_components(links.union(more))
 
     settled = materialise(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("members", "size", F.coalesce("component", "rep").alias("component_id")))
     grouped = attach(usable.select("members", "doc_id", "n_shingles"), settled, "members", "size", total).select("doc_id", "n_shingles", "component_id")
