@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
@@ -68,6 +68,20 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def hashed_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The n rows of each value of `by` with the smallest hashes of key (all, if there are fewer).
+
+    Values are counted first, and rows whose hash is far from the smallest go in the scan, so that about 4 n rows of a
+    value meet in one task, however many it has.
+    """
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    counts = materialise(rows.groupBy(by).agg(F.count("*").alias("own_count")))
+    near = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, by)
+    near = near.where(hashed < F.least(F.lit(1.0), F.lit(4.0 * n) / F.col("own_count")) * (1 << 31)).drop("own_count")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(hashed, key))
+    return near.withColumn("own_place", place).where(F.col("own_place") <= n).drop("own_place")
+
+
 class BitFilter:
     """Which 64-bit keys may be among a set of keys; a Bloom filter with two probes.
 

@@ -11,10 +11,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, hashed_sample, materialise, text_of
 
 #: Bytes in a segment; units in each direction; segments computed together.
 SEGMENT, UNITS, TOGETHER = 128, 8, 4096
@@ -155,10 +155,12 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Gru:
     """Learn from rows of docs with text and lang. The sample is bounded: for each language the rows with the smallest
     hashes of doc_id, and from each of their whole texts PIECES pieces at hashed places, are all that reaches the driver.
     """
-    usable = docs.where("lang is not null and text is not null").select("lang", "doc_id", text_of().alias("text")).where(F.col("text").rlike(r"\p{L}"))
-    ranked = usable.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= rows_per_language)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id")
+    # ids only are ranked, so that no text is shuffled; the chosen ids are few by the bound
+    ids = materialise(hashed_sample(usable, "lang", "doc_id", rows_per_language).distinct())
+    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
     place = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - PIECE + 1, F.lit(1)))
-    pieces = ranked.select("lang", "doc_id", F.explode(F.array(*[F.substring("text", place(k).cast("int"), F.lit(PIECE)) for k in range(PIECES)])).alias("piece"))
+    pieces = chosen.select("lang", "doc_id", F.explode(F.array(*[F.substring("text", place(k).cast("int"), F.lit(PIECE)) for k in range(PIECES)])).alias("piece"))
     rows = sorted((r["lang"], r["doc_id"] or 0, r["piece"]) for r in pieces.collect())
     languages = sorted({r[0] for r in rows}) or [UNKNOWN]
     if not rows:

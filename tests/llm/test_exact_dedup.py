@@ -36,3 +36,11 @@ def test_filter_holds_all_its_keys(spark):
     known = common.BitFilter(keys, "id", bits=1 << 16)
     found = spark.range(5000).where(known.column(F.col("id")))
     assert found.where("id % 7 = 0").count() == keys.count() and found.count() < 1500
+
+
+def test_hashed_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(20000).withColumn("by", F.when(F.col("id") < 5, "few").otherwise("many"))
+    got = common.hashed_sample(rows, "by", "id", 50)
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+    want = {r["id"] for r in rows.where("by = 'many'").orderBy(h, "id").limit(50).collect()} | set(range(5))
+    assert {r["id"] for r in got.repartition(3).collect()} == want
