@@ -15,6 +15,7 @@ the bytes it shares with the one before it.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -26,11 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WHITE
+from .bpe import WHITE, lowered
 from .common import BROADCAST_ROWS, bounded_batches, materialise, shared_dir, text_of
 
 MAGIC = b"SST1"
@@ -42,7 +44,9 @@ BLOOM_BITS_PER_KEY = 12
 #: Bytes of entries in a block, and of blocks in a shard, before the next is begun.
 BLOCK, SHARD = 64 << 10, 256 << 20
 #: Words whose ids a Python worker keeps.
-MEMO = 400_000
+MEMO = 500_000
+#: Pieces that go to the library as one text.
+PIECES = 2_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -154,7 +158,8 @@ class LibraryEncoder:
     """Ids from the tokenizers library, as packed bytes.
 
     The tokenizers that this serves split at white space and merge within words, so each distinct word goes to the
-    library once, and its packed ids are kept.
+    library once, and its packed ids are kept. Where the vocabulary marks the end of a word, words are cut into pieces
+    first, as the tokenizer does, and many distinct pieces go to the library as one text; the marks part their ids again.
     """
 
     def __init__(self, path: str):
@@ -168,20 +173,74 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.split, suffix = None, spec["model"].get("end_of_word_suffix")
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        if suffix and kinds == ["NFC", "Replace", "Lowercase"]:
+            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+            self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def pieces(self, word: str) -> list[str]:
+        """The word in the tokenizer's normal form, cut as it cuts; plain words need no pattern."""
+        low = word.lower() if word.isascii() else lowered(word)
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,!?;:" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.split.findall(low)
+
+    def learn(self, words: list[str]) -> None:
+        memo, every = self.memo, " ".join(words)
+        if self.split is None:
+            whole, words = words, []
+        elif any(s in every for s in self.special):
+            whole = [w for w in words if any(s in w for s in self.special)]
+            words = list(set(words).difference(whole))
+        else:
+            whole = []
+        for w, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, self.dtype).tobytes()
+        cut = [self.pieces(w) for w in words]
+        pieces = [p for p in {p for own in cut for p in own} if p not in memo]  # a piece is a word of its own
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(pieces), PIECES):
+            block = pieces[at : at + PIECES]
+            ids = np.array(self.library.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.int64)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(ends) != len(block):
+                raise ValueError("the library cuts these pieces otherwise")
+            packed, start = ids.astype(self.dtype).tobytes(), 0
+            for p, end in zip(block, ends, strict=True):
+                fresh[p] = packed[start:end]
+                start = end
+        known = lambda p: fresh[p] if p in fresh else memo[p]
+        memo |= {w: known(own[0]) if len(own) == 1 else b"".join([known(p) for p in own]) for w, own in zip(words, cut, strict=True)}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
         cut = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [w for w in WHITE.split(t) if w] for t in texts]
-        new = {w for words in cut for w in words}.difference(self.memo)
-        self.memo |= {w: self.old[w] for w in new if w in self.old}
-        new = [w for w in new if w not in self.memo]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, self.dtype).tobytes()
+        new = set().union(*cut).difference(self.memo)
+        back = new.intersection(self.old)
+        self.memo |= {w: self.old[w] for w in back}
+        self.learn(list(new.difference(back)))
         return [b"".join(map(self.memo.__getitem__, words)) for words in cut]
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
+
+
+def loaded(path: str) -> LibraryEncoder:
+    """The encoder of a path, made once in each Python worker, with what it has learned in earlier tasks. A function of the
+    module: what a task's own function names would be copied into each task."""
+    if path not in _LOADED:
+        _LOADED[path] = LibraryEncoder(path)
+    return _LOADED[path]
+
+
 _MANIFEST = "path string, low string, high string, docs long, ids long"
 
 
@@ -196,9 +255,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = LibraryEncoder(tokenizer)
-        encoder = _LOADED[tokenizer]
+        encoder = loaded(tokenizer)
         fs, base = pafs.FileSystem.from_uri(folder)
         end, writer, name, low, done = np.array([end_id], encoder.dtype).tobytes(), None, "", b"", []
 
