@@ -13,10 +13,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, hashed_sample, materialise, text_of
 from .langid import held_out
 
 #: Longest n-gram, buckets that n-grams are hashed to, bytes of text taken at once.
@@ -95,8 +95,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     features come from whole texts and are found in Spark's tasks."""
     bounded_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.withColumn("n", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= rows_per_class)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
+    chosen = materialise(hashed_sample(known, "quality", "doc_id", rows_per_class))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, bool)
