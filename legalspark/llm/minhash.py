@@ -238,9 +238,12 @@ class Block:
         self.ids, self.own, self.size = (self.rows[c].to_numpy() for c in ("id", "own", "n_shingles"))
         self.label = self.rows["component"].to_numpy().copy()
         self.sketch = np.frombuffer(b"".join(self.rows["sketch"]), np.uint8).reshape(-1, SKETCH)
+        bands = np.stack(self.rows["bands"])
+        self.earlier = bands[:, : int(np.argmax(bands[0] == self.rows["key"].iloc[0]))]
 
-    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each member with the later ones in other components that stay plausible; labels may change between steps."""
+    def partners(self, seen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with the later ones in other components that stay plausible; labels may change between steps. A pair
+        that shares an earlier band meets in that band's bucket, not here; with seen, pairs of two seen members are left out."""
         for k in range(len(self.ids)):
             if self.i == self.j:
                 rest = np.arange(k + 1, len(self.ids))
@@ -249,6 +252,9 @@ class Block:
             else:
                 continue
             rest = rest[(self.label[rest] != self.label[k]) & (100 * np.minimum(self.size[rest], self.size[k]) >= self.percent * np.maximum(self.size[rest], self.size[k]))]
+            if seen is not None and seen[k]:
+                rest = rest[~seen[rest]]
+            rest = rest[~(self.earlier[rest] == self.earlier[k]).any(1)]
             if len(rest):
                 rest = rest[plausible(np.broadcast_to(self.sketch[k], (len(rest), SKETCH)), self.sketch[rest], self.looks)]
                 if len(rest):
@@ -257,7 +263,7 @@ class Block:
     def met(self) -> pd.DataFrame:
         """The members that have a partner."""
         seen = np.zeros(len(self.ids), bool)
-        for k, rest in self.partners():
+        for k, rest in self.partners(seen):
             seen[k] = seen[rest] = True
         return self.rows[seen]
 
@@ -274,7 +280,7 @@ class Block:
 
 def _in_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
     """work (rows of one key, i, j as pandas -> pandas) on each block; a partition's blocks pass one after the other."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +296,9 @@ def _in_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
         if held:
             yield done()
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+    # the rows are few but costly: a number given here keeps Spark from putting many blocks in one task
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
 def _across(buckets: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -304,8 +312,8 @@ def _across(buckets: DataFrame, signed: DataFrame, docs: DataFrame, percent: int
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    rows = dealt.join(signed.select(F.col("doc_id").alias("id"), "sketch", "n_shingles").dropDuplicates(["id"]), "id")
-    members = "key long, i int, j int, own int, id long, component long, n_shingles long, sketch binary"
+    rows = dealt.join(signed.select(F.col("doc_id").alias("id"), "sketch", "n_shingles", "bands").dropDuplicates(["id"]), "id")
+    members = "key long, i int, j int, own int, id long, component long, n_shingles long, sketch binary, bands array<long>"
     near = materialise(_in_blocks(rows, lambda block: Block(block, percent).met(), members))
     sets = _full_sets(docs, near.select("id"))
     return materialise(_in_blocks(near.join(sets.dropDuplicates(["id"]), "id"), lambda block: Block(block, percent).joins(), "a long, b long"))
