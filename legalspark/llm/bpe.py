@@ -19,12 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, text_of, tidy
 
 #: Symbols up to which a word counts as short.
 LONG = 64
 #: Words kept by each Python worker between batches.
-MEMO = 400_000
+MEMO = 150_000
 WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NONE = np.int64(1) << 40
 
@@ -268,6 +268,7 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
                         (np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)) if k == "ids" else sha(ids) if k == "ids_sha256" else decoded if k == "decoded" else sha(decoded)
                     )
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], OUTPUTS[k]) for k in outputs]], ["doc_id", *outputs])
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {_SQL[k]}" for k in outputs))

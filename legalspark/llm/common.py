@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 16)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
 
 
+def tidy() -> None:
+    """At the end of a task, give freed memory back to the system: Python workers live on into later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, attach, bounded_batches, drop_ids, materialise, text_of
+from .common import BitFilter, attach, bounded_batches, drop_ids, materialise, text_of, tidy
 from .components import connected_components
 
 #: Words in a shingle; MinHashes; those of them kept in the sketch; sizes at which the posterior is looked at.
@@ -159,6 +159,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     ["doc_id", "n_shingles", "members", "bands", "sketch"],
                 )
                 at += len(sets)
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, "doc_id long, n_shingles long, members binary, bands array<long>, sketch binary")
 
@@ -188,6 +189,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for texts in groups_of(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["id", "set"])
                 at += len(texts)
+        tidy()
 
     return materialise(rows.mapInArrow(run, "id long, set binary"))
 
@@ -295,6 +297,7 @@ def _in_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
                 held.append(block)
         if held:
             yield done()
+        tidy()
 
     # the rows are few but costly: a number given here keeps Spark from putting many blocks in one task
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
