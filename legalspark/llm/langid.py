@@ -7,6 +7,7 @@ memory does not depend on their length. Training is backpropagation through time
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ ROWS_PER_LANGUAGE, PIECES, PIECE = 1500, 2, 64
 #: Training: updates, pieces in each (drawn evenly from the languages), largest rate.
 UPDATES, STEP, RATE = 240, 128, 0.03
 UNKNOWN = "und"
+#: Bytes of a text as bytes beyond ASCII, ASCII letters, or spaces; bytes of a text looked up together.
+LETTERS, CHUNK = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)), 1 << 18
+CODES = re.compile(rb"(?<![0-9a-z])[a-z]*+[0-9][0-9a-z]*+")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -37,7 +41,7 @@ class Gru:
 
     def __init__(self, languages: list[str], seed: int = 7, weights: dict[str, np.ndarray] | None = None):
         rng, h, n = np.random.default_rng(seed), UNITS, len(languages)
-        self.languages = languages
+        self.languages, self.seen = languages, np.zeros(0, np.int32)
         normal = lambda scale, *shape: (scale * rng.standard_normal(shape)).astype(np.float32)
         self.w = weights or {k + d: normal(s, *shape) for d in "fb" for k, s, shape in (("x", 0.3, (3 * h, 256)), ("u", 0.3, (3 * h, h)), ("o", 0.3, (n, h)))} | {"bias": np.zeros((n, 1), np.float32)}
 
@@ -151,6 +155,26 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x.T), (np.arange(width)[:, None] < size).astype(np.float32)
 
 
+def grams(text: bytes) -> np.ndarray:
+    """Codes of all runs of three bytes whose middle is in a word; a space stands for what is between words."""
+    b = np.frombuffer(b" " + text.translate(LETTERS) + b" ", np.uint8).astype(np.int32)
+    return (b[:-2] << 16 | b[1:-1] << 8 | b[2:])[b[1:-1] != 32]
+
+
+def lowered(text: str) -> bytes:
+    """Lower case in UTF-8, without runs of ASCII letters and digits that have a digit: keys and numbers are no words."""
+    return CODES.sub(b" ", text.lower().encode("utf-8", "surrogatepass"))
+
+
+def familiar(text: bytes, seen: np.ndarray) -> float:
+    """Share of the grams of a lowered text that seen (true by code) has; 0.0 without any."""
+    n = known = 0
+    for at in range(0, len(text), CHUNK):
+        codes = grams(text[at : at + CHUNK])
+        n, known = n + len(codes), known + int(seen[codes].sum())
+    return known / max(1, n)
+
+
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Gru:
     """Learn from rows of docs with text and lang. The sample is bounded: for each language the rows with the smallest
     hashes of doc_id, and from each of their whole texts PIECES pieces at hashed places, are all that reaches the driver.
@@ -165,29 +189,38 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Gru:
     languages = sorted({r[0] for r in rows}) or [UNKNOWN]
     if not rows:
         return Gru(languages)
-    return Gru(languages).fit([r[2].encode("utf-8", "surrogatepass") for r in rows], np.array([languages.index(r[0]) for r in rows]))
+    model = Gru(languages).fit([r[2].encode("utf-8", "surrogatepass") for r in rows], np.array([languages.index(r[0]) for r in rows]))
+    model.seen = np.unique(grams(lowered(" ".join(r[2] for r in rows))))
+    return model
 
 
-def predict(docs: DataFrame, model: Gru) -> DataFrame:
+def predict(docs: DataFrame, model: Gru, with_familiar: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs: the language with the largest pooled probability over the whole
     text (the first of equal ones), and that probability; `und` and 0.0 if the text is null or has no letter.
+
+    with_familiar adds familiar: the share of the text's grams that the learned pieces of any language have. The network
+    always picks a learned language; this tells whether the text is in any.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w))
+    names = ["doc_id", "lang_pred", "score"] + ["familiar"] * with_familiar
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w, model.seen))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights = shared.value
-        net = Gru(languages, weights=weights)
+        languages, weights, codes = shared.value
+        net, seen = Gru(languages, weights=weights), np.zeros(1 << 24 if with_familiar else 0, bool)
+        if with_familiar:
+            seen[codes] = True
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             p = net.pooled(texts)
             best = p.argmax(1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([languages[b] if t else UNKNOWN for b, t in zip(best, texts, strict=True)]), pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))], ["doc_id", "lang_pred", "score"]
-            )
+            out = [batch.column(0), pa.array([languages[b] if t else UNKNOWN for b, t in zip(best, texts, strict=True)]), pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))]
+            if with_familiar:
+                out.append(pa.array([familiar(lowered(t or ""), seen) for t in batch.column(1).to_pylist()], pa.float64()))
+            yield pa.RecordBatch.from_arrays(out, names)
 
     lettered = F.when(F.col("text").rlike(r"\p{L}"), text_of())
-    return docs.select("doc_id", lettered.alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", lettered.alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + ", familiar double" * with_familiar)
 
 
 def held_out(by: int, rest: int):
@@ -195,8 +228,8 @@ def held_out(by: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by)) == rest, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from labelled rows that are not held out. Without any such row all
+def identify(docs: DataFrame, with_familiar: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, and familiar on demand; learned from labelled rows that are not held out. Without any such row all
     are `und`. Rows without doc_id are not held out. Repeated rows are predicted alike."""
     model = train(docs.where(~held_out(4, 2)))
-    return predict(docs, model).withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, model, with_familiar).withColumn("held_out", held_out(4, 2)).select("doc_id", "held_out", "lang_pred", "score", *["familiar"] * with_familiar)
