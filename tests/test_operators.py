@@ -1,12 +1,14 @@
 """Operators on hand-made rows, by meaning."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from legalspark.operators import datasets, filters, graph, reports, retrieval, scorers, structure, vectors
+from legalspark.plans import table_queries
 from legalspark.sources import html, tables
 from legalspark.streaming import cases as case_stream
 from legalspark.streaming import history
@@ -71,6 +73,17 @@ def test_facts(spark):
     assert got["facts"] == ["One line", "Two Karachi Karachi"] and got["entities"] == ["One", "Two", "Karachi"] and got["confidence"] == 0.55
 
 
+def test_facts_of_all_documents(spark, tmp_path):
+    texts = ["Plain Karachi text\nSecond Line", "Élan Paris Müller Straße\n\nÉric à Paris Zürich NaÏf", "日本 Tokyo Tokyo年 Osaka", "", None, "Ñandú Abc " + "é" * 260]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = []
+    for k, t in enumerate(texts):
+        t = (t or "").strip()
+        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-zA-Z]{2,}\b", t)))[:12]
+        expected.append((k, "|".join([x.strip() for x in t.split("\n") if x.strip()][:8]), 0.2 if not t else 0.75 if len(t) > 250 else 0.55, len(names)))
+    assert rows(table_queries.r7_extract_facts(spark, str(tmp_path)), "doc_id", "facts", "confidence", "n_entities") == expected
+
+
 def test_titles_and_files(spark):
     titles = spark.createDataFrame([("Pakistan Penal Code",), ("Telecom licensing framework",), ("Pakistan something",)], "title string")
     files = spark.createDataFrame([("Pakistan Penal Code-Cleaned.pdf",), ("Pakistan Penal Code.pdf",), ("licensing framework 2020.pdf",)], "file string")
