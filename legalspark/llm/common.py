@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -18,26 +22,71 @@ BROADCAST_ROWS = 1_000_000
 HOT_SHARE = 1_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+#: Options of a session that keep Arrow batches small in rows and bytes, so that long texts cannot fill a Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Folders of the tables that the running operator has written for itself.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+def shared_dir(spark: SparkSession, scratch: bool = False) -> str:
+    """A new folder below the one in spark.checkpoint.dir; a scratch one goes when the running operator ends.
+
+    Where the setting is absent, a local session gets a temporary folder; on a cluster that would not be shared, so it is
+    an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if scratch and _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
-    path = shared_dir(df.sparkSession)
+    path = shared_dir(df.sparkSession, scratch=True)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1_000, megabytes: int = 16) -> None:
-    """Keep Arrow batches small in rows and bytes, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def operator(work):
+    """For functions whose first argument is a DataFrame and that return one or several.
+
+    The work runs at once, with small Arrow batches; its results are written, the tables on the way to them removed, and
+    the options of the session put back. Within another operator it is a plain call.
+    """
+
+    @functools.wraps(work)
+    def run(first: DataFrame, *args, **named):
+        if _SCRATCH.get() is not None:
+            return work(first, *args, **named)
+        spark, scratch = first.sparkSession, []
+        before, token = {k: spark.conf.get(k, None) for k in BATCHES}, _SCRATCH.set(scratch)
+        try:
+            for k, v in BATCHES.items():
+                spark.conf.set(k, v)
+            out = work(first, *args, **named)
+            tables = out if isinstance(out, tuple) else (out,)
+            _SCRATCH.set(None)
+            kept = tuple(materialise(t) for t in tables)
+            return kept if isinstance(out, tuple) else kept[0]
+        finally:
+            _SCRATCH.reset(token)
+            for k, v in before.items():
+                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+            for path in scratch:
+                remove(spark, path)
+
+    return run
 
 
 def tidy() -> None:
@@ -48,6 +97,19 @@ def tidy() -> None:
         trim(0)
 
 
+def groups_of(texts: list[str], size: int = 1 << 19) -> Iterator[list[str]]:
+    """Consecutive texts of about size characters together."""
+    block, n = [], 0
+    for t in texts:
+        block.append(t)
+        n += len(t)
+        if n >= size:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -81,13 +143,14 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 def hashed_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     """The n rows of each value of `by` with the smallest hashes of key (all, if there are fewer).
 
-    Values are counted first, and rows whose hash is far from the smallest go in the scan, so that about 4 n rows of a
-    value meet in one task, however many it has.
+    Rows that repeat count once. Values are counted first, and rows whose hash is far from the smallest go in the scan, so
+    that little more than n rows of a value meet in one task, however many it has.
     """
+    rows = rows.distinct()
     hashed = F.pmod(F.xxhash64(key), F.lit(1 << 31))
     counts = materialise(rows.groupBy(by).agg(F.count("*").alias("own_count")))
     near = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, by)
-    near = near.where(hashed < F.least(F.lit(1.0), F.lit(4.0 * n) / F.col("own_count")) * (1 << 31)).drop("own_count")
+    near = near.where(hashed < F.least(F.lit(1.0), F.lit(n + 6.0 * n**0.5 + 10) / F.col("own_count")) * (1 << 31)).drop("own_count")
     place = F.row_number().over(Window.partitionBy(by).orderBy(hashed, key))
     return near.withColumn("own_place", place).where(F.col("own_place") <= n).drop("own_place")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, attach, materialise, text_of
+from .common import BitFilter, attach, materialise, operator, text_of
 
 #: Characters of the prefix that the second level hashes.
 PREFIX = 128
@@ -13,6 +13,7 @@ PREFIX = 128
 SALTS = 32
 
 
+@operator
 def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, and the columns in carry.
 
