@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashed_sample, materialise, text_of
+from .common import hashed_sample, materialise, operator, text_of, tidy
 
 #: Bytes in a segment; units in each direction; segments computed together.
 SEGMENT, UNITS, TOGETHER = 128, 8, 4096
-#: The sample: rows per language, pieces taken from anywhere in each text, characters in a piece.
-ROWS_PER_LANGUAGE, PIECES, PIECE = 1500, 2, 64
-#: Training: updates, pieces in each (drawn evenly from the languages), largest rate.
-UPDATES, STEP, RATE = 240, 128, 0.03
+#: The sample: rows per language, whole texts.
+ROWS_PER_LANGUAGE = 600
+#: Training: updates, pieces in each (drawn evenly from the languages), bytes in a piece, largest rate.
+UPDATES, STEP, PIECE, RATE = 240, 128, 64, 0.03
+#: A gram is familiar when it is at least one of so many in the sample.
+RARE = 500_000
 UNKNOWN = "und"
 #: Bytes of a text as bytes beyond ASCII, ASCII letters, or spaces; bytes of a text looked up together.
 LETTERS, CHUNK = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)), 1 << 18
@@ -74,6 +76,7 @@ class Gru:
             p = self.w["ob"] @ state
             p += ahead[t]
             p += self.w["bias"]
+            p -= p.max(0)
             np.exp(p, out=p)
             p /= p.sum(0)
             if mask is not None:
@@ -112,12 +115,13 @@ class Gru:
         return grad
 
     def fit(self, texts: list[bytes], y: np.ndarray, updates: int = UPDATES, rate: float = RATE, seed: int = 11) -> Gru:
-        """Adam, with a rate that falls to zero."""
+        """Adam, with a rate that falls to zero. An update takes pieces from anywhere in texts drawn evenly from the languages."""
         rng, m, v = np.random.default_rng(seed), {n: 0.0 for n in self.w}, {n: 0.0 for n in self.w}
         own = [np.flatnonzero(y == k) for k in range(len(self.languages))]
         for k in range(1, updates + 1):
             rows = np.array([own[c][rng.integers(len(own[c]))] for c in rng.integers(len(own), size=STEP)])
-            x, mask = padded([texts[i] for i in rows])
+            at = (rng.random(STEP) * [max(1, len(texts[i]) - PIECE + 1) for i in rows]).astype(int)
+            x, mask = padded([texts[i][a : a + PIECE] for i, a in zip(rows, at, strict=True)])
             now = rate * (1 - (k - 1) / updates)
             for n, g in self.gradients(x, mask, y[rows]).items():
                 m[n], v[n] = 0.9 * m[n] + 0.1 * g, 0.99 * v[n] + 0.01 * g * g
@@ -176,24 +180,27 @@ def familiar(text: bytes, seen: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Gru:
-    """Learn from rows of docs with text and lang. The sample is bounded: for each language the rows with the smallest
-    hashes of doc_id, and from each of their whole texts PIECES pieces at hashed places, are all that reaches the driver.
+    """Learn from rows of docs with text and lang. The sample is bounded in rows: for each language the whole texts of the
+    rows with the smallest hashes of doc_id reach the driver, one for each doc_id.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # ids only are ranked, so that no text is shuffled; the chosen ids are few by the bound
-    ids = materialise(hashed_sample(usable, "lang", "doc_id", rows_per_language).distinct())
-    chosen = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
-    place = lambda k: 1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - PIECE + 1, F.lit(1)))
-    pieces = chosen.select("lang", "doc_id", F.explode(F.array(*[F.substring("text", place(k).cast("int"), F.lit(PIECE)) for k in range(PIECES)])).alias("piece"))
-    rows = sorted((r["lang"], r["doc_id"] or 0, r["piece"]) for r in pieces.collect())
+    ids = materialise(hashed_sample(usable.select("lang", "doc_id"), "lang", "doc_id", rows_per_language))
+    chosen = usable.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rows = sorted((r["lang"], r["doc_id"], r["text"].encode("utf-8", "surrogatepass")) for r in chosen.toLocalIterator())
     languages = sorted({r[0] for r in rows}) or [UNKNOWN]
     if not rows:
         return Gru(languages)
-    model = Gru(languages).fit([r[2].encode("utf-8", "surrogatepass") for r in rows], np.array([languages.index(r[0]) for r in rows]))
-    model.seen = np.unique(grams(lowered(" ".join(r[2] for r in rows))))
+    model = Gru(languages).fit([r[2] for r in rows], np.array([languages.index(r[0]) for r in rows]))
+    counts = np.zeros(1 << 24, np.int32)
+    for _, _, text in rows:
+        for at in range(0, len(text), CHUNK):
+            np.add.at(counts, grams(lowered(text[at : at + CHUNK].decode("utf-8", "replace"))), 1)
+    model.seen = np.flatnonzero(counts >= max(1, counts.sum() // RARE)).astype(np.int32)
     return model
 
 
+@operator
 def predict(docs: DataFrame, model: Gru, with_familiar: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs: the language with the largest pooled probability over the whole
     text (the first of equal ones), and that probability; `und` and 0.0 if the text is null or has no letter.
@@ -201,7 +208,6 @@ def predict(docs: DataFrame, model: Gru, with_familiar: bool = False) -> DataFra
     with_familiar adds familiar: the share of the text's grams that the learned pieces of any language have. The network
     always picks a learned language; this tells whether the text is in any.
     """
-    bounded_batches(docs.sparkSession)
     names = ["doc_id", "lang_pred", "score"] + ["familiar"] * with_familiar
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w, model.seen))
 
@@ -218,6 +224,7 @@ def predict(docs: DataFrame, model: Gru, with_familiar: bool = False) -> DataFra
             if with_familiar:
                 out.append(pa.array([familiar(lowered(t or ""), seen) for t in batch.column(1).to_pylist()], pa.float64()))
             yield pa.RecordBatch.from_arrays(out, names)
+        tidy()
 
     lettered = F.when(F.col("text").rlike(r"\p{L}"), text_of())
     return docs.select("doc_id", lettered.alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + ", familiar double" * with_familiar)
@@ -228,6 +235,7 @@ def held_out(by: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by)) == rest, F.lit(False))
 
 
+@operator
 def identify(docs: DataFrame, with_familiar: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and familiar on demand; learned from labelled rows that are not held out. Without any such row all
     are `und`. Rows without doc_id are not held out. Repeated rows are predicted alike."""
