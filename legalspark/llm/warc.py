@@ -8,6 +8,7 @@ own; a sidecar index names offset and length of each member, so that a record ca
 from __future__ import annotations
 
 import base64
+import io
 import json
 import re
 import uuid
@@ -20,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, bounded_batches, materialise, shared_dir
+from .common import BROADCAST_ROWS, attach, materialise, operator, shared_dir
 
 #: Bytes of records in an archive before the next is begun; bytes read or inflated at once.
 ARCHIVE, CHUNK = 256 << 20, 1 << 20
@@ -60,16 +61,20 @@ def headers(block: bytes) -> dict[str, str]:
 
 
 def inflated(file, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, read and inflated once, at most chunk at a time."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip file of any number of members, read and inflated once, at most chunk at a time; a file that ends
+    within a member is an error."""
+    engine, fresh = zlib.decompressobj(31), True
     data = file.read(chunk)
     while data:
         yield engine.decompress(data, chunk)
-        data = engine.unconsumed_tail
+        data, fresh = engine.unconsumed_tail, False
         if engine.eof:
-            data, engine = engine.unused_data, zlib.decompressobj(31)
+            data, engine, fresh = engine.unused_data, zlib.decompressobj(31), True
         data = data or file.read(chunk)
-    yield engine.flush()
+    if not fresh:
+        yield engine.flush()
+        if not engine.eof:
+            raise ValueError("the archive ends within a gzip member")
 
 
 def records(chunks: Iterable[bytes]) -> Iterator[bytes]:
@@ -124,6 +129,7 @@ def duplicates(pages: DataFrame, least: int = 0) -> DataFrame:
     return materialise(met.where("page_id < refers_to").select(F.col("page_id").alias("own_id"), "refers_to").distinct())
 
 
+@operator
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """One record per row of pages, in archives that are one gzip stream each; returns path and number of records.
 
@@ -131,7 +137,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     revisits of it. Null html is an empty payload; a null page_id is always a response, and so is a row that repeats
     the largest page_id. Tasks write to names of their own; only what committed tasks report is read later.
     """
-    bounded_batches(pages.sparkSession)
     twice = duplicates(pages, least)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, F.col("page_id") == F.col("own_id"), "left").drop("own_id")
@@ -168,6 +173,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     return materialise(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, _MANIFEST))
 
 
+def _dealt(archives: DataFrame) -> DataFrame:
+    """Few rows that are much work: spread evenly, in a number of partitions that Spark keeps."""
+    spark = archives.sparkSession
+    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return archives.repartition(min(max(1, archives.count()), most))
+
+
+@operator
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Each archive rewritten with a member per record and a sidecar index; path and number of records of the new ones."""
 
@@ -179,41 +192,52 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                 target = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"path": [target], "records": [normalise(path, target)]}), preserve_index=False)
 
-    return materialise(archives.select("path").repartition("path").mapInArrow(run, _MANIFEST))
+    return materialise(_dealt(archives.select("path")).mapInArrow(run, _MANIFEST))
 
 
+@operator
 def read_archives(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all records, each read by its index entry.
 
-    The digest of a response is taken from its payload and must be the one its header gives.
+    The digest of a response is taken from its payload and must be the one its header gives, and an archive must hold as many
+    records as the table of archives says.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, name = pafs.FileSystem.from_uri(path)
-                out = []
+                out, n = [], 0
                 with fs.open_input_file(name) as file, fs.open_input_stream(f"{name}.idx") as index:
-                    for line in index.read().splitlines():
-                        entry = json.loads(line)
+                    for line in io.TextIOWrapper(io.BufferedReader(index), "utf-8"):
+                        entry, n = json.loads(line), n + 1
                         warc, http, payload = read_member(file, entry["offset"], entry["length"])
                         digest, size = warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
                         if warc["warc-type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                             raise ValueError(f"damaged record {entry['id']} in {path}")
                         refers_to = warc.get("warc-refers-to")
                         out.append((page_of(warc["warc-record-id"]), size, digest, warc["warc-type"], page_of(refers_to) if refers_to else None))
-                for at in range(0, len(out), 10_000):
-                    columns = list(zip(*out[at : at + 10_000], strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        if len(out) == 10_000:
+                            yield _rows(out)
+                            out = []
+                if n != expected:
+                    raise ValueError(f"{n} of {expected} records in {path}")
+                if out:
+                    yield _rows(out)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    return _dealt(archives.select("path", "records")).mapInArrow(run, schema)
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+@operator
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write, normalise, and read back: the rows of read_archives."""
     spark = pages.sparkSession
-    return read_archives(normalise_archives(write_archives(pages, shared_dir(spark), least), shared_dir(spark)))
+    return read_archives(normalise_archives(write_archives(pages, shared_dir(spark, scratch=True), least), shared_dir(spark)))

@@ -5,6 +5,9 @@ import gzip
 import hashlib
 import io
 import json
+import zlib
+
+import pytest
 
 from legalspark.llm import warc
 
@@ -28,6 +31,22 @@ def test_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_damaged_archives_are_errors(spark, tmp_path):
+    digest = base64.b32encode(hashlib.sha1(b"x" * 500).digest()).decode()
+    records = [warc.record(k, "u", b"x" * 500, digest, None) for k in range(40)]
+    whole = gzip.compress(b"".join(records))
+    cut = zlib.compressobj(6, zlib.DEFLATED, 31)
+    between = cut.compress(b"".join(records[:20])) + cut.flush(zlib.Z_SYNC_FLUSH)  # ends between records, not with a member
+    for name, data in (("half", whole[: len(whole) // 2]), ("between", between)):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(ValueError):
+            warc.normalise(f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}.out")
+    (tmp_path / "good").write_bytes(whole)
+    warc.normalise(f"file://{tmp_path}/good", f"file://{tmp_path}/good.gz")
+    with pytest.raises(Exception, match="40 of 41 records"):
+        warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/good.gz", 41)], "path string, records long"))
+
+
 def test_monolithic_streams_become_members(tmp_path):
     records = [warc.record(k, f"http://x/{k}", b"p" * (k * 1000), "D" * 32, k + 1 if k % 2 else None) for k in range(50)]
     whole = gzip.compress(b"".join(records[:30])) + gzip.compress(b"".join(records[30:]))
