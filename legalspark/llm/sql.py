@@ -22,10 +22,10 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, i, array_to_string(l[i + 1 : i + 3], chr(10)) AS k FROM (SELECT *, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)),
+w AS (SELECT doc_id, i, least(3, len(l)) AS m, array_to_string(l[i + 1 : i + 3], chr(10)) AS k FROM (SELECT *, unnest(range(0, greatest(len(l) - 2, 1))) AS i FROM d)),
 v AS (SELECT * FROM w WHERE regexp_matches(k, '[^ \t\n\x0b\f\r]')),
-later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM v) WHERE n > 1),
-covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM later),
+o AS (SELECT doc_id, i, m, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n, count(*) OVER (PARTITION BY k) AS c FROM v),
+covered AS (SELECT doc_id, i FROM (SELECT doc_id, n, unnest(range(i, i + m)) AS i FROM o WHERE c > 1) GROUP BY doc_id, i HAVING min(n) > 1),
 spans AS (SELECT doc_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM covered) GROUP BY doc_id, g),
 r AS (SELECT doc_id, sum(e - s)::BIGINT AS n, string_agg(s || ':' || e, ',' ORDER BY s) AS removed FROM spans GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM d),
