@@ -3,9 +3,9 @@
 1. Each document becomes its set of hashed five-word shingles, band keys and a sketch of one byte per MinHash.
    Documents with equal sets are one class, and only its smallest doc_id goes on.
 2. Classes that share a band key are candidates. Pairs within a bucket are not listed: first each member meets
-   only the bucket's smallest member. After the components of these links are known, buckets that still hold
-   several components have their pairs across components compared inside tasks, in blocks; of these pairs only links
-   that join components leave a task.
+   only the bucket's smallest member. Large buckets that then still hold several components get further leaders, from
+   components that had none. What is outside the largest component of a bucket is then compared with all of it inside
+   tasks, in blocks; of these pairs only links that join components leave a task.
 3. A candidate's sketches are compared batch by batch; once the posterior probability that the similarity reaches the
    threshold, given the matches so far, falls below MISS, it is dropped. Survivors are confirmed on full sets.
 4. Connected components of the confirmed links give each document its component.
@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from math import comb
 
@@ -22,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, attach, bounded_batches, drop_ids, materialise, text_of, tidy
+from .common import BitFilter, attach, drop_ids, groups_of, materialise, operator, text_of, tidy
 from .components import connected_components
 
 #: Words in a shingle; MinHashes; those of them kept in the sketch; sizes at which the posterior is looked at.
 SHINGLE, HASHES, SKETCH, LOOKS = 5, 192, 128, (16, 32, 64, 96, 128)
 #: Probability of missing a pair at the threshold, for the banding and for each look at the sketch.
 MISS = 1e-6
-#: Members of a bucket that meet in one task, and bytes of text hashed at once.
-BLOCK, CHUNK = 1024, 1 << 19
+#: Members of a bucket that meet in one task, further leaders of larger buckets, and bytes of text hashed at once.
+BLOCK, LEADERS, CHUNK = 1024, 4, 1 << 19
 
+ALL, REST, OTHER = 0, 1, 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_KEY = "word hash key 16"
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240501)
 _MULTIPLIER = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -63,43 +67,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, modulo 2**64."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        size = 1 << n.bit_length()
-        step = lambda b: np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(size - 1, b, np.uint64))))
-        _POWERS = step(np.uint64(_BASE)), step(np.uint64(pow(_BASE, -1, 1 << 64)))
-    return _POWERS
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """SipHash of each word: without the structure by which sums over bytes collide."""
+    return pd.util.hash_array(np.array(words, object), hash_key=_KEY, categorize=False)
 
 
-_POWERS: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word [^\\x20\\x09-\\x0D]+ of data, A-Z lowered; in chunks cut between words."""
-    data, at, hashes, starts = data.translate(_LOWER), 0, [], []
-    while at < len(data):
-        end = min(len(data), at + CHUNK)
-        while end < len(data) and _IN_WORD[data[end]]:
-            end += 1
-        a = np.frombuffer(data, np.uint8, end - at, at)
-        inside = np.concatenate(([False], _IN_WORD[a], [False]))
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        first, last = edge[::2], edge[1::2]
-        power, inverse = _powers(len(a) + 1)
-        total = np.concatenate(([np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], dtype=np.uint64)))
-        hashes.append(mix((total[last] - total[first]) * inverse[first]))
-        starts.append(first + at)
-        at = end
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z lowered, and the number of words of each; long texts are
+    taken in chunks cut between words."""
+    hashes, sizes, held = [np.zeros(0, np.uint64)], [], []
+    for text in texts:
+        data, at, n = text.encode("utf-8", "surrogatepass").translate(_LOWER), 0, 0
+        while at < len(data):
+            gap = _SPACE.search(data, at + CHUNK)
+            end = gap.start() if gap else len(data)
+            words = data[at:end].split()
+            held, n, at = held + words if held else words, n + len(words), end
+            if len(held) * 8 > CHUNK:
+                hashes.append(_hashed(held))
+                held = []
+        sizes.append(n)
+    if held:
+        hashes.append(_hashed(held))
+    return np.concatenate(hashes), sizes
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles; a text of 1 to 4 words has one, one without words none."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    hashes, starts = word_hashes(b"\n".join(data))
-    bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(d) + 1 for d in data]))))
+    """For each text the sorted distinct hashes of its shingles; a text of 1 to 4 words has one, one without words none.
+
+    A hash has 64 bits: two sets of n shingles differ from what they are by a collision with a probability of n * n / 2**64.
+    """
+    hashes, sizes = word_hashes(texts)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
     rolled = np.zeros(max(0, len(hashes) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         rolled += hashes[k : k + len(rolled)] * _STEP[k]
@@ -112,18 +111,6 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def groups_of(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
-    block, n = [], 0
-    for t in texts:
-        block.append(t)
-        n += len(t)
-        if n >= size:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketches) of sets that are not empty."""
     first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
@@ -153,7 +140,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 if full:
                     for k, b, s in zip(full, *signatures([sets[k] for k in full], bands, rows), strict=True):
                         keys[k], sketch[k] = b.view(np.int64), s.tobytes()
-                name = [np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s in sets]
+                name = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                     ["doc_id", "n_shingles", "members", "bands", "sketch"],
@@ -194,10 +181,10 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(run, "id long, set binary"))
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     looks = least_matches(percent / 100)
-    sketch = lambda x: signed.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    sketch = lambda x: heads.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     sized = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +218,12 @@ def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarra
 
 
 class Block:
-    """Members of one bucket, or of two of its parts i < j, that meet in a task: rows of id, component, own, n_shingles."""
+    """Members of a bucket that meet in a task: rows of id, component, own, n_shingles. All meet each other (own is ALL), or
+    those outside the largest component (REST) meet others (OTHER)."""
 
     def __init__(self, rows: pd.DataFrame, percent: int):
-        self.rows = rows.sort_values("id").drop_duplicates("id")
+        self.rows = rows.sort_values("id")
         self.percent, self.looks = percent, least_matches(percent / 100)
-        self.i, self.j = self.rows["i"].iloc[0], self.rows["j"].iloc[0]
         self.ids, self.own, self.size = (self.rows[c].to_numpy() for c in ("id", "own", "n_shingles"))
         self.label = self.rows["component"].to_numpy().copy()
         self.sketch = np.frombuffer(b"".join(self.rows["sketch"]), np.uint8).reshape(-1, SKETCH)
@@ -247,10 +234,10 @@ class Block:
         """Each member with the later ones in other components that stay plausible; labels may change between steps. A pair
         that shares an earlier band meets in that band's bucket, not here; with seen, pairs of two seen members are left out."""
         for k in range(len(self.ids)):
-            if self.i == self.j:
+            if self.own[k] == ALL:
                 rest = np.arange(k + 1, len(self.ids))
-            elif self.own[k] == self.i:
-                rest = np.flatnonzero(self.own == self.j)
+            elif self.own[k] == REST:
+                rest = np.flatnonzero(self.own == OTHER)
             else:
                 continue
             rest = rest[(self.label[rest] != self.label[k]) & (100 * np.minimum(self.size[rest], self.size[k]) >= self.percent * np.maximum(self.size[rest], self.size[k]))]
@@ -304,48 +291,81 @@ def _in_blocks(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
-def _across(buckets: DataFrame, signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, heads: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components within buckets (key, id, component, n).
 
-    A bucket is cut into parts of about BLOCK members by the hash of their ids, and each pair of parts meets in one task.
+    A bucket of up to BLOCK members is one block. Of a larger one the members outside its largest component are cut into
+    parts of about BLOCK by the hash of their ids, and so are all members, and each pair of these parts meets in one task.
     First the sketches tell which members have a plausible partner in another component; only these meet again, with
     their full sets, and a task reports no more links than it has members, since a link within a component adds nothing.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    rows = dealt.join(signed.select(F.col("doc_id").alias("id"), "sketch", "n_shingles", "bands").dropDuplicates(["id"]), "id")
+    sizes = buckets.groupBy("key", "component").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    main = materialise(sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.first("n") - F.max("c")).alias("rest")))
+    dealt = buckets.join(main, "key")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("id"), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    small = dealt.where(F.col("n") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(ALL).alias("own"), "id", "component")
+    large = dealt.where(F.col("n") > BLOCK)
+    rest = large.where("component <> main").select("key", own("rest").alias("i"), every("n").alias("j"), F.lit(REST).alias("own"), "id", "component")
+    others = large.select("key", every("rest").alias("i"), own("n").alias("j"), F.lit(OTHER).alias("own"), "id", "component")
+    rows = small.union(rest).union(others).join(heads.select(F.col("doc_id").alias("id"), "sketch", "n_shingles", "bands"), "id")
     members = "key long, i int, j int, own int, id long, component long, n_shingles long, sketch binary, bands array<long>"
     near = materialise(_in_blocks(rows, lambda block: Block(block, percent).met(), members))
     sets = _full_sets(docs, near.select("id"))
-    return materialise(_in_blocks(near.join(sets.dropDuplicates(["id"]), "id"), lambda block: Block(block, percent).joins(), "a long, b long"))
+    return materialise(_in_blocks(near.join(sets.dropDuplicates(["id", "set"]), "id"), lambda block: Block(block, percent).joins(), "a long, b long"))
+
+
+def _heads(usable: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """One row of each class, with its smallest doc_id."""
+    copies = materialise(attach(usable.select("members", "doc_id", "row"), classes.where("size > 1"), "members", "size", total).where("rep is not null"))
+    first = copies.where("doc_id = rep").groupBy("members").agg(F.min("row").alias("row")).select("row")
+    return drop_ids(usable, materialise(copies.select("row").join(first, "row", "left_anti")), "row")
 
 
+@operator
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is component_id) for each row.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct five-word shingles. Null
-    and wordless texts have no set and no link. Rows that share a doc_id share a component; a row without doc_id has
-    none and is kept. Only doc_id and text are read, so other columns and their names do not matter.
+    and wordless texts have no set and no link. Rows that share a doc_id share a component, whatever their texts; a row
+    without doc_id has none and is kept. Only doc_id and text are read, so other columns and their names do not matter.
     """
-    bounded_batches(docs.sparkSession)
-    signed = materialise(_signed(docs, *bands_for(percent / 100)))
+    signed = materialise(_signed(docs, *bands_for(percent / 100)).withColumn("row", F.monotonically_increasing_id()))
     total = signed.count()
     usable = signed.where("members is not null and doc_id is not null")
     classes = materialise(usable.groupBy("members").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    copies = attach(usable.select("members", "doc_id"), classes.where("size > 1"), "members", "size", total)
-    heads = drop_ids(usable, materialise(copies.where("doc_id <> rep").select("doc_id").distinct()))
+    heads = _heads(usable, classes, total)
+    twins = materialise(usable.groupBy("doc_id").agg(F.min("members").alias("lo"), F.max("members").alias("hi")).where("lo <> hi").select("doc_id"))
 
-    bands = materialise(heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")))
+    bands = materialise(heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct())
     leaders = materialise(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     shared = materialise(bands.join(leaders, "key"))
-    links = _confirmed(shared.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), signed, docs, percent)
+    links = _confirmed(shared.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), heads, docs, percent)
+    if not twins.isEmpty():  # texts of one doc_id belong together
+        met = usable.join(twins, "doc_id").select("doc_id", "members").distinct().join(classes, "members")
+        links = materialise(links.union(met.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")))
     found = connected_components(links)
 
-    placed = shared.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = _across(materialise(placed.join(materialise(mixed), "key", "left_semi")), signed, docs, percent)
+    def mixed(found: DataFrame, least: int) -> DataFrame:
+        """key, id, n, component of buckets of more than least members that hold several components."""
+        placed = shared.where(F.col("n") > least).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return materialise(placed.select("key", "id", "n", "component").join(materialise(keys), "key", "left_semi"))
+
+    led = leaders.where(F.col("n") > BLOCK).select("key", F.col("leader").alias("id"))
+    for _ in range(LEADERS):
+        large = mixed(found, BLOCK)
+        if large.isEmpty():
+            break
+        had = large.join(led, ["key", "id"]).select("key", "component").distinct()
+        new = materialise(large.join(had, ["key", "component"], "left_anti").groupBy("key").agg(F.min_by(F.struct("id", "component"), "id").alias("l")).select("key", F.col("l.id").alias("leader"), F.col("l.component").alias("of")))
+        met = large.join(new, "key").where(F.col("component") != F.col("of")).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        links = links.union(_confirmed(met, heads, docs, percent))
+        led = materialise(led.union(new.select("key", F.col("leader").alias("id"))))
+        found = connected_components(links)
+
+    more = _across(mixed(found, 2), heads, docs, percent)
     if not more.isEmpty():
         found = connected_components(links.union(more))
 

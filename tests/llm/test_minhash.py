@@ -86,11 +86,46 @@ def test_minhashes_estimate_similarity():
 
 
 def test_long_texts_are_hashed_alike_in_pieces(monkeypatch):
-    data = (b"Some words here " * 5000)[:-1]
-    whole = minhash.word_hashes(data)
+    texts = [("Some words here " * 5000)[:-1], "", "x", " \n"]
+    whole, sizes = minhash.word_hashes(texts)
     monkeypatch.setattr(minhash, "CHUNK", 1000)
-    pieces = minhash.word_hashes(data)
-    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all() and len(whole[0]) == 15000
+    pieces, again = minhash.word_hashes(texts)
+    assert (whole == pieces).all() and sizes == again == [15000, 0, 1, 0] and len(set(whole.tolist())) == 4
+
+
+def test_words_that_collide_in_polynomial_hashes():
+    row = "a"
+    for _ in range(11):
+        row += row.translate({97: 98, 98: 97})
+    other = row.translate({97: 98, 98: 97})  # equal sums of powers of any odd base modulo 2**64
+    a, b = minhash.shingle_sets([row, other])
+    assert len(row) == 2048 and a[0] != b[0]
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b + " more"), (7, c), (8, c), (5, b), (None, c)]
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect())
+    assert found == [(0, 0, True), (1, 1, True), (5, 1, False), (5, 1, False), (5, 1, False), (7, 7, True), (8, 7, False), (9, 1, False)]
+
+
+def test_large_buckets_need_few_comparisons(spark, monkeypatch):
+    """Near copies of two texts that share most words: further leaders settle them, and blocks stay few."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    dealt = []
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda buckets, *rest: dealt.append(buckets.count()) or across(buckets, *rest))
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    other = base[:170] + [f"v{k}" for k in range(30)]
+    rows = []
+    for k in range(160):
+        t = list(base if k % 2 else other)
+        t[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(t)))
+    component, _ = brute(rows, 85)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == component
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
