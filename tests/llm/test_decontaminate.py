@@ -22,13 +22,13 @@ def brute(docs, items):
         for item, t in items:
             w = plain_words(t)
             m = min(10, len(w))
-            if not m or item is None:
+            if not m:
                 continue
             windows = {tuple(w[k : k + m]) for k in range(len(w) - m + 1)}
             for k in range(len(words) - m + 1):
                 if tuple(words[k : k + m]) in windows:
                     hit.update(range(k, k + m))
-                    found.add(str(item))
+                    found |= {str(item)} if item is not None else set()
         out.append((i, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
@@ -45,12 +45,19 @@ def test_against_a_plain_search(spark, per_pass):
 
 
 def test_tables_skip():
-    table = WuManber({tuple(b"a b c d e f g h i j".split()): {"1"}})
-    assert table.far == 9 and table.shift[(b"i", b"j")] == 0 and table.shift[(b"a", b"b")] == 8
-    assert [t.size for t in search_tables([("1", "one two"), ("2", "x " * 20)])] == [2, 10]
+    table = WuManber({b"a b c d e f g h i j": {"1"}})
+    assert table.far == 9 and table.shift[b"i j"] == 0 and table.shift[b"a b"] == 8
+    assert [t.size for t in search_tables([("one two", "1"), ("x x x", None)])] == [2, 3]
     assert words_of("Ab-C_9 é\x7fq") == [b"ab", b"c", b"9", "é".encode(), b"q"]
 
 
+def test_an_item_without_id_is_hit(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (None, "one two three"), (2, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "One, two: three!")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (3, 0, True), None: (3, 0, True), 2: (0, 0, False)}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, items).first()["contaminated"] is False
