@@ -19,13 +19,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, text_of, tidy
+from .common import operator, text_of, tidy
 
 #: Symbols up to which a word counts as short.
 LONG = 64
-#: Words kept by each Python worker between batches.
-MEMO = 150_000
+#: Bytes that each of the two generations of remembered words may take in a Python worker, and what an entry costs beyond
+#: its characters. Words of more than LONG characters are not kept.
+MEMO, ENTRY = 24 << 20, 250
+#: Characters of text whose words are held at once.
+CHUNK = 1 << 19
 WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: A split pattern for which words of letters are known to be one piece.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NONE = np.int64(1) << 40
 
 
@@ -42,6 +47,31 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def words_of(text: str) -> list[str]:
+    """Split at what the tokenizer sees as white space; str.split also takes the separators 1C to 1F."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in WHITE.split(text) if w]
+    return text.split()
+
+
+def parts_of(texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Words of the texts in parts of about CHUNK characters: lists of (number of the text, words), texts in order."""
+    part, size = [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            end = at + CHUNK
+            gap = WHITE.search(text, end) if end < len(text) else None
+            end = gap.start() if gap else len(text)
+            part.append((k, words_of(text[at:end])))
+            size, at = size + end - at, max(end, 1)
+            if size >= CHUNK:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
 class PairTable:
     """Open addressing from a pair of ids to (rank, merged id), probed for whole arrays at once."""
 
@@ -89,6 +119,7 @@ class Bpe:
         self.text_of_id = {str(i): t for i, t in self.tokens.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
+        self.plain = pattern == PLAIN
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         symbols = byte_symbols()
         self.inner = np.array([self.vocab.get(s, -1) for s in symbols], np.int64)
@@ -99,6 +130,7 @@ class Bpe:
         self.digits = {i: str(i) for i in self.tokens}
         self.memo: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.held = 0
 
     # --- one piece at a time, or many ---
 
@@ -180,45 +212,59 @@ class Bpe:
 
     # --- texts ---
 
-    def _pieces(self, word: str) -> list[str]:
-        """Pieces of a word without white space, as they are split before the merges."""
-        if word.isascii():
-            return self.split.findall(word.lower())
-        return self.split.findall(lowered(word))
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Put the ids of unseen words, as decimal strings joined by a space, into the memo."""
-        cut: dict[str, list[str]] = {}
-        for w in words:
-            if w in self.old:  # not seen since the memo was last cleared
-                self.memo[w] = self.old[w]
-            elif self.specials and "<|" in w:
-                cut |= {p: self._pieces(p) for p in self.specials.split(w) if p and p not in self.special}
-            else:
-                cut[w] = self._pieces(w)
-        new = list({p for pieces in cut.values() for p in pieces})
-        ids = dict(zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True))
-        for w, pieces in cut.items():
-            self.memo[w] = ids[pieces[0]] if len(pieces) == 1 else " ".join([ids[p] for p in pieces])
-        for w in words:
-            if w not in self.memo:
-                self.memo[w] = " ".join([str(self.special[p]) if p in self.special else self.memo[p] for p in self.specials.split(w) if p])
-
-    def words(self, text: str) -> list[str]:
-        """Split at what the tokenizer sees as white space; str.split also takes the separators 1C to 1F."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [w for w in WHITE.split(text) if w]
-        return text.split()
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word without white space, as they are split before the merges."""
+        every = "\n".join(words)
+        low = (every.lower() if every.isascii() else lowered(every)).split("\n")
+        if not self.plain:
+            return [self.split.findall(w) for w in low]
+        # letters are one piece, and so is one sign behind them
+        return [[w] if w.isalpha() and w.isascii() else [w[:-1], w[-1]] if w[-1] in ".,!?;:" and w.isascii() and w[:-1].isalpha() else self.split.findall(w) for w in low]
+
+    def learn(self, words: Iterable[str]) -> dict[str, str]:
+        """The ids of words as decimal strings joined by a space; short ones are put into the memo."""
+        known = {w: self.old[w] for w in words if w in self.old} if self.old else {}  # not seen since the memo was last cleared
+        rest = [w for w in words if w not in known]
+        special = [w for w in rest if "<|" in w] if self.specials and "<|" in "\n".join(rest) else []
+        if special:
+            parts = {p for w in special for p in self.specials.split(w) if p and p not in self.special}
+            rest = list(set(rest).difference(special) | parts)
+        cut = self.cut(rest) if rest else []
+        pieces = set().union(*cut)
+        ids = {p: self.memo[p] for p in pieces.intersection(self.memo)}  # most pieces are words of their own
+        new = list(pieces.difference(ids))
+        ids |= zip(new, self.merge([p.encode("utf-8") for p in new]), strict=True)
+        known |= {w: ids[own[0]] if len(own) == 1 else " ".join([ids[p] for p in own]) for w, own in zip(rest, cut, strict=True)}
+        for w in special:
+            known[w] = " ".join([str(self.special[p]) if p in self.special else known[p] for p in self.specials.split(w) if p])
+        short = known if max(map(len, known)) <= LONG else {w: i for w, i in known.items() if len(w) <= LONG}
+        self.memo |= short
+        self.held += ENTRY * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
+        return self.memo if short is known else known
 
     def encode_many(self, texts: list[str]) -> Iterator[str]:
         """For each text its ids, as decimal strings joined by a space."""
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        cut = [self.words(t) for t in texts]
-        self.learn({w for words in cut for w in words}.difference(self.memo))
-        for words in cut:
-            ids = " ".join(map(self.memo.__getitem__, words))
-            yield ids if "  " not in ids and ids.strip(" ") == ids else " ".join(ids.split())
+        now, ids = 0, []
+        for part in parts_of(texts):
+            if self.held > MEMO:
+                self.old, self.memo, self.held = self.memo, {}, 0
+            new = {w for _, words in part for w in words}.difference(self.memo)
+            known = self.learn(new) if new else self.memo
+            if known is not self.memo:  # with words that are not kept
+                known = known | {w: self.memo[w] for _, words in part for w in words if w not in known}
+            for k, words in part:
+                if k != now:
+                    yield " ".join(ids)
+                    now, ids = k, []
+                own = " ".join(map(known.__getitem__, words))
+                if own:
+                    ids.append(own if "  " not in own and own.strip(" ") == own else " ".join(own.split()))
+        if texts:
+            yield " ".join(ids)
+
+    def forget(self) -> None:
+        """Drop what was learned: Python workers live on into stages that have no use for it."""
+        self.memo, self.old, self.held = {}, {}, 0
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in next(self.encode_many([text])).split()]
@@ -228,7 +274,13 @@ class Bpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def decode_digits(self, ids: str) -> str:
-        return " ".join(map(self.text_of_id.__getitem__, ids.split(" "))) if ids else ""
+        out, at = [], 0
+        while at < len(ids):
+            end = ids.find(" ", at + CHUNK)
+            end = end if end >= 0 else len(ids)
+            out.append(" ".join(map(self.text_of_id.__getitem__, ids[at:end].split(" "))))
+            at = end + 1
+        return " ".join(out)
 
 
 _LOADED: dict[str, Bpe] = {}
@@ -246,6 +298,7 @@ OUTPUTS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa
 _SQL = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
+@operator
 def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """doc_id and the chosen OUTPUTS of the whole text of each row of docs, in one narrow pass.
 
@@ -253,7 +306,6 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
     these ids. A null text counts as empty: no ids, an empty decoded text. Rows that repeat give equal
     rows. Columns other than doc_id and text are not read.
     """
-    bounded_batches(docs.sparkSession)
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,19 +320,21 @@ def bpe(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"
                         (np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)) if k == "ids" else sha(ids) if k == "ids_sha256" else decoded if k == "decoded" else sha(decoded)
                     )
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], OUTPUTS[k]) for k in outputs]], ["doc_id", *outputs])
+        own.forget()
         tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {_SQL[k]}" for k in outputs))
 
 
+@operator
 def decode(encoded: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """doc_id and text decoded from an array of ids; null counts as no ids."""
-    bounded_batches(encoded.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+        tidy()
 
     return encoded.select("doc_id", column).mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -15,6 +15,7 @@ the bytes it shares with the one before it.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -32,8 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WHITE, lowered
-from .common import BROADCAST_ROWS, bounded_batches, materialise, shared_dir, text_of
+from .bpe import LONG, PLAIN, lowered, parts_of
+from .common import groups_of, materialise, operator, shared_dir, text_of, tidy
 
 MAGIC = b"SST1"
 FOOTER = struct.Struct("<QQIQQI4s")
@@ -43,8 +44,14 @@ BLOOM_PROBES = 4
 BLOOM_BITS_PER_KEY = 12
 #: Bytes of entries in a block, and of blocks in a shard, before the next is begun.
 BLOCK, SHARD = 64 << 10, 256 << 20
-#: Words whose ids a Python worker keeps.
-MEMO = 500_000
+#: Bytes that each of the two generations of kept words may take in a Python worker, and what an entry costs beyond its
+#: characters and ids.
+MEMO, ENTRY_BYTES = 48 << 20, 220
+#: The only normalisation and split of a tokenizer file for which words are taken apart before the library.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITS = {"type": "Split", "pattern": {"Regex": PLAIN}, "behavior": "Removed", "invert": True}
+#: Shards whose names a worker holds for a lookup.
+SHARDS = 200_000
 #: Pieces that go to the library as one text.
 PIECES = 2_000
 
@@ -157,9 +164,10 @@ class Reader:
 class LibraryEncoder:
     """Ids from the tokenizers library, as packed bytes.
 
-    The tokenizers that this serves split at white space and merge within words, so each distinct word goes to the
-    library once, and its packed ids are kept. Where the vocabulary marks the end of a word, words are cut into pieces
-    first, as the tokenizer does, and many distinct pieces go to the library as one text; the marks part their ids again.
+    Any tokenizer file gets whole texts. One whose normalisation and split pattern are those of SPLITS certainly cuts at
+    white space and merges within pieces of words, so there each distinct piece goes to the library once and its packed ids
+    are kept: many pieces make one text, and the marks at the ends of words part their ids again. That is what makes
+    the difference between 900 and 350 CPU seconds a GB.
     """
 
     def __init__(self, path: str):
@@ -169,42 +177,46 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split, suffix = None, spec["model"].get("end_of_word_suffix")
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        if suffix and kinds == ["NFC", "Replace", "Lowercase"]:
-            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-            self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.split = None
+        suffix, normal, cut = spec["model"].get("end_of_word_suffix"), (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if suffix and normal == NORMAL and cut[0] == SPLITS and [c["type"] for c in cut[1:]] == ["ByteLevel"] and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"]) and not any(t["normalized"] for t in spec["added_tokens"]):
+            self.split = regex.compile(PLAIN)
+            self.ends = np.zeros(size, bool)
             self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was learned: Python workers live on into stages that have no use for it."""
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, word: str) -> list[str]:
         """The word in the tokenizer's normal form, cut as it cuts; plain words need no pattern."""
         low = word.lower() if word.isascii() else lowered(word)
-        if low.isalpha():
+        if low.isalpha() and low.isascii():
             return [low]
-        if low[-1] in ".,!?;:" and low[:-1].isalpha():
+        if low[-1] in ".,!?;:" and low.isascii() and low[:-1].isalpha():
             return [low[:-1], low[-1]]
         return self.split.findall(low)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of words; short ones are put into the memo."""
         memo, every = self.memo, " ".join(words)
-        if self.split is None:
-            whole, words = words, []
-        elif any(s in every for s in self.special):
-            whole = [w for w in words if any(s in w for s in self.special)]
-            words = list(set(words).difference(whole))
-        else:
-            whole = []
-        for w, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.dtype).tobytes()
+        special = [w for w in words if any(s in w for s in self.special)] if any(s in every for s in self.special) else []
+        words = list(set(words).difference(special)) if special else words
+        known = dict(zip(special, self.whole(special), strict=True))
         cut = [self.pieces(w) for w in words]
-        pieces = [p for p in {p for own in cut for p in own} if p not in memo]  # a piece is a word of its own
+        pieces = list(set().union(*cut).difference(memo))  # a piece is a word of its own
         fresh: dict[str, bytes] = {}
         for at in range(0, len(pieces), PIECES):
             block = pieces[at : at + PIECES]
@@ -216,18 +228,34 @@ class LibraryEncoder:
             for p, end in zip(block, ends, strict=True):
                 fresh[p] = packed[start:end]
                 start = end
-        known = lambda p: fresh[p] if p in fresh else memo[p]
-        memo |= {w: known(own[0]) if len(own) == 1 else b"".join([known(p) for p in own]) for w, own in zip(words, cut, strict=True)}
+        of = lambda p: fresh[p] if p in fresh else memo[p]
+        known |= {w: of(own[0]) if len(own) == 1 else b"".join([of(p) for p in own]) for w, own in zip(words, cut, strict=True)}
+        return known
+
+    def keep(self, known: dict[str, bytes]) -> bool:
+        """Whether all are short enough to stay in the memo, where short ones are put."""
+        short = known if max(map(len, known), default=0) <= LONG else {w: i for w, i in known.items() if len(w) <= LONG}
+        self.memo |= short
+        self.held += ENTRY_BYTES * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
+        return short is known
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        cut = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [w for w in WHITE.split(t) if w] for t in texts]
-        new = set().union(*cut).difference(self.memo)
-        back = new.intersection(self.old)
-        self.memo |= {w: self.old[w] for w in back}
-        self.learn(list(new.difference(back)))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in cut]
+        if self.split is None:
+            return [ids for block in groups_of(texts) for ids in self.whole(block)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for part in parts_of(texts):
+            if self.held > MEMO:
+                self.old, self.memo, self.held = self.memo, {}, 0
+            new = {w for _, words in part for w in words}.difference(self.memo)
+            known = {w: self.old[w] for w in new if w in self.old} if self.old else {}
+            self.keep(known)
+            rest = list(new.difference(known))
+            known = self.memo
+            if rest and not self.keep(fresh := self.learn(rest)):  # with words that are not kept
+                known = fresh | {w: self.memo[w] for _, words in part for w in words if w not in fresh}
+            for k, words in part:
+                out[k].append(b"".join(map(known.__getitem__, words)))
+        return [b"".join(ids) for ids in out]
 
 
 _LOADED: dict[str, LibraryEncoder] = {}
@@ -244,6 +272,7 @@ def loaded(path: str) -> LibraryEncoder:
 _MANIFEST = "path string, low string, high string, docs long, ids long"
 
 
+@operator
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> DataFrame:
     """Write the ids of every whole text, each document followed by end_id, to shards in ascending doc_id order.
 
@@ -252,7 +281,6 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     task writes to names of its own, and only what a committed task reports is in the manifest, so that repeated and
     lost tasks leave nothing that is read. Null texts are empty, and hold only end_id; a null doc_id comes first.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(tokenizer)
@@ -276,14 +304,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
                 writer.add(key, ids + end)
         if writer:
             finish()
+        encoder.forget()
+        tidy()
         if done:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["path", "low", "high", "docs", "ids"]), preserve_index=False)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return materialise(ranged.mapInArrow(run, _MANIFEST))
 
 
+@operator
 def read_shards(manifest: DataFrame) -> DataFrame:
     """All documents of the shards: doc_id, start (ids before it, over all shards), n_tokens, ids_crc32.
 
@@ -313,22 +344,37 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+@operator
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and ids of the wanted identifiers (one column doc_id) that the shards hold.
 
-    The manifest says which shards may hold a key; in a shard the Bloom filter, then a binary search of the
+    The manifest says which shards may hold a key: they are in order, so a binary search finds the last of them, and those
+    before it follow. It goes to the tasks in slices of SHARDS. In a shard the Bloom filter, then a binary search of the
     sparse index, then one block decide.
     """
-    if manifest.count() > BROADCAST_ROWS:
-        raise ValueError("too many shards for one lookup: write larger ones")
     spark = manifest.sparkSession
-    table = sorted((r["low"], r["high"], r["path"]) for r in manifest.toLocalIterator())
-    shared = spark.sparkContext.broadcast(table)
+    keys, shards = materialise(wanted.select(F.col("doc_id").cast("long")).distinct()), materialise(manifest.select("low", "high", "path"))
+    slices = -(-shards.count() // SHARDS)
 
-    def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = [key_of(None if pd.isna(x) else int(x)).hex() for x in pdf["doc_id"]]
-            yield pd.DataFrame([(p, k) for k in keys for low, high, p in shared.value[: bisect_right(shared.value, (k, "~"))] if low <= k <= high], columns=["path", "key"])
+    def routed(k: int) -> DataFrame:
+        own = shards.where(F.pmod(F.xxhash64("path"), F.lit(slices)) == k)
+        shared = spark.sparkContext.broadcast(sorted(tuple(r) for r in own.toLocalIterator()))
+
+        def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = shared.value
+            for pdf in batches:
+                out = []
+                for key in [key_of(None if pd.isna(x) else int(x)).hex() for x in pdf["doc_id"]]:
+                    at = bisect_right(table, (key, "~")) - 1
+                    while at >= 0 and table[at][1] >= key:
+                        out.append((table[at][2], key))
+                        at -= 1
+                yield pd.DataFrame(out, columns=["path", "key"])
+
+        return keys.mapInPandas(route, "path string, key string")
+
+    every = [routed(k) for k in range(slices)] or [keys.select(F.lit("").alias("path"), F.lit("").alias("key")).limit(0)]
+    found = functools.reduce(DataFrame.union, every)
 
     def fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened: dict[str, Reader] = {}
@@ -341,8 +387,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(doc_id, ids.astype(np.int64)) for ids in opened[path].get(doc_id)]
             yield pd.DataFrame({"doc_id": pd.array([d for d, _ in out], "Int64"), "ids": [i for _, i in out]})
 
-    routed = wanted.select(F.col("doc_id").cast("long")).distinct().mapInPandas(route, "path string, key string")
-    return routed.repartition("path").sortWithinPartitions("path").mapInPandas(fetch, "doc_id long, ids array<long>")
+    return found.repartition("path").sortWithinPartitions("path").mapInPandas(fetch, "doc_id long, ids array<long>")
 
 
 def tokens_to_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> tuple[DataFrame, DataFrame]:

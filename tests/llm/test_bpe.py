@@ -28,6 +28,17 @@ def test_same_ids_and_decoded_text_as_the_library():
         assert own.decode(want) == own.decode_digits(ids) == library.decode(want, skip_special_tokens=False), text
 
 
+def test_forgetting_and_parts_change_nothing(monkeypatch):
+    library, own = Tokenizer.from_file(PATH), Bpe(PATH)
+    monkeypatch.setattr("legalspark.llm.bpe.MEMO", 20_000)
+    monkeypatch.setattr("legalspark.llm.bpe.CHUNK", 200)
+    some = texts() + texts()[::-1]
+    for text, ids in zip(some, own.encode_many(some), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert [int(i) for i in ids.split()] == want and own.decode_digits(ids) == library.decode(want, skip_special_tokens=False), text
+    assert own.held < 100_000 and max(map(len, own.memo)) <= 64
+
+
 def test_merge_loops_agree():
     own, rng = Bpe(PATH), random.Random(1)
     words = ["".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 64))).encode() for _ in range(500)]

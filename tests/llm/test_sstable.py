@@ -18,8 +18,23 @@ def test_memo_gives_the_ids_of_whole_texts():
         assert np.frombuffer(packed, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
-def test_other_tokenizers_take_whole_words():
-    assert sstable.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json")).split is None
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), sstable.LibraryEncoder(path)
+    some = ["Hello  world of\nlaw", *texts()[:500]]
+    assert own.split is None
+    for text, packed in zip(some, own.encode_many(some), strict=True):
+        assert np.frombuffer(packed, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forgetting_and_parts_change_nothing(monkeypatch):
+    library, own = Tokenizer.from_file(PATH), sstable.LibraryEncoder(PATH)
+    monkeypatch.setattr(sstable, "MEMO", 20_000)
+    monkeypatch.setattr("legalspark.llm.bpe.CHUNK", 200)
+    some = texts() + texts()[::-1]
+    for text, packed in zip(some, own.encode_many(some), strict=True):
+        assert np.frombuffer(packed, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert own.held < 100_000 and max(map(len, own.memo)) <= 64
 
 
 def brute(rows):
@@ -54,6 +69,13 @@ def test_repeated_identifiers_and_an_empty_table(spark):
     assert sstable.tokens_to_shards(docs.limit(0), PATH)[1].count() == 0
 
 
+def test_lookup_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARDS", 1)
+    docs = spark.createDataFrame([(k // 3, f"word {k}") for k in range(300)], "doc_id long, text string").repartition(6)
+    manifest, _ = sstable.tokens_to_shards(docs, PATH)
+    assert sstable.lookup(manifest, spark.range(-5, 105).toDF("doc_id")).count() == 300
+
+
 def test_blocks_share_prefixes(tmp_path):
     out = io.BytesIO()
     out.close = lambda: None
