@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Links (16 bytes each) up to which one task joins them; more take the steps until they are few or done.
+FEW = 1_000_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """id and component of few edges (u, v), by union and find in one task."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict = {}
+
+        def root(x):
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for pdf in batches:
+            for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+                above.setdefault(u, u)
+                above.setdefault(v, v)
+                a, b = root(u), root(v)
+                above[max(a, b)] = min(a, b)
+        ids = list(above)
+        yield pd.DataFrame({"id": ids, "component": [root(x) for x in ids]})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return materialise(edges.select("u", "v").repartition(1).mapInPandas(run, f"id {kind}, component {kind}"))
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id and component (the smallest id reachable) of each node of the undirected links.
 
     Each step is a minimum per node, combined before the shuffle, and a join of edges with these minima, whose
-    large keys Spark can split; the number of edges never grows. No link or component passes through the driver.
+    large keys Spark can split; the number of edges never grows. Once at most FEW are left, one task ends the work, so
+    that a small table does not take many small jobs. No link or component passes through the driver.
     """
     edges = materialise(links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
+    if edges.count() <= FEW:
+        return _joined(edges)
     before = None
     while True:
         # large star: neighbours above u go to the smallest of u and its neighbours

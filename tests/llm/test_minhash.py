@@ -128,7 +128,9 @@ def test_large_buckets_need_few_comparisons(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == component
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr("legalspark.llm.components.FEW", few)
     edges = [(k, k + 1) for k in range(1, 60)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 4999), (4999, 5000)]
     random.Random(3).shuffle(edges)
     found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
