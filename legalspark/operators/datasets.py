@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed, input_key, text, usable
+from ..sources.shared import written
 
 SYSTEM = "You are a legal assistant."
 
@@ -23,20 +24,23 @@ def remaining_under_cap(cases: DataFrame, existing: DataFrame, cap: int = 2) ->
 
 
 def sample_cases(df: DataFrame, key: str, seed: int = 42, limit: int | None = None) -> DataFrame:
-    """A seeded sample without replacement, or a seeded shuffle (limit None): rows in the order of a hash of key and seed.
-    The same rows come whatever the partitions are. Adds order."""
-    rows = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    return rows.orderBy("_h", key).limit(limit).drop("_h") if limit is not None else rows.orderBy("_h", key).drop("_h")
+    """A seeded sample without replacement, or a seeded shuffle (limit None): rows in the order of the MD5 of key:seed, with
+    place, from 0. The same rows come whatever the partitions are. A sample is a top-k, which sorts only what each task keeps."""
+    order = [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+    return _numbered(df if limit is None else df.orderBy(*order).limit(limit), *order, name="place")
 
 
 def _numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
-    """Consecutive numbers from 0 in a global order, without putting all rows in one task: rows are dealt by ranges of the
-    order, counted in each range, and numbered within it."""
-    ranged = df.withColumn("_o", F.struct(*order)).repartitionByRange("_o").withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))  # a row for each range
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    own = F.row_number().over(Window.partitionBy("_p").orderBy("_o")) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_own")).drop("_o", "_p", "_own", "_before")
+    """Consecutive numbers from 0 in a global order, without putting all rows in one task.
+
+    Rows are dealt by ranges of the order, sorted within them and written once with the range and their place in it, so that
+    the sizes of the ranges and the rows are of the same dealing. Only the sizes, a row for each range, meet in one task.
+    """
+    ranged = df.withColumn("_o", F.struct(*order)).repartitionByRange("_o").sortWithinPartitions("_o").drop("_o")
+    own = written(ranged.withColumn("_i", F.monotonically_increasing_id()))  # partition << 33, and the place in it
+    rows = own.withColumns({"_p": F.shiftright("_i", 33), "_own": F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = rows.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return rows.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_own")).drop("_i", "_p", "_own", "_before")
 
 
 def assign_batches(df: DataFrame, order: str, size: int = 5) -> DataFrame:

@@ -25,8 +25,12 @@ def _statutes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def read_manifest(spark: SparkSession, manifest: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of the files that a JSON manifest lists (an array of paths, or an object with them as values or in a
     list): statutes as read_statutes gives them, and path and reason of those that cannot be read."""
-    lines = spark.read.text(manifest, wholetext=True).select(F.regexp_extract_all("value", F.lit(r'"([^"]+\.json)"'), F.lit(1)).alias("p"))
-    paths = [r["p"] for r in lines.select(F.explode("p").alias("p")).collect()]  # names of files, few by nature
+    lines = spark.read.text(manifest, wholetext=True)
+    listed = F.from_json("value", "array<string>")
+    named = F.map_values(F.from_json("value", "map<string,string>"))  # lists among the values stay JSON and are read in turn
+    every = F.flatten(F.transform(named, lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))))
+    found = lines.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(every)).alias("p")).where("p is not null and p <> ''").distinct()
+    paths = sorted(r["p"] for r in found.collect())  # names of files, few by nature
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     there = [p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))]
