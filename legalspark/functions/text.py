@@ -63,6 +63,31 @@ def whole_word(c: Column, token: str) -> Column:
     return c.contains(token) & c.rlike(rf"(?U)\b{re.escape(token)}\b")
 
 
+def once(c: Column, use) -> Column:
+    """use(c), with c computed once however often it stands there, also in the functions of arrays."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def running_total(sizes: Column) -> Column:
+    """array<int> of the sums of an array of int up to each element; of an empty or null array, empty.
+
+    Arrays that grow by an element are copied each time, so the sums are taken in blocks of about the root of the length.
+    """
+
+    def sums(values: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    def blocked(v: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / side).cast("int")), lambda b: F.slice(v, b * side + 1, side))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        starts = once(totals, lambda t: F.zip_with(sums(t, F.lit(0)), t, lambda end, own: end - own))
+        return F.flatten(F.zip_with(blocks, starts, sums))
+
+    return once(sizes, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<int>")))
+
+
 def match_spans(c: Column | str, pattern: str, group: int = 0) -> Column:
     """array<struct<start,end,value>> of the matches of a pattern, in order; offsets in characters, from 0.
 
@@ -70,15 +95,16 @@ def match_spans(c: Column | str, pattern: str, group: int = 0) -> Column:
     """
     c = col(c)
     spans = "array<struct<start:int,end:int,value:string>>"
-    parts = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(c, F.lit(pattern), F.lit(group)).alias("v"), F.slice(F.split(c, pattern, -1), 1, F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))).alias("g"))
 
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["g"])
-        end = start + F.length(p["m"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["v"].alias("value")))).alias("out"))
+    def placed(p: Column) -> Column:
+        """Ends are running totals of gaps and matches."""
+        ends = running_total(F.zip_with(p["m"], F.slice(p["g"], 1, F.size(p["m"])), lambda m, g: F.length(g) + F.length(m)))
+        rows = F.arrays_zip(ends.alias("end"), p["m"].alias("m"), p["v"].alias("v"))
+        return F.transform(rows, lambda r: F.struct((r["end"] - F.length(r["m"])).alias("start"), r["end"].alias("end"), r["v"].alias("value")))
 
+    parts = F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(c, F.lit(pattern), F.lit(group)).alias("v"), F.split(c, pattern, -1).alias("g"))
     # without a match nothing is walked
-    return F.when(c.rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step, lambda s: s["out"])).otherwise(F.array().cast(spans))
+    return F.when(c.rlike(pattern), once(parts, placed)).otherwise(F.array().cast(spans))
 
 
 # --- names and labels ---
