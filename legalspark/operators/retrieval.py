@@ -16,6 +16,9 @@ from ..functions.text import text, usable, words
 #: BM25.
 K1, B = 1.2, 0.75
 
+#: Distinct words of all questions up to which they are broadcast.
+TERMS = 1_000_000
+
 
 def _tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\W+"), lambda t: t != "")
@@ -33,16 +36,19 @@ def build_index(corpus: DataFrame, columns: Sequence[str] = ("content",)) -> tup
     return postings, postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def keyword_search(queries: DataFrame, corpus: DataFrame, columns: Sequence[str] = ("content",), k: int = 10, column: str = "text") -> DataFrame:
-    """query_id, id, score, rank: BM25 over the corpus columns; each distinct word of a question counts once.
+def keyword_search(queries: DataFrame, corpus: DataFrame, columns: Sequence[str] = ("content",), k: int = 10, column: str = "text", digits: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k best by BM25 over the corpus columns; each distinct word of a question counts once.
 
-    Words that no question has are dropped in the scan, before anything is shuffled, so what is shuffled follows the
-    questions' words. Frequencies and the mean length are taken over the whole corpus.
+    The words of all questions are counted; up to TERMS they are broadcast, so that other words go in the scan, before
+    anything is shuffled. Frequencies and the mean length are taken over the whole corpus. digits rounds scores before
+    they are ranked; ties go to the smaller id.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(_tokens(F.col(column)))).alias("term"))
     rows = corpus.select("id", _tokens(F.concat_ws(" ", *columns)).alias("tokens")).withColumn("length", F.size("tokens"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = rows.select("id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    few = terms.count() <= TERMS
+    wanted = rows.select("id", "length", F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
     postings = wanted.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     # counting by both columns keeps the exchange of the postings as it is, so that Spark makes it once and reads it twice
     df = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("length") > 0)).alias("df"))
@@ -50,6 +56,7 @@ def keyword_search(queries: DataFrame, corpus: DataFrame, columns: Sequence[str]
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("w"))  # stats: one row
     scored = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    scored = scored if digits is None else scored.withColumn("score", F.round("score", digits))
     return _rank(scored, [F.desc("score"), "id"], k)
 
 
@@ -145,12 +152,13 @@ def _scored(candidates: DataFrame, queries: DataFrame, texts: DataFrame, scorer:
     return met.withColumn("relevance", 1 / (1 + F.exp(-score("_q", F.coalesce("_t", F.lit("")))))).drop("_q", "_t")
 
 
-def rerank(candidates: DataFrame, k: int = 5, threshold: float = 0.2, scorer: Callable | None = None, queries: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, k: int = 5, threshold: float = 0.2, scorer: Callable | None = None, queries: DataFrame | None = None, texts: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """candidates (current, rank) with final, the best k: 0.3 of the current score and 0.7 of the scorer's, not below the
-    threshold. Without a scorer the first k stay as they are."""
+    threshold; digits rounds it before it is ranked. Without a scorer the first k stay as they are."""
     if scorer is None:
         return _rank(candidates, ["rank"], k, name="_r").withColumn("final", F.col("current")).withColumn("rank", F.col("_r")).drop("_r")
     out = _scored(candidates, queries, texts, scorer).withColumn("final", 0.3 * F.col("current") + 0.7 * F.col("relevance")).where(F.col("final") >= threshold)
+    out = out if digits is None else out.withColumn("final", F.round("final", digits))
     return _rank(out.drop("rank", "relevance"), [F.desc("final"), "id"], k)
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block of a similarity join, and questions that a search keeps in each worker at once.
-BLOCK, QUERIES = 2_000, 10_000
+BLOCK, QUERIES = 8_000, 10_000
+#: Vectors of a block that are multiplied with another block at once.
+STRIP = 1_000
 
 
 def hashing_encoder(texts: list[str], size: int = 64) -> np.ndarray:
@@ -48,16 +50,18 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = None, id_col: str = "id", vector: str = "embedding", scale: str = "raw", blocks: int | None = None) -> DataFrame:
     """id1 < id2, similarity of all pairs with a cosine of at least threshold; null and zero vectors have none.
 
-    Rows are dealt to blocks by the hash of their id, and each pair of blocks meets in one task as one matrix product; only
-    pairs above the threshold leave it. The number of blocks follows the number of rows, so a task holds two blocks of
-    about BLOCK vectors whatever the table's size. scope names a column whose values must be equal (such as a document);
-    scale="unit" gives (1 + cosine) / 2.
+    Rows are dealt to blocks by the hash of their id, and each pair of blocks meets in one task as a matrix product, in strips;
+    only pairs above the threshold leave it. scope names a column whose values must be equal (such as a document); a null one
+    equals none. The number of blocks follows the number of rows of a scope, so a task holds two blocks of about BLOCK
+    vectors whatever the table's size, and rows of small scopes are not copied. scale="unit" gives (1 + cosine) / 2.
     """
     rows = df.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(scope) if scope else F.lit(0)).alias("scope"))
-    if blocks is None:
-        blocks = max(1, -(-rows.count() // BLOCK))
-    own = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
+    if blocks is not None or not scope:
+        own = rows.withColumn("n", F.lit(blocks if blocks is not None else max(1, -(-rows.count() // BLOCK))))
+    else:
+        own = rows.join(rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "scope")
+    own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("n")
     kind = df.schema[id_col].dataType.simpleString()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,9 +69,13 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = Non
         left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"id1": pdf["id"][:0], "id2": pdf["id"][:0], "similarity": pd.Series([], dtype=float)})
-        s = _unit(left["v"]) @ _unit(right["v"]).T
-        a, b = np.nonzero(s >= threshold)
-        x, y, s = left["id"].to_numpy()[a], right["id"].to_numpy()[b], s[a, b]
+        l, r, found = _unit(left["v"]), _unit(right["v"]).T, []  # noqa: E741
+        for at in range(0, len(l), STRIP):
+            s = l[at : at + STRIP] @ r
+            a, b = np.nonzero(s >= threshold)
+            found.append((a + at, b, s[a, b]))
+        a, b, s = (np.concatenate(part) for part in zip(*found, strict=True))
+        x, y = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
         good = x < y if i == j else x != y
         x, y, s = x[good], y[good], s[good]
         return pd.DataFrame({"id1": np.minimum(x, y), "id2": np.maximum(x, y), "similarity": s}) if x.dtype != object else pd.DataFrame({"id1": [min(p) for p in zip(x, y, strict=True)], "id2": [max(p) for p in zip(x, y, strict=True)], "similarity": s})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, retrieval, vectors
+from ..sources.shared import written
 from . import testdata as t
 from .registry import query
 from .testdata import table, with_views
@@ -202,8 +203,7 @@ keyword AS (SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, row_nu
 
 def _keyword(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    every = retrieval.keyword_search(t.questions(spark, d), docs, k=None).withColumn("score", F.round("score", 6)).drop("rank")
-    return retrieval._rank(every, [F.desc("score"), "id"], 10)
+    return retrieval.keyword_search(t.questions(spark, d), docs, digits=6)
 
 
 @query(with_views("questions") + f", {_BM25} SELECT query_id, id, score, rank FROM keyword")
@@ -249,7 +249,7 @@ f2 AS (SELECT query_id, id, type, CASE WHEN type = 'article' THEN 0.45 * coalesc
 
 @query(_FUSED + " SELECT query_id, id, type, round(combined, 8) AS combined, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, type, id) AS rank FROM f2) WHERE rank <= 10")
 def q4_multi_stage(spark, d):
-    s, k = _semantic(spark, d), _keyword(spark, d)
+    s, k = written(_semantic(spark, d)), written(_keyword(spark, d))
     out = retrieval.multi_stage(s, k, s, k, t.cites(spark, d), t.case_cites(spark, d), t.cases(spark, d))
     return out.select("query_id", "id", "type", F.round("combined", 8).alias("combined"), "rank")
 
@@ -281,8 +281,9 @@ def q7_retrieve_cases(spark, d):
 @query(_STATUTES + f""", {_CASES}, both_ AS (SELECT query_id, id, 'article' AS type, coalesce(similarity, 0) AS final, rank FROM statutes WHERE rank <= 5 UNION ALL SELECT query_id, id, 'case', coalesce(similarity, 0), rank FROM found WHERE rank <= 5)
 SELECT query_id, id, type, round(final, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY type, rank, id) AS rank FROM both_""")
 def q8_grade_and_combine(spark, d):
-    found = retrieval.retrieve_cases(_semantic(spark, d), _keyword(spark, d))
-    return retrieval.grade_and_combine(_statutes(spark, d), found).select("query_id", "id", "type", F.round("final", 6).alias("final"), "rank")
+    s, k = written(_semantic(spark, d)), written(_keyword(spark, d))
+    statutes = retrieval.retrieve_statutes(s, k, t.questions(spark, d).withColumn("complexity", F.lit("moderate")))
+    return retrieval.grade_and_combine(statutes, retrieval.retrieve_cases(s, k)).select("query_id", "id", "type", F.round("final", 6).alias("final"), "rank")
 
 
 @query(with_views("questions", "cites") + f""", {_BM25}, {_SEMANTIC}, w AS (SELECT * FROM keyword WHERE rank <= 8), hits AS (SELECT query_id, id, min(place) AS place FROM (SELECT query_id, id, (0, rank) AS place FROM w UNION ALL SELECT query_id, id, (1, rank) FROM semantic) GROUP BY 1, 2),

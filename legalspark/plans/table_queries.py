@@ -330,10 +330,12 @@ def r6_case_merit(spark, d):
 _STRIPPED = "trim(text, ' ' || chr(10) || chr(9) || chr(13))"
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_STRIPPED}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1:8], '|') AS facts, CASE WHEN {_STRIPPED} = '' THEN 0.2 WHEN length({_STRIPPED}) > 250 THEN 0.75 ELSE 0.55 END::DOUBLE AS confidence, least(12, len(list_distinct(regexp_extract_all({_STRIPPED}, '\\b[A-Z][a-zA-Z]{{2,}}\\b')))) AS n_entities FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+_FACT_TEXT = "coalesce(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '')"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split({_FACT_TEXT}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')[1:8], '|') AS facts, CASE WHEN {_FACT_TEXT} = '' THEN 0.2 WHEN length({_FACT_TEXT}) > 250 THEN 0.75 ELSE 0.55 END::DOUBLE AS confidence, least(12, len(list_distinct(list_filter(regexp_split_to_array({_FACT_TEXT}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z]{{2,}}'))))) AS n_entities FROM documents")
 def r7_extract_facts(spark, d):
-    """All documents. The SQL twin leaves out null texts and those that are not all ASCII, as its word boundaries are those of
-    ASCII; it covers the other rows only."""
+    """A capitalised word has word characters of any script on neither side; the SQL twin takes whole words apart instead."""
     rows = table(spark, d, "documents").select("doc_id", scorers.extract_facts("text").alias("f"))
     return rows.select("doc_id", F.array_join("f.facts", "|").alias("facts"), F.col("f.confidence").cast("double").alias("confidence"), F.size("f.entities").cast("long").alias("n_entities"))
 

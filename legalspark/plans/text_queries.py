@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import datasets, retrieval, scorers, structure, vectors
-from ..sources import html, tables
+from ..sources import html, shared, tables
 from ..streaming import cases as stream
 from ..streaming import history
 from . import testdata as t
@@ -18,12 +15,6 @@ from .registry import query
 from .testdata import table, with_views
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # --- files and streams ---
 
 
@@ -37,15 +28,15 @@ def _listings(spark: SparkSession, d: str) -> str:
     """The cases as listing files of up to 500 records."""
     c = t.cases(spark, d)
     record = F.struct(F.col("citation").alias("lhc_citation"), F.concat(F.lit(" "), "title", F.lit(" on cyber crime")).alias("case_title"), F.col("date").alias("date_of_judgment"), F.col("court"), F.col("status").alias("winner"))
-    return _one_per_file(c.groupBy(F.floor(F.col("id") / 500).alias("file")).agg(F.collect_list(record).alias("judgments")).drop("file"), _folder(spark))
+    return _one_per_file(c.groupBy(F.floor(F.col("id") / 500).alias("file")).agg(F.collect_list(record).alias("judgments")).drop("file"), shared.folder(spark))
 
 
 @query("SELECT p_brand || ':Article:' || p_partkey AS id, p_brand AS document_title, CAST(p_partkey AS VARCHAR) AS article_number, p_name AS title, p_size AS page_number FROM part")
 def s1_read_statutes(spark, d):
-    """The parts of a brand as the sections of a statute file."""
+    """The parts of a brand as the sections of statute files, of up to 500 part keys each."""
     section = F.struct(F.col("p_partkey").cast("string").alias("section_number"), F.col("p_name").alias("title"), F.col("p_size").alias("page_number"))
-    documents = table(spark, d, "part").groupBy(F.col("p_brand").alias("title")).agg(F.collect_list(section).alias("sections")).select(F.struct("title", "sections").alias("document"))
-    got = structure.normalise_articles(tables.read_statutes(spark, _one_per_file(documents, _folder(spark))))
+    documents = table(spark, d, "part").groupBy(F.col("p_brand").alias("title"), F.floor(F.col("p_partkey") / 500)).agg(F.collect_list(section).alias("sections")).select(F.struct("title", "sections").alias("document"))
+    got = structure.normalise_articles(tables.read_statutes(spark, _one_per_file(documents, shared.folder(spark))))
     return got.select("id", "document_title", "article_number", "title", "page_number")
 
 
@@ -59,17 +50,30 @@ def s3_read_cases(spark, d):
     return one.join(raw.select(F.col("lhc_citation").alias("id"), "court"), "id")
 
 
+@query("SELECT p_brand AS title, count(*) AS articles FROM part GROUP BY p_brand UNION ALL SELECT 'not found', 1")
+def s2_read_manifest(spark, d):
+    """The statutes of a manifest, of up to 500 part keys each; it also names a file that is not there."""
+    article = F.struct(F.col("p_partkey").cast("string").alias("article_number"), F.col("p_name").alias("title"))
+    docs = table(spark, d, "part").groupBy(F.col("p_brand").alias("title"), F.floor(F.col("p_partkey") / 500).alias("n")).agg(F.collect_list(article).alias("articles"))
+    path, listed = _one_per_file(docs.select(F.struct("title", "articles").alias("document")), shared.folder(spark)), shared.folder(spark)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).agg(F.sort_array(F.collect_list("path")).alias("statutes"))
+    names.select(F.to_json(F.struct("statutes", F.lit(f"{path}/none.json").alias("appendix")))).write.text(listed)
+    good, bad = tables.read_manifest(spark, listed)
+    found = good.groupBy("title").agg(F.sum(F.size("articles")).alias("articles"))
+    return found.union(bad.groupBy(F.col("reason").alias("title")).agg(F.count("*").alias("articles")))
+
+
 @query(with_views("cases") + " SELECT citation AS id, title || ' on cyber crime' AS title, date, status AS winner FROM cases")
 def t1_stream_cases(spark, d):
     """The listing files as a stream: classified, normalised, upserted."""
-    out = _folder(spark)
-    stream.stream_cases(spark, _listings(spark, d), out, _folder(spark)).awaitTermination()
+    out = shared.folder(spark)
+    stream.stream_cases(spark, _listings(spark, d), out, shared.folder(spark)).awaitTermination()
     return stream.read_stream_table(spark, out).select("id", "title", "date", "winner")
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders")
 def s10_write_table(spark, d):
-    path = _folder(spark)
+    path = shared.folder(spark)
     tables.write_table(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), path, "o_orderpriority")
     return spark.read.parquet(path).select("o_orderkey", F.col("o_orderpriority").cast("string").alias("o_orderpriority"))
 
@@ -85,10 +89,10 @@ def s11_parse_listing_html(spark, d):
 @query("SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS turns, md5(string_agg(text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def t2_stream_history(spark, d):
     """The conversations as a stream of files, appended by batches, and read as histories."""
-    source, out = _folder(spark), _folder(spark)
+    source, out = shared.folder(spark), shared.folder(spark)
     turns = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"), F.timestamp_seconds("turn").alias("ts"), F.lit(0.0).alias("duration"))
     turns.write.parquet(source)
-    history.stream_history(spark.readStream.schema(turns.schema).parquet(source), out, _folder(spark)).awaitTermination()
+    history.stream_history(spark.readStream.schema(turns.schema).parquet(source), out, shared.folder(spark)).awaitTermination()
     rows = history.history(history.read_turns(spark, out))
     return rows.select("session_id", F.size("history").cast("long").alias("turns"), F.md5(F.array_join(F.transform("history", lambda h: h["question"]), "|")).alias("digest"))
 
@@ -248,14 +252,29 @@ def q5_rerank(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id")).agg(F.max("l_discount").alias("current")).withColumn("rank", F.lit(1))
     texts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
     asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.lit("?").alias("text"))
-    every = retrieval.rerank(rows, 1 << 30, scorer=lambda q, t: [len(x) % 5 - 2.0 for x in t], queries=asked, texts=texts).withColumn("final", F.round("final", 8)).drop("rank")
-    return retrieval._rank(every, [F.desc("final"), "id"], 5).select("query_id", "id", "final", "rank")
+    return retrieval.rerank(rows, 5, scorer=lambda q, t: [len(x) % 5 - 2.0 for x in t], queries=asked, texts=texts, digits=8).select("query_id", "id", "final", "rank")
 
 
-@query()
+_SHUFFLED = "SELECT id, row_number() OVER (ORDER BY md5(id || ':42'), id) - 1 AS place FROM cases"
+
+
+@query(with_views("cases") + _SHUFFLED)
 def d3_sample_cases(spark, d):
-    """A seeded shuffle of all cases with their places; tested for repetition and against other partitionings."""
-    return datasets._numbered(t.cases(spark, d), F.xxhash64("id", F.lit(42)), "id", name="place").select("id", "place")
+    """A seeded shuffle of all cases with their places."""
+    return datasets.sample_cases(t.cases(spark, d), "id").select("id", "place")
+
+
+@query(with_views("cases") + f"SELECT * FROM ({_SHUFFLED}) WHERE place < 100")
+def d3_sample_of_cases(spark, d):
+    """The seeded sample of 100."""
+    return datasets.sample_cases(t.cases(spark, d), "id", limit=100).select("id", "place")
+
+
+@query("SELECT l_orderkey AS batch, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, o_custkey HAVING count(*) = 1 + o_custkey % 7)")
+def d4_accepted_batches(spark, d):
+    """Orders as batches that ask for 1 to 7 results; those with another number of lines are rejected whole."""
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("batch"), F.explode(F.sequence(F.lit(0), F.col("o_custkey") % 7)).alias("i"))
+    return datasets.accepted_batches(asked, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("n")))
 
 
 @query("SELECT p_brand AS document_title, CAST(p_partkey % 150 AS VARCHAR) AS number, p_name AS title FROM part")

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from legalspark.functions import text as tx
 from legalspark.operators import datasets, filters, graph, reports, retrieval, scorers, structure, vectors
 from legalspark.plans import table_queries
 from legalspark.sources import html, tables
@@ -322,12 +323,72 @@ def test_write_and_upsert_are_idempotent(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "l/metadata")).first()["kept"] == 3
 
 
+def test_numbering_of_wide_rows(spark):
+    """Many ranges that adaptive execution coalesces: each number comes once, and no row is lost."""
+    n = 120_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 512), 4).alias("wide"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+    try:
+        got = datasets._numbered(df, "k", "id", name="n").select("id", "n", "wide").agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("id"), F.min(F.length("wide"))).first()
+        assert tuple(got) == (n, n, 0, n - 1, n, 512)
+        train = datasets.split(df).groupBy("split").count().collect()
+        assert {r["split"]: r["count"] for r in train} == {"train": int(n * 0.95), "test": n - int(n * 0.95)}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 5)
+    edges = [(k, 1000) for k in range(40)] + [(k, 1001) for k in range(0, 40, 2)] + [(k, 1002 + k % 3) for k in range(40)] + [(7, 1000), (None, 1000), (7, None)]
+    cites = spark.createDataFrame(edges, "src int, dst int")
+    targets = {}
+    for s, d in set(edges):
+        if s is not None and d is not None:
+            targets.setdefault(s, set()).add(d)
+    want = sorted((a, b, len(targets[a] & targets[b])) for a in targets for b in targets if a < b and len(targets[a] & targets[b]) >= 2)
+    out = graph.related_through(cites)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_pairs_in_scopes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "STRIP", 3)
+    data = [(k, [float(k % 5), 1.0, float(k % 3)], ("a", "b", None)[k % 3] if k < 40 else "c") for k in range(60)]
+    out = vectors.similar_pairs(spark.createDataFrame(data, "id int, embedding array<float>, s string"), 0.9, scope="s")
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    want = {(i, j) for i, x, s in data for j, y, u in data if i < j and s == u and s is not None and cosine(x, y) >= 0.9}
+    assert set(rows(out, "id1", "id2")) == want
+
+
+def test_match_spans_of_many_matches(spark):
+    text = "".join(f"é{k} " for k in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "12"), (5, "no")], "id int, t string")
+    got = {r["id"]: r["s"] for r in df.select("id", tx.match_spans("t", r"(\d)\d*", 1).alias("s")).collect()}
+    assert [(m["start"], m["end"], m["value"]) for m in got[1]] == [(m.start(), m.end(), m[1]) for m in re.finditer(r"(\d)\d*", text)]
+    assert [tuple(m) for m in got[4]] == [(0, 2, "1")] and not got[2] and not got[3] and not got[5]
+
+
+def test_manifests_with_lists_and_escapes(spark, tmp_path):
+    (tmp_path / 'odd "name".txt').write_text('{"document": {"title": "T", "articles": [{"article_number": "1", "title": "x"}]}}')
+    path = str(tmp_path / 'odd "name".txt')
+    for n, form in enumerate(([path, "/none"], {"a": path, "b": "/none"}, {"all": [path], "more": ["/none", "/none"]})):
+        (tmp_path / f"m{n}").write_text(json.dumps(form))
+        good, bad = tables.read_manifest(spark, str(tmp_path / f"m{n}"))
+        assert rows(good, "title") == [("T",)] and rows(bad, "path", "reason") == [("/none", "not found")]
+
+
 def test_numbering_and_samples(spark):
     df = spark.range(103).withColumn("k", F.col("id") * 7 % 103).repartition(7)
     assert rows(datasets.assign_batches(df, "k", 5), "k", "batch") == sorted([(k, k // 5) for k in range(103)], key=str)
     first = [r["id"] for r in datasets.sample_cases(df, "id", 1, 10).collect()]
     assert first == [r["id"] for r in datasets.sample_cases(df.repartition(3), "id", 1, 10).collect()] and len(set(first)) == 10
     assert first != [r["id"] for r in datasets.sample_cases(df, "id", 2, 10).collect()]
+    assert [r["place"] for r in datasets.sample_cases(df, "id", 1, 10).orderBy("place").collect()] == list(range(10))
+    assert rows(datasets.sample_cases(df, "id", 1).where("place < 10"), "id") == rows(datasets.sample_cases(df, "id", 1, 10), "id")
     n = datasets.split(df.select("id"))
     assert n.where("split = 'train'").count() == 97
     done = spark.createDataFrame([(0,)] * 5 + [(1,)] * 4, "batch int")
