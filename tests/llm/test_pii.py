@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from legalspark.llm.pii import find
 
@@ -56,5 +57,26 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[100 + k].startswith("email:") and "," not in found[100 + k] for k in range(9))
 
 
+def test_rows_of_one_identifier_keep_their_spans(spark):
+    rows = [(k, f"some words here call me at +1 (974) 555-{1000 + k} today") for k in range(30)]
+    rows += [(90, "please call me at 974/555/1234 or read page 1234567"), (90, "nothing of the kind stands in this text"), (None, "you may call me at 974/555/9876 now"), (None, "and this one has nothing at all in it")]
+    docs = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, spans string, row int")
+    found = sorted(r["spans"] for r in find(docs).collect() if r["doc_id"] in (90, None))
+    assert found == ["", "", "phone:18:30", "phone:19:31"]
+
+
+def test_tokens_that_touch_base_spans_are_no_candidates(spark):
+    rows = [(k, f"call me at +1 (974) 555-{1000 + k} today") for k in range(12)] + [(90, "call me at x+1 (974) 555-2000y call me at 974/555/1234")]
+    (r,) = [r for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 90]
+    assert r["spans"] == "phone:12:29,phone:42:54"
+
+
+def test_very_many_tokens(spark):
+    text, began = "".join(f"tok{k} 10.0.{k % 256}.{k % 250} " for k in range(100_000)), time.time()
+    (r,) = find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["n_ip"] == 100_000 and time.time() - began < 120
+    assert r["base_sha256"] == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+
+
 def test_empty_table(spark):
     assert find(spark.createDataFrame([], "doc_id long, text string, kind int, spans string")).count() == 0
