@@ -185,17 +185,24 @@ def resolve_link(*links: Column | str, key: str = "jgmnt") -> Column:
 # --- cleaning of statute text ---
 
 #: Fixed: running headers by profile.
-_HEADERS = {"act": r"Page\s+\d+\s+of\s+\d+", "constitution": "CONSTITUTION OF PAKISTAN"}
+_HEADERS = {"act": r"Page\s+\d+\s+of\s+\d+", "constitution": "CONSTITUTION OF PAKISTAN", "penal_code": "CONSTITUTION OF PAKISTAN"}
+#: Fixed: names of clauses in a penal code, and what clause markers get a line of their own after, by profile.
+_NAMES = r"(?:\d+|[a-z]|i{1,4}v?|iv|v|vi{1,3}|ix|x)"
+_BREAKS = {
+    "act": [(r"(?<=[.!?:;])\s+(?=\(\s*\d+\s*\))", "\n"), (r"(?<=[.!?:;])\s+(?=\(\s*[a-z]\s*\))", "\n")],
+    "constitution": [(r"(?<=[.!?:;])\s+(?=(?:\[\s*)?\(\s*\d+\s*\)\]?\s)", "\n")],
+    "penal_code": [
+        (rf"(?<=[.!?:;])\s+(?=(?:\[\s*)?\(\s*{_NAMES}\s*\)\]?\s)", "\n"), (rf"([A-Za-z])\s+(?=\(\s*{_NAMES}\s*\))", "$1\n"),
+        (r"(Illustrations?|Examples?|Notes?)\s*\n?\s*(?=\([a-z0-9ivx]+\))", "$1\n"),
+    ],
+}
 
 
 def clean_text(c: Column | str, profile: str = "act") -> Column:
     """Spaces, page numbers, running headers, clause markers and punctuation of extracted statute text."""
     out = F.translate(F.coalesce(col(c), F.lit("")), "    ", "    ")
-    steps = [(r"(?mi)^\s*\d+\s*$", ""), (rf"(?mi)^\s*{_HEADERS[profile]}\s*$", ""), (r"[ \t]+", " ")]
-    if profile == "act":
-        steps += [(r"(?<=[.!?:;])\s+(?=\(\s*\d+\s*\))", "\n"), (r"(?<=[.!?:;])\s+(?=\(\s*[a-z]\s*\))", "\n")]
-    else:
-        steps += [(r"(?<=[.!?:;])\s+(?=(?:\[\s*)?\(\s*\d+\s*\)\]?\s)", "\n")]
+    # fixed steps, in this order
+    steps = [(r"(?mi)^\s*\d+\s*$", ""), (rf"(?mi)^\s*{_HEADERS[profile]}\s*$", ""), (r"[ \t]+", " "), *_BREAKS[profile]]
     steps += [(r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"\s*\*+\s*" if profile == "act" else r"\s*(?:\*\s*){6}", " ")]
     steps += [(r"\s+,", ","), (r"\s+\.", "."), (r"\s*\)\s*", ") "), (r"\s*\(\s*", " ("), (r"\n{3,}", "\n\n")]
     for pattern, to in steps:

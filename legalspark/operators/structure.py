@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import blank_to_null, clean_text, col, extract_clauses, extract_subsections, first_text, main_content, make_id, strip, text
 
@@ -115,23 +116,82 @@ def filter_body_lines(lines: DataFrame, rules: DataFrame, pages: DataFrame) -> D
 HEADERS = {
     "act": r"^\s*(\d+[A-Z]*)\.\s+(.+)$",
     "constitution": r"^\s*(\d+[A-Z]*)\.\s*(.*)$",
-    "penal_code": r"^\s*(?:\[)?(\d+(?:-?[A-Z]+)?)\.\s*(.*)$",
+    "penal_code": r"^\s*(?:\[\s*){0,3}\(?\s*(\d+(?:-?[A-Z]+)?)\s*\.\s*(.*)$",
 }
 CHAPTER, PART = r"(?i)^\s*(CHAPTER[\s\-]+[A-Z0-9]+)\s*$", r"(?i)^\s*(PART\s+[IVXLC0-9]+)\b.*$"
+#: Fixed: the penal code's last section, the start of a block of sections that are no longer in force, heads within lines.
+LAST_SECTION, OMITTED, WITHIN = 511, r"(?i)following was omitted|following was repealed", r"(?<=[.!?])\s+(?=\d+\.)"
+#: Fixed: lines looked at above a head, least share of bold for a title there and for a strong one, how much larger its
+#: letters are, greatest distances to the head and to the next line, verbs that mark a sentence.
+TITLE_LINES, BOLD, STRONG, LARGER, FAR, APART = 4, 0.18, 0.22, 1.08, 90, 35
+VERBS = r"(?i)\b(shall|may|be|is|are|was|were|has|have|had|will)\b"
 
 
 def join_split_heads(lines: DataFrame) -> DataFrame:
-    """Lines where a header's number and letter stand apart (`225-`, then `A. title`) as one line."""
+    """Lines where a header's number and letter stand apart (`225-`, or `225- Escape`, then `A. title`) as one line."""
     w = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    split = F.coalesce(F.col("text").rlike(r"^\s*\[?\d+-\s*$") & F.lead("text").over(w).rlike(r"^\s*[A-Z]\.\s"), F.lit(False))
-    rows = lines.withColumns({"_split": split, "_next": F.lead("text").over(w), "_after": F.coalesce(F.lag(split).over(w), F.lit(False))})
-    return rows.where(~F.col("_after")).withColumn("text", F.when(F.col("_split"), F.concat(F.rtrim("text"), F.ltrim("_next"))).otherwise(F.col("text"))).drop("_split", "_next", "_after")
+    number, behind, letter = r"^\s*\[?(\d+)\s*-(?:\s+(.*))?$", r"^\s*([A-Z])\s*\.\s*(.*)$", F.lead("text").over(w)
+    split = F.coalesce(F.col("text").rlike(number) & letter.rlike(behind) & (F.lead("page").over(w) == F.col("page")), F.lit(False))
+    rows = lines.withColumns({"_split": split, "_next": letter, "_after": F.coalesce(F.lag(split).over(w), F.lit(False))})
+    title = F.concat_ws(" ", *[F.nullif(strip(t), F.lit("")) for t in (F.regexp_extract("text", number, 2), F.regexp_extract("_next", behind, 2))])
+    whole = F.concat(F.regexp_extract("text", number, 1), F.lit("-"), F.regexp_extract("_next", behind, 1), F.lit(". "), title)
+    return rows.where(~F.col("_after")).withColumn("text", F.when(F.col("_split"), whole).otherwise(F.col("text"))).drop("_split", "_next", "_after")
+
+
+def split_inner_heads(lines: DataFrame) -> DataFrame:
+    """Lines with a head after the end of a sentence as two lines, the second of which starts with the head; line_no counts
+    anew in each page. Both lines keep the other columns of the one."""
+    within = ~F.col("text").rlike(HEADERS["penal_code"]) & F.col("text").rlike(r"\.\s+\d+\.\s")
+    parts = F.when(within, F.split("text", WITHIN, 2)).otherwise(F.array("text"))
+    rows = lines.select(*[c for c in lines.columns if c != "text"], F.posexplode(parts).alias("_part", "text"))
+    w = Window.partitionBy("doc_id", "page").orderBy("line_no", "_part")
+    return rows.withColumn("line_no", F.row_number().over(w)).select(lines.columns)
+
+
+def title_above(page: WindowSpec, profile: str) -> Column:
+    """Titles in up to four bold lines right above a line of the same page, empty if there are none.
+
+    Short text in brackets passes without being bold. In a penal code lines in capitals are passed over, with what stands
+    above them until the next title line.
+    """
+    t, penal = text("text"), profile == "penal_code"
+    letters = lambda kind: F.length(F.regexp_replace(t, rf"\P{{{kind}}}", ""))
+    caps = F.coalesce(letters("Lu") / F.nullif(letters("L"), F.lit(0)), F.lit(0.0))
+    words = F.regexp_extract_all(t, F.lit("([A-Za-z][A-Za-z'-]*)"))
+    named = F.filter(words, lambda x: x.rlike("^([A-Z][A-Z'-]*|[A-Z][a-z'-]*[a-z][a-z'-]*)$"))
+    aside = (F.length(t) <= 60) & t.rlike(r"^\([^\d]*\)$")
+    fits = F.length(t).between(3, 130) & ~t.rlike(r"^(PART |CHAPTER |[\[\-0-9])")
+    bold = F.coalesce("bold_ratio", F.lit(0.0))
+    strong = (bold >= STRONG) | (F.size(named) >= 0.6 * F.greatest(F.size(words), F.lit(1)))
+    strong = strong if penal else strong | (caps >= 0.6)
+    plain = F.size(words).between(2, 18) & ~t.rlike(r"[.!?;:]$") & ~t.rlike(VERBS)
+    said = F.when(aside, t).otherwise(first_text("bold_text", t))
+    line = F.struct(F.coalesce("top", F.lit(0.0)).cast("double").alias("top"), F.col("avg_size").alias("size"), (F.lit(penal) & (caps >= 0.85)).alias("caps"), aside.alias("aside"), (fits & (bold >= BOLD)).alias("fits"), (strong | plain).alias("good"), said.alias("said"))
+    above = F.reverse(F.collect_list(line).over(page.rowsBetween(-TITLE_LINES, -1)))
+    start = F.struct(F.lit(False).alias("done"), F.lit(False).alias("caps"), F.lit(None).cast("double").alias("top"), F.lit("").alias("said"))
+
+    def step(s: Column, x: Column) -> Column:
+        state = lambda done, caps, top, said: F.struct(done.alias("done"), caps.alias("caps"), top.alias("top"), said.alias("said"))
+        titled = x["aside"] | (x["fits"] & (x["good"] | F.coalesce(x["size"] >= F.col("avg_size") * LARGER, F.lit(False))))
+        far = (F.coalesce("top", F.lit(0.0)) - x["top"] > FAR) | F.coalesce(s["top"] - x["top"] > APART, F.lit(False))
+        on = F.when(x["caps"], state(F.lit(False), F.lit(True), s["top"], s["said"])).when(~titled, state(~s["caps"], s["caps"], s["top"], s["said"]))
+        on = on.when(far, state(F.lit(True), s["caps"], s["top"], s["said"])).otherwise(state(F.lit(False), F.lit(False), x["top"], F.concat_ws(" ", x["said"], F.nullif(s["said"], F.lit("")))))
+        return F.when(s["done"], s).otherwise(on)
+
+    return strip(F.regexp_replace(F.aggregate(above, start, step, lambda s: s["said"]), r"[\s\\]+", " "))
 
 
 def detect_sections(lines: DataFrame, profile: str = "act", first_page: int = 1) -> DataFrame:
     """lines with is_head, section_number, title, and the current chapter and part. Headers on pages before first_page (the
-    contents) do not count. Windows go by document, in the order of page and line."""
-    lines = join_split_heads(lines) if profile == "penal_code" else lines
+    contents) do not count. Windows go by document, in the order of page and line.
+
+    In an act the title is the bold part of the header's line, else the text before its dash. In the other profiles it is in
+    the bold lines above, where lines have top, avg_size, bold_ratio and bold_text, else the first sentence behind the number.
+    In a penal code, headers may stand within lines (line_no then counts anew), those after a note of omitted or repealed
+    sections do not count until the page or part ends, nor do numbers beyond the last section.
+    """
+    penal = profile == "penal_code"
+    lines = split_inner_heads(join_split_heads(lines)) if penal else lines
     w = Window.partitionBy("doc_id").orderBy("page", "line_no")
     t, head = F.coalesce("text", F.lit("")), HEADERS[profile]
     rows = lines.withColumns({"_t": t, "_following": F.lead("text").over(w)})
@@ -140,12 +200,24 @@ def detect_sections(lines: DataFrame, profile: str = "act", first_page: int = 1)
     named = F.when(titled, F.concat_ws(" ", chapter_id, strip("_following"))).otherwise(chapter_id)
     rows = rows.withColumns({"_c": F.when(chapter_id.isNotNull(), named), "_p": F.nullif(F.regexp_extract("_t", PART, 1), F.lit(""))})
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+    page = Window.partitionBy("doc_id", "page").orderBy("line_no")
     is_head = F.col("_t").rlike(head) & (F.col("page") >= first_page)
-    bold = F.regexp_replace(text("bold_text"), r"^\s*\[?\d+(?:-?[A-Z]+)?\.\s*", "") if "bold_text" in lines.columns else F.lit("")
-    behind = F.substring(F.get(F.split(F.regexp_extract("_t", head, 2), "—"), F.lit(0)), 1, 120)
-    title = F.when(bold != "", strip(F.get(F.split(bold, "—"), F.lit(0)))).otherwise(strip(behind))
-    rows = rows.withColumns({"chapter": F.last("_c", True).over(running), "part": F.last("_p", True).over(running), "is_head": is_head})
-    return rows.withColumns({"section_number": F.when(F.col("is_head"), F.regexp_extract("_t", head, 1)), "title": F.when(F.col("is_head"), title)}).drop("_t", "_following", "_c", "_p")
+    if penal:
+        mark = F.when(F.col("_t").rlike(OMITTED), True).when(text("_t").startswith("PART "), False)
+        digits = F.regexp_extract("_t", head, 1)
+        is_head &= ~F.coalesce(F.last(mark, True).over(page.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+        is_head &= ~F.coalesce(F.regexp_replace(digits, r"\D", "").try_cast("bigint") > LAST_SECTION, F.lit(False))
+    behind = F.regexp_extract("_t", head, 2)
+    if profile == "act":
+        bold = F.regexp_replace(text("bold_text"), r"^\s*\[?\d+(?:-?[A-Z]+)?\.\s*", "") if "bold_text" in lines.columns else F.lit("")
+        title = F.when(bold != "", strip(F.get(F.split(bold, "—"), F.lit(0)))).otherwise(strip(F.substring(F.get(F.split(behind, "—"), F.lit(0)), 1, 120)))
+    else:
+        sentence = strip(F.get(F.split(behind, r"\."), F.lit(0)))
+        cut = F.when(F.length(sentence) > 100, F.concat(F.substring(sentence, 1, 100), F.lit("..."))).otherwise(sentence)
+        above = title_above(page, profile) if {"top", "avg_size", "bold_ratio", "bold_text"} <= set(lines.columns) else F.lit("")
+        title = first_text(above, F.when((F.length(sentence) < 200) & ~sentence.startswith("("), sentence).otherwise(cut))
+    rows = rows.withColumns({"chapter": F.last("_c", True).over(running), "part": F.last("_p", True).over(running), "is_head": is_head, "_title": title})
+    return rows.withColumns({"section_number": F.when(F.col("is_head"), F.regexp_extract("_t", head, 1)), "title": F.when(F.col("is_head"), F.col("_title"))}).drop("_t", "_following", "_c", "_p", "_title")
 
 
 def slice_sections(detected: DataFrame, profile: str = "act") -> DataFrame:
@@ -157,7 +229,7 @@ def slice_sections(detected: DataFrame, profile: str = "act") -> DataFrame:
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", piece.alias("piece")))), lambda x: x["piece"]), "\n")
     out = rows.groupBy("doc_id", "section").agg(*[first(c).alias(c) for c in ("section_number", "title", "chapter", "part")], F.min("page").alias("page_number"), body.alias("raw"))
     variant = {"act": "flat", "constitution": "numeric", "penal_code": "mixed"}[profile]
-    out = out.withColumn("cleaned", clean_text("raw", "constitution" if profile == "constitution" else "act"))
+    out = out.withColumn("cleaned", clean_text("raw", profile))
     return out.withColumns({"clauses": extract_clauses("cleaned", variant), "subsections": extract_subsections("cleaned"), "content": main_content("cleaned", variant, F.col("title"))}).drop("raw")
 
 

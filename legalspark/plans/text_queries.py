@@ -155,6 +155,30 @@ def p13_clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.clean_text("text")).alias("cleaned"))
 
 
+def _penal(spark, d):
+    """Lines of a penal code, one page per order: a head with its title above, a head within a line, one over two lines, a
+    block that is no longer in force, and a number beyond the last section."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    said = {1: F.concat(F.lit("Title "), p), 2: F.concat(F.lit("[ 2"), F.lit(". Whoever "), p, F.lit(". More")), 3: F.concat(F.lit("ends here. 30. Within "), p), 4: F.concat(F.lit("40- Rescue "), p), 5: F.lit("B. of some"), 6: F.lit("The following was omitted"), 7: F.concat(F.lit("70. Gone "), p)}
+    line = F.coalesce(*[F.when(n == k, v) for k, v in said.items()])
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    rows = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), n.alias("line_no"), line.alias("text"), (n * 10.0).alias("top"), F.lit(9.0).alias("avg_size"), (n == 1).cast("double").alias("bold_ratio"))
+    return rows.withColumn("bold_text", F.when(F.col("line_no") == 1, F.col("text")).otherwise(""))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), a AS (SELECT *, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS next, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS prev, lag(p) OVER (PARTITION BY doc_id ORDER BY n) AS above, max((n = 6)::INT) OVER (PARTITION BY doc_id) AS gone FROM l)
+SELECT doc_id, CASE n WHEN 2 THEN '2' WHEN 3 THEN '30' WHEN 4 THEN '40-B' ELSE '70' END AS section_number, CASE WHEN prev = 1 AND n <> 3 THEN 'Title ' || above ELSE CASE n WHEN 2 THEN 'Whoever ' || p WHEN 3 THEN 'Within ' || p WHEN 4 THEN 'Rescue ' || p || ' of some' ELSE 'Gone ' || p END END AS title
+FROM a WHERE n IN (2, 3) OR (n = 4 AND next = 5) OR (n = 7 AND gone = 0)""")
+def p11_penal_code(spark, d):
+    return structure.detect_sections(_penal(spark, d), "penal_code").where("is_head").select("doc_id", "section_number", "title")
+
+
+@query("""SELECT DISTINCT l_partkey AS p, l_suppkey AS s, 'Main ' || l_partkey || '.' || chr(10) || '[ (1) ] Every ' || l_suppkey || ' person (a) one, two.' || chr(10) || chr(10) || 'Illustrations (b) three' AS cleaned FROM lineitem""")
+def p13_penal_code(spark, d):
+    text = F.concat(F.lit("Main "), "l_partkey", F.lit(" .  [(1)]  Every "), "l_suppkey", F.lit(" person ( a )one , two.\n 12 \nIllustrations\n(b) three"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), tx.clean_text(text, "penal_code").alias("cleaned")).distinct()
+
+
 _MARKED = "l_shipdate::DATE || ' Main text. (1) First ' || l_quantity::INT || '; (2) second (a) alpha ' || l_suppkey || ' (b) beta'"
 
 

@@ -257,6 +257,24 @@ def test_split_heads_and_characters(spark):
     assert (r["text"], r["bold_text"], r["bold_ratio"], r["line_no"]) == ("Hello", "He", 0.4, 1)
 
 
+PENAL = [
+    (1, 1, 10, "CHAPTER XI", 0.0), (1, 2, 20, "False Evidence", 1.0), (1, 3, 30, "[ 191. Whoever lies. More.", 0.0), (1, 4, 40, "sold in Pakistan. 237. Import or export. x", 0.0), (1, 5, 50, "225- Rescue", 0.0),
+    (1, 6, 60, "B. of a person. And", 0.0), (1, 7, 70, "The following was omitted by Act I", 0.0), (1, 8, 80, "300. Not in force", 0.0), (1, 9, 90, "PART II", 0.0), (1, 10, 100, "512. Beyond", 0.0), (1, 11, 110, "511. (Last) attempt", 0.0),
+    (2, 1, 10, "Heading Of Page", 1.0), (2, 2, 20, "LOUD LINE", 1.0), (2, 3, 30, "(Parliament)", 0.0), (2, 4, 40, "12. text here.", 0.0), (2, 5, 50, None, 0.0), (2, 6, 60, "Far Title", 1.0), (2, 7, 160, "13. next", 0.0),
+]
+
+
+def test_penal_code_and_titles_above(spark):
+    lines = spark.createDataFrame([("d", p, n, float(y), t, 9.0, t if r else "", r) for p, n, y, t, r in PENAL], "doc_id string, page int, line_no int, top double, text string, avg_size double, bold_text string, bold_ratio double")
+    heads = lambda profile, rows_: structure.detect_sections(rows_, profile).where("is_head").orderBy("page", "line_no").select("section_number", "title")
+    got = [tuple(r) for r in heads("penal_code", lines).collect()]
+    assert got == [("191", "False Evidence"), ("237", "Import or export"), ("225-B", "Rescue of a person"), ("511", "(Last) attempt"), ("12", "Heading Of Page (Parliament)"), ("13", "next")]
+    assert [tuple(r) for r in heads("constitution", lines.where("page = 2")).collect()] == [("12", "Heading Of Page LOUD LINE (Parliament)"), ("13", "next")]
+    assert heads("penal_code", lines.limit(0)).collect() == []
+    cut = structure.slice_sections(structure.detect_sections(lines, "penal_code"), "penal_code").orderBy("section").collect()
+    assert [r["section_number"] for r in cut] == ["191", "237", "225-B", "511", "12", "13"] and cut[0]["cleaned"].endswith("sold in Pakistan.") and cut[1]["cleaned"] == "Import or export. x"
+
+
 def test_amendments_and_validation(spark):
     a = spark.createDataFrame([("41", 0, [("1", "x")]), ("41", 1, None), ("63a", 2, None)], "article_number string, position int, clauses array<struct<id:string,text:string>>")
     m = spark.createDataFrame([("63A", 1, " new "), ("41", 2, "b"), ("41", 1, "a"), ("99", 0, "z")], "article_number string, position int, content string")

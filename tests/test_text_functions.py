@@ -37,6 +37,11 @@ def test_clean_text(spark):
     assert one(spark, tx.clean_text("t"), None) == ""
 
 
+def test_clean_penal_code(spark):
+    got = one(spark, tx.clean_text("t", "penal_code"), "x .  [(2)] Every\n 7 \nIllustrations\n( a )one ,\n\n\n\nlast")
+    assert got == "x.\n[ (2) ] Every\n\nIllustrations (a) one,\n\nlast"
+
+
 def test_main_content(spark):
     assert one(spark, tx.main_content("t", title=F.lit("Bail")), "Bail.— The court\nmay grant. (1) First") == "The court may grant."
 
