@@ -19,6 +19,9 @@ K1, B = 1.2, 0.75
 #: Distinct words of all questions up to which they are broadcast.
 TERMS = 1_000_000
 
+#: Parts to which the blocks of a question and kind are dealt before they meet in one context.
+PARTS = 64
+
 
 def _tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\W+"), lambda t: t != "")
@@ -236,10 +239,17 @@ def build_context(ranked: DataFrame, max_words: int | str = 1500) -> DataFrame:
 
     Statutes come first, then cases. A block that would pass the budget is cut to what is left, with `...`, if its header
     fits; the rest of its kind is dropped, and the cut block does not count against the cases.
+
+    A question may have any number of blocks: they are dealt to PARTS parts, texts cut to the budget, and a block before
+    which its own part alone passes the budget goes. What is left to order as a whole is bounded by PARTS and the budget.
     """
     budget = F.col(max_words) if isinstance(max_words, str) else F.lit(max_words)
     n = lambda c: F.size(words(F.coalesce(F.col(c), F.lit(""))))
     rows = ranked.withColumns({"_b": budget, "_h": n("header"), "_w": n("header") + n("content")})
+    within = F.array_join(F.slice(words("content"), 1, F.greatest(F.col("_b"), F.lit(1))), " ")
+    rows = rows.withColumn("content", F.when(F.col("_w") - F.col("_h") > F.col("_b"), within).otherwise(F.col("content")))
+    part = Window.partitionBy("query_id", "type", F.pmod(F.xxhash64("rank"), F.lit(PARTS))).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_before", F.sum("_w").over(part) - F.col("_w")).where("_before <= _b").drop("_before")
     order = Window.partitionBy("query_id", "type").orderBy("rank")
     rows = rows.withColumn("_to", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     w = Window.partitionBy("query_id")

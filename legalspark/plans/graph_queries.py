@@ -309,9 +309,8 @@ b AS (SELECT *, len(w) + 1 AS n, sum(len(w) + 1) OVER (PARTITION BY query_id ORD
 k AS (SELECT query_id, rank, CASE WHEN upto <= 1500 THEN array_to_string(w, ' ') WHEN upto - n <= 1500 AND 1500 - (upto - n) - 1 > 0 THEN array_to_string(w[: 1500 - (upto - n) - 1], ' ') || '...' END AS t FROM b)
 SELECT query_id, md5(string_agg('H' || chr(10) || t, chr(10) || chr(10) ORDER BY rank)) AS context FROM k WHERE t IS NOT NULL GROUP BY query_id""")
 def q11_build_context(spark, d):
-    rows = table(spark, d, "documents").where("text <> ''").select(F.col("source").alias("query_id"), "doc_id", F.regexp_replace(F.trim("text"), r"\s+", " ").alias("content"))
-    ranked = retrieval._rank(rows, ["doc_id"], None).withColumns({"type": F.lit("article"), "header": F.lit("H")})
-    return retrieval.build_context(ranked).withColumn("context", F.md5("context"))
+    rows = table(spark, d, "documents").where("text <> ''").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), F.regexp_replace(F.trim("text"), r"\s+", " ").alias("content"))
+    return retrieval.build_context(rows.withColumns({"type": F.lit("article"), "header": F.lit("H")})).withColumn("context", F.md5("context"))
 
 
 @query("SELECT g, document, article, place FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n, document, article) AS place FROM (SELECT l_orderkey AS g, l_suppkey AS document, l_partkey % 5 AS article, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2, 3)) WHERE place <= 5")

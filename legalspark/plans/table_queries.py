@@ -69,7 +69,7 @@ def s9_pending(spark, d):
 
 
 def _nested(spark, d):
-    """One document per brand with its parts as articles, and the suppliers of a part as its clauses."""
+    """Documents named by brands, of up to 500 part keys each: parts as articles, the suppliers of a part as its clauses."""
     lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").cast("string").alias("s"), "l_returnflag").distinct()
     subs = lines.groupBy("k", "s").agg(F.transform(F.sort_array(F.collect_list("l_returnflag")), lambda r: F.struct(r.alias("id"), r.alias("text"))).alias("sub_clauses"))
     none = F.lit(None).cast("array<struct<id:string,text:string>>")
@@ -77,7 +77,7 @@ def _nested(spark, d):
     a = table(spark, d, "part").join(clauses, F.col("p_partkey") == F.col("k"), "left")
     null = F.lit(None).cast("string")
     article = F.struct(null.alias("article_number"), F.col("p_partkey").cast("string").alias("section_number"), F.col("p_name").alias("title"), null.alias("content"), F.col("p_size").alias("page_number"), null.alias("part"), null.alias("chapter"), "clauses", F.col("clauses").alias("subsections"))
-    return a.groupBy(F.col("p_brand").alias("title")).agg(F.collect_list(article).alias("articles"))
+    return a.groupBy(F.col("p_brand").alias("title"), F.floor(F.col("p_partkey") / 500)).agg(F.collect_list(article).alias("articles")).select("title", "articles")
 
 
 @query("SELECT p_brand || ':Article:' || p_partkey AS id, p_brand AS document_title, CAST(p_partkey AS VARCHAR) AS article_number, trim(p_name) AS title, '' AS content, p_size AS page_number FROM part")
@@ -126,12 +126,15 @@ def p5_make_id(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("n"), tx.make_id(F.concat(F.lit(" "), "c_name", F.lit(" / "), "c_mktsegment")).alias("id"))
 
 
-@query("SELECT doc_id, md5('Title ' || left(text, 3000)) AS embedding_text, md5('Title ' || left(text, 5000)) AS citation_text FROM documents WHERE trim(text) <> ''")
+_BODY = "CASE WHEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '' AND text NOT LIKE '[ERROR%' THEN left(text, {n}) ELSE coalesce(source, '') END"
+
+
+@query(f"SELECT doc_id, md5('Title ' || {_BODY.format(n=3000)}) AS embedding_text, md5('Title  ' || {_BODY.format(n=5000)} || ' ') AS citation_text FROM documents")
 def p6_case_texts(spark, d):
-    docs = table(spark, d, "documents").where("trim(text) <> ''")
-    none = F.lit(None).cast("string")
-    cited = F.substr(tx.citation_text(F.lit("Title"), none, "text", none, none), F.lit(8))  # behind the title and an empty number
-    return docs.select("doc_id", F.md5(tx.embedding_text(F.lit("Title"), "text", none)).alias("embedding_text"), F.md5(F.concat(F.lit("Title "), F.substr(cited, F.lit(1), F.least(F.length("text"), F.lit(5000))))).alias("citation_text"))
+    """The source plays the summary, which stands in for a text that is null, blank or an error marker."""
+    title, none = F.lit("Title"), F.lit(None).cast("string")
+    cited = tx.citation_text(title, none, "text", "source", none)
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.embedding_text(title, "text", "source")).alias("embedding_text"), F.md5(cited).alias("citation_text"))
 
 
 @query("SELECT page_id, 'https' || substr(regexp_replace(url, '^https?', ''), 1) AS link FROM pages")
@@ -153,10 +156,12 @@ def p17_order_articles(spark, d):
     return rows.select("id", F.col("k.n").alias("n"), F.row_number().over(Window.partitionBy("document_title").orderBy("k", "id")).alias("place"))
 
 
-@query("WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 150 ORDER BY p_partkey) AS n FROM part) WHERE n = 1), a AS (SELECT l_partkey % 150 AS k, count(*) AS m FROM lineitem GROUP BY 1) SELECT p_partkey AS id, coalesce(m, 0) AS amendments FROM f LEFT JOIN a ON k = p_partkey % 150")
+@query("WITH f AS (SELECT p_partkey // 2 AS k, min(p_partkey) AS id FROM part GROUP BY 1), a AS (SELECT l_partkey // 2 AS k, count(*) AS m FROM lineitem GROUP BY 1) SELECT id, coalesce(m, 0) AS amendments FROM f LEFT JOIN a USING (k)")
 def p18_apply_amendments(spark, d):
-    a = t.articles(spark, d).withColumns({"position": F.col("id"), "clauses": F.array().cast("array<struct<id:string,text:string>>")})
-    lines = table(spark, d, "lineitem").select((F.col("l_partkey") % 150).cast("string").alias("article_number"), F.struct("l_orderkey", "l_linenumber").alias("position"), F.concat(F.lit("amended by "), "l_suppkey").alias("content"))
+    """Two parts share an article number, and the first of them takes the amendments of both; the numbers grow with the table."""
+    number = lambda c: F.floor(F.col(c) / 2).cast("string")
+    a = t.articles(spark, d).withColumns({"article_number": number("id"), "position": F.col("id"), "clauses": F.array().cast("array<struct<id:string,text:string>>")})
+    lines = table(spark, d, "lineitem").select(number("l_partkey").alias("article_number"), F.struct("l_orderkey", "l_linenumber").alias("position"), F.concat(F.lit("amended by "), "l_suppkey").alias("content"))
     return structure.apply_amendments(a, lines).select("id", F.size("clauses").cast("long").alias("amendments"))
 
 

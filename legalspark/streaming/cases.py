@@ -1,4 +1,4 @@
-"""Listings as a stream: new files are normalised, classified and upserted, each record once."""
+"""Listings as a stream: new files are normalised, classified and upserted, each file read once."""
 
 from __future__ import annotations
 
@@ -11,15 +11,15 @@ from ..functions.text import court_of_file
 from ..operators.filters import classify_listing
 from ..operators.structure import normalise_case
 from ..sources import schemas
-from ..sources.tables import upsert
 from ..values import COURTS
 
 
 def stream_cases(spark: SparkSession, source: str, table: str, checkpoint: str, classify: bool = True) -> StreamingQuery:
-    """Read the listing files that have come to a folder since the last run, and upsert their cases into a parquet table.
+    """Read the listing files that have come to a folder since the last run, and append their cases to a parquet table.
 
-    The checkpoint remembers files, so each is read once; a batch that is repeated after a failure rewrites the same
-    version of the table. Versions lie below `table` as v=<batch>, and read_stream_table gives the latest.
+    The checkpoint remembers files, so each is read once. A batch writes its own cases only, below `table` as v=<batch>; one
+    that is repeated after a failure rewrites the same folder. read_stream_table takes the latest row of each id, and
+    compact keeps the number of folders small.
     """
     record = T.StructType.fromDDL(schemas.CASE)
     both = T.StructType([*[T.StructField(k, T.ArrayType(record)) for k in schemas.WRAPPERS], *record.fields])
@@ -33,22 +33,45 @@ def stream_cases(spark: SparkSession, source: str, table: str, checkpoint: str,
         new = parts[0]
         for p in parts[1:]:
             new = new.unionByName(p)
-        old = read_stream_table(batch.sparkSession, table, version)
-        (upsert(old, new, "id") if old is not None else new.dropDuplicates(["id"])).write.mode("overwrite").parquet(f"{table}/v={version}")
+        new.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{table}/v={version}")
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, table: str) -> list[int]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    done = [int(n[2:]) for n in names if n.startswith("v=")]
-    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return sorted(v for v in done if fs.exists(Path(f"{table}/v={v}/_SUCCESS")))
+def versions(spark: SparkSession, table: str, kind: str = "v") -> list[int]:
+    """The complete batches (v) or snapshots (s), in their order."""
+    fs, Path = _files(spark, table)
+    names = [s.getPath().getName() for s in fs.listStatus(Path(table))] if fs.exists(Path(table)) else []
+    return sorted(v for v in (int(n[2:]) for n in names if n.startswith(f"{kind}=")) if fs.exists(Path(f"{table}/{kind}={v}/_SUCCESS")))
 
 
-def read_stream_table(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The latest complete version (below `before`), or None."""
-    found = [v for v in versions(spark, table) if before is None or v < before]
-    return spark.read.parquet(f"{table}/v={found[-1]}") if found else None
+def _files(spark: SparkSession, table: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def read_stream_table(spark: SparkSession, table: str) -> DataFrame | None:
+    """The latest row of each id, from the last snapshot and the batches after it; None before the first batch. Several
+    folders take one shuffle on the id."""
+    at = max(versions(spark, table, "s"), default=-1)
+    later = [v for v in versions(spark, table) if v > at]
+    old = spark.read.parquet(f"{table}/s={at}").withColumn("v", F.lit(at)) if at >= 0 else None
+    new = spark.read.option("basePath", table).parquet(*[f"{table}/v={v}" for v in later]) if later else None
+    both = old.unionByName(new) if old is not None and new is not None else old if new is None else new
+    if both is None or (old is not None) + len(later) == 1:
+        return both if both is None else both.drop("v")
+    rest = [c for c in both.columns if c not in ("id", "v")]
+    last = both.groupBy("id").agg(F.max_by(F.struct(*rest), "v").alias("_r")).select("id", "_r.*")
+    return last.select(*[c for c in both.columns if c != "v"])
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Write the table as it stands as a snapshot s=<last batch>, from which later reads start, and remove the folders that
+    it stands for. It is not for times when others read the table; a run that was cut off loses nothing."""
+    done, kept = versions(spark, table), versions(spark, table, "s")
+    if not done or done[-1] <= max(kept, default=-1):
+        return
+    read_stream_table(spark, table).write.mode("overwrite").parquet(f"{table}/s={done[-1]}")
+    fs, Path = _files(spark, table)
+    for folder in [f"s={v}" for v in kept] + [f"v={v}" for v in done]:
+        fs.delete(Path(f"{table}/{folder}"), True)

@@ -204,6 +204,28 @@ def test_context_budget(spark):
     assert retrieval.build_context(ranked, 8).first()["context"] == "H\na b c\n\nH\nd e f...\n\nC\nx\n\nC\ny..."
 
 
+def test_context_of_many_blocks(spark):
+    """Against a plain walk over the blocks in order: more blocks than any part holds, and words beyond the budget."""
+    kinds = {"article": [(k * 7) % 11 for k in range(400)] + [90], "case": [0, 50, 3] + [1] * 300}
+    data = [(q, kind, k, f"H{k}", " ".join(f"w{k}.{i}" for i in range(n)) or None) for q in (1, None) for kind, ns in kinds.items() for k, n in enumerate(ns)]
+    ranked = spark.createDataFrame(data, "query_id int, type string, rank int, header string, content string").repartition(7)
+    for budget in (0, 1, 40, 95):
+        blocks, base = [], 0
+        for kind in kinds:
+            used = base
+            for k, n in enumerate(kinds[kind]):
+                text = [f"w{k}.{i}" for i in range(n)]
+                if used + n + 1 > budget:
+                    if budget - used - 1 > 0:
+                        blocks.append(f"H{k}\n" + " ".join(text[: budget - used - 1]) + "...")
+                    break
+                blocks.append("\n".join([f"H{k}", *([" ".join(text)] if n else [])]))
+                used += n + 1
+            base = used if kind == "article" else base
+        got = {r["query_id"]: r["context"] for r in retrieval.build_context(ranked, budget).collect()}
+        assert got == ({1: "\n\n".join(blocks), None: "\n\n".join(blocks)} if blocks else {})
+
+
 def test_narratives(spark):
     n = spark.createDataFrame([(1, "cnic and witness", None, "2024-01-01")], "id int, narrative string, ocr_text string, incident_date string")
     got = retrieval.analyse_narratives(n, spark.createDataFrame([(1, "article", 1, 11), (1, "case", 2, 22)], "query_id int, type string, rank int, id int")).first()
@@ -432,6 +454,20 @@ def test_stream_of_cases_runs_once(spark, tmp_path):
     run()
     got = case_stream.read_stream_table(spark, str(tmp_path / "out"))
     assert rows(got, "id", "title") == [("2020_LHC_1", "cyber crime again")]
+    case_stream.compact(spark, str(tmp_path / "out"))
+    case_stream.compact(spark, str(tmp_path / "out"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["s=1"]
+    assert rows(case_stream.read_stream_table(spark, str(tmp_path / "out")), "id", "title") == [("2020_LHC_1", "cyber crime again")]
+    put("lhc_3.json", {"case_title": "cyber crime, third", "lhc_citation": "2020 LHC 1"})
+    put("lhc_4.json", {"case_title": "cyber crime, other", "lhc_citation": "2020 LHC 2"})
+    run()
+    got = case_stream.read_stream_table(spark, str(tmp_path / "out"))
+    assert rows(got, "id", "title") == [("2020_LHC_1", "cyber crime, third"), ("2020_LHC_2", "cyber crime, other")]
+
+
+def test_stream_table_without_batches(spark, tmp_path):
+    assert case_stream.read_stream_table(spark, str(tmp_path / "none")) is None
+    case_stream.compact(spark, str(tmp_path / "none"))
 
 
 def test_stream_of_turns(spark, tmp_path):
