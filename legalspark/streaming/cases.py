@@ -29,11 +29,15 @@ def stream_cases(spark: SparkSession, source: str, table: str, checkpoint: str,
 
     def save(batch: DataFrame, version: int) -> None:
         kept = classify_listing(batch, F.concat_ws(" ", "case_title", "writ_petition", "case_number", "matter", "remarks", "excerpt")) if classify else batch
+        kept = kept.persist()  # each court reads it, and files are parsed once
         parts = [normalise_case(kept.where(F.col("court") == c), c) for c in COURTS.values()] + [normalise_case(kept.where(~F.col("court").isin(list(COURTS.values()))), "Unknown Court")]
         new = parts[0]
         for p in parts[1:]:
             new = new.unionByName(p)
-        new.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{table}/v={version}")
+        try:
+            new.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{table}/v={version}")
+        finally:
+            kept.unpersist()
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
