@@ -13,10 +13,12 @@ from .exact_dedup import exact_dedup
 from .langid import identify
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
+from .mixing import mix, taken
 from .pii import find as find_pii
 from .quality import quality
 from .sstable import tokens_to_shards
 from .warc import archive
+from .whitening import whiten
 
 
 def tokenizer() -> str:
@@ -70,7 +72,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_whitening": op11_whitening,
+    "op12_mixing": op12_mixing,
     "op9_warc": op9_warc,
     "op4_line_dedup": op4_line_dedup,
     "op8_pii": op8_pii,
@@ -82,4 +94,4 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL = {"op4_line_dedup": sql.LINE_DEDUP, "op5_decontaminate": sql.DECONTAMINATE, "op10_exact_dedup": sql.EXACT_DEDUP}
+ORACLE_SQL = {"op4_line_dedup": sql.LINE_DEDUP, "op5_decontaminate": sql.DECONTAMINATE, "op10_exact_dedup": sql.EXACT_DEDUP, "op12_mixing": sql.MIXING}

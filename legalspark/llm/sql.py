@@ -33,3 +33,15 @@ kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM lines ANTI J
 SELECT d.doc_id, coalesce(len(l), 0) AS n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed, sha256(coalesce(kept.t, '')) AS text_sha256
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+MIXING = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+c AS (SELECT *, sum(source_size) OVER () AS words, coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+  sum(weight) OVER (ORDER BY 3 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_ FROM r),
+level AS (SELECT arg_min((words - held)::DOUBLE / left_::DOUBLE, (3 * source_size / weight, source)) AS v FROM c WHERE 3 * source_size >= (words - held)::DOUBLE / left_::DOUBLE * weight),
+t AS (SELECT source, source_size, CASE WHEN 3 * source_size < v * weight THEN (3 * source_size)::DOUBLE ELSE v * weight END AS target FROM c, level),
+p AS (SELECT d.doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (least(greatest(floor(target) - b, 0), size) + least(greatest(floor(target) - b - source_size, 0), size) + least(greatest(floor(target) - b - 2 * source_size, 0), size))::BIGINT AS taken FROM p
+"""
