@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .bpe import bpe
 from .common import text_of
+from .conversations import damage, repair, reported
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .langid import identify
@@ -80,7 +81,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return reported(conversations, *repair(damage(conversations)))
+
+
 QUERIES = {
+    "op13_conversations": op13_conversations,
     "op11_whitening": op11_whitening,
     "op12_mixing": op12_mixing,
     "op9_warc": op9_warc,
