@@ -12,55 +12,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text, usable, words
-
-#: BM25.
-K1, B = 1.2, 0.75
-
-#: Distinct words of all questions up to which they are broadcast.
-TERMS = 1_000_000
+from . import fulltext
 
 #: Parts to which the blocks of a question and kind are dealt before they meet in one context.
 PARTS = 64
 
 
-def _tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\W+"), lambda t: t != "")
-
-
 def _rank(df: DataFrame, order: Sequence[Column | str], k: int | None, by: str = "query_id", name: str = "rank") -> DataFrame:
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def build_index(corpus: DataFrame, columns: Sequence[str] = ("content",)) -> tuple[DataFrame, DataFrame]:
-    """(postings(term, id, tf, length), document frequencies(term, df)): written once, they serve all later questions."""
-    rows = corpus.select("id", _tokens(F.concat_ws(" ", *columns)).alias("tokens")).withColumn("length", F.size("tokens"))
-    postings = rows.select("id", "length", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def keyword_search(queries: DataFrame, corpus: DataFrame, columns: Sequence[str] = ("content",), k: int = 10, column: str = "text", digits: int | None = None) -> DataFrame:
-    """query_id, id, score, rank: the k best by BM25 over the corpus columns; each distinct word of a question counts once.
-
-    The words of all questions are counted; up to TERMS they are broadcast, so that other words go in the scan, before
-    anything is shuffled. Frequencies and the mean length are taken over the whole corpus. digits rounds scores before
-    they are ranked; ties go to the smaller id.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(_tokens(F.col(column)))).alias("term"))
-    rows = corpus.select("id", _tokens(F.concat_ws(" ", *columns)).alias("tokens")).withColumn("length", F.size("tokens"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = asked.select("term").distinct()
-    few = terms.count() <= TERMS
-    wanted = rows.select("id", "length", F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    postings = wanted.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    # counting by both columns keeps the exchange of the postings as it is, so that Spark makes it once and reads it twice
-    df = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("length") > 0)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("w"))  # stats: one row
-    scored = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-    scored = scored if digits is None else scored.withColumn("score", F.round("score", digits))
-    return _rank(scored, [F.desc("score"), "id"], k)
+def keyword_search(queries: DataFrame, corpus: DataFrame | fulltext.Index, columns: Sequence[str] = ("content",), k: int = 10, column: str = "text", digits: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k best by BM25 for each question, from a stored index (see fulltext.search), or from one
+    that is made here of the columns of corpus."""
+    index = corpus if isinstance(corpus, fulltext.Index) else fulltext.build_index(corpus, columns)
+    return fulltext.search(queries, index, k, column, digits)
 
 
 def related_articles(starts: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None = 15) -> DataFrame:

@@ -202,8 +202,15 @@ keyword AS (SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, row_nu
 
 
 def _keyword(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return retrieval.keyword_search(t.questions(spark, d), docs, digits=6)
+    return retrieval.keyword_search(t.questions(spark, d), t.document_index(spark, d), digits=6)
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term")
+def q1_index_terms(spark, d):
+    """The terms of the stored index with their documents and occurrences; the index is made here, if no query has made it."""
+    index = t.document_index(spark, d)
+    counted = index.table(spark, "postings").where("bucket >= 0").groupBy("term").agg(F.sum("tf").alias("tf"))
+    return index.table(spark, "terms").select("term", "df").join(counted, "term").select("term", "df", "tf")
 
 
 @query(with_views("questions") + f", {_BM25} SELECT query_id, id, score, rank FROM keyword")

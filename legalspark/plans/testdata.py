@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fulltext
+
 #: SQL twins of the functions below, by name.
 VIEWS = {
     "articles": "SELECT p_partkey AS id, p_brand AS document_title, CAST(p_partkey % 150 AS VARCHAR) AS article_number, p_name AS title, p_size AS page_number FROM part",
@@ -61,3 +63,14 @@ def cited_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+
+
+def document_index(spark: SparkSession, d: str) -> fulltext.Index:
+    """The stored index of the texts of documents; the queries of a session share it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = fulltext.build_index(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return _INDEXES[key]
