@@ -13,7 +13,7 @@ VIEWS = {
     "statutes": "SELECT p_brand AS title, min(p_size) AS year, min(p_type) AS type FROM part GROUP BY p_brand",
     "cases": "SELECT o_orderkey AS id, c_name AS title, o_orderpriority AS court, strftime(o_orderdate, '%d-%m-%Y') AS date, CAST(o_orderkey AS VARCHAR) AS citation, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey",
     "case_cites": "SELECT DISTINCT l_orderkey AS case_id, l_partkey AS article_id FROM lineitem",
-    "cites": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey <> b.l_partkey",
+    "cites": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey",
     "cited_lines": "SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, 'under Section ' || l_partkey % 150 || ' read with Article ' || l_suppkey % 50 || ' PPC' AS line FROM lineitem",
     "questions": "SELECT item_id AS query_id, text FROM benchmark",
 }
@@ -51,9 +51,9 @@ def case_cites(spark: SparkSession, d: str) -> DataFrame:
 
 def cites(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    a = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src"))
-    b = lines.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+    a = lines.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
+    b = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
 
 
 def cited_lines(spark: SparkSession, d: str) -> DataFrame:

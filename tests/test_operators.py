@@ -389,9 +389,25 @@ def test_hubs_are_split(spark, monkeypatch):
         if s is not None and d is not None:
             targets.setdefault(s, set()).add(d)
     want = sorted((a, b, len(targets[a] & targets[b])) for a in targets for b in targets if a < b and len(targets[a] & targets[b]) >= 2)
-    out = graph.related_through(cites)
-    assert sorted(tuple(r) for r in out.collect()) == want
-    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for prefix in (None, False, True):
+        out = graph.related_through(cites, prefix=prefix)
+        assert sorted(tuple(r) for r in out.collect()) == want
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for least in (1, 3, 4):
+        want = sorted((a, b, len(targets[a] & targets[b])) for a in targets for b in targets if a < b and len(targets[a] & targets[b]) >= least)
+        assert sorted(tuple(r) for r in graph.related_through(cites, least, prefix=True).collect()) == want
+
+
+def test_a_hub_makes_no_pairs(spark, monkeypatch):
+    """20 000 sources of one hub: its 200 million pairs are not made."""
+    edges = spark.range(20_000).selectExpr("id AS src", "explode(array(-1L, id div 2)) AS dst")
+    made = []
+    paired = graph._paired
+    monkeypatch.setattr(graph, "_paired", lambda kept, hub: made.append(kept) or paired(kept, hub))
+    out = graph.related_through(edges)
+    assert out.count() == 10_000 and out.where("shared_citations <> 2 or id2 <> id1 + 1").count() == 0
+    (kept,) = made
+    assert kept.where("dst = -1").count() == 0
 
 
 def test_similar_pairs_in_scopes(spark, monkeypatch):
