@@ -6,12 +6,15 @@ The arithmetic is numpy on blocks inside tasks; Spark deals the blocks. No row m
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder, written
+
 #: Vectors in a block of a similarity join, and questions that a search keeps in each worker at once.
 BLOCK, QUERIES = 8_000, 10_000
 #: Vectors of a block that are multiplied with another block at once.
@@ -47,21 +50,96 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+#: Pivots at most, of which each vector belongs to the nearest; they are read from as many rows with the smallest hashes.
+PIVOTS = 256
+#: Angles are compared with this much room for rounding.
+ROOM = 1e-6
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def _pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """Unit vectors of a bounded sample of rows (id, v), about the root of n of them."""
+    most = max(1, min(PIVOTS, round((n / 4) ** 0.5)))
+    return _unit(pd.Series([r["v"] for r in rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(most).collect()]))
+
+
+def _nearest(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """rows (id, v, ...) with cell, the nearest pivot, and the angle to it."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                a = _angles(_unit(pdf["v"]), shared.value)
+                yield pdf.assign(cell=a.argmin(1).astype(np.int32), angle=a.min(1))
+
+    return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", cell int, angle double")
+
+
+def _visits(own: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+    """own (id, v, scope, n, cell, angle) with visits: the cells of its scope, from its own on, in which a vector can have a partner.
+
+    x and y of an angle of at most t: the angle of x to the pivot of y's cell is at most t and the cell's radius.
+    """
+    reach, count = float(np.arccos(min(1.0, max(-1.0, threshold)))), len(pivots)
+    radius = own.groupBy("scope", "cell").agg(F.max("angle").alias("r"))
+    radii = radius.groupBy(F.col("scope").alias("_s")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "r"))).alias("radii"))  # at most PIVOTS entries
+    shared = own.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            a = _angles(_unit(pdf["v"]), shared.value) if len(pdf) else None
+            for k, (cell, radii) in enumerate(zip(pdf["cell"], pdf["radii"], strict=True)):
+                r = np.full(count, -np.inf)
+                for c, x in dict(radii).items():
+                    r[c] = x
+                can = a[k] <= reach + r + ROOM
+                can[cell] = True
+                out.append(np.flatnonzero(can[cell:]) + cell)
+            yield pdf.drop(columns="radii").assign(visits=out)
+
+    met = own.join(radii, own["scope"].eqNullSafe(radii["_s"])).drop("_s")
+    return met.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", visits array<int>")
+
+
 def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = None, id_col: str = "id", vector: str = "embedding", scale: str = "raw", blocks: int | None = None) -> DataFrame:
     """id1 < id2, similarity of all pairs with a cosine of at least threshold; null and zero vectors have none.
 
-    Rows are dealt to blocks by the hash of their id, and each pair of blocks meets in one task as a matrix product, in strips;
-    only pairs above the threshold leave it. scope names a column whose values must be equal (such as a document); a null one
-    equals none. The number of blocks follows the number of rows of a scope, so a task holds two blocks of about BLOCK
-    vectors whatever the table's size, and rows of small scopes are not copied. scale="unit" gives (1 + cosine) / 2.
+    A scope (all rows, or those with the same value of a column such as a document; a null one equals none) of at most BLOCK
+    vectors is one matrix product. In larger ones each vector belongs to the cell of its nearest pivot, and visits only the later
+    cells in which the triangle inequality of angles allows a partner. The members of a cell and its visitors are dealt to
+    blocks of about BLOCK vectors by the hash of their id, and each block of members meets the others in one task as a matrix product, in
+    strips; only pairs above the threshold leave it. blocks deals each scope to so many blocks, without cells. scale="unit"
+    gives (1 + cosine) / 2.
     """
+    # a null scope equals none: without one, all are in scope 0
     rows = df.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), (F.col(scope) if scope else F.lit(0)).alias("scope"))
-    if blocks is not None or not scope:
-        own = rows.withColumn("n", F.lit(blocks if blocks is not None else max(1, -(-rows.count() // BLOCK))))
+    rows = rows.where("scope is not null")
+    sizes = rows.groupBy("scope").agg(F.count("*").alias("n"))
+    one = F.lit(0)
+    if blocks is not None:
+        own, large = rows.withColumns({"cell": one, "home": one, "members": F.lit(blocks), "visitors": one}), 0
     else:
-        own = rows.join(rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")), "scope")
-    own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("n")
+        sizes = written(sizes)
+        large = sizes.where(F.col("n") > BLOCK).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        own = rows.join(sizes.where(F.col("n") <= BLOCK).select("scope"), "scope", "left_semi").withColumns({"cell": one, "home": one, "members": F.lit(1), "visitors": one})
+    if large:
+        crowd = rows.join(sizes.where(F.col("n") > BLOCK).select("scope"), "scope", "left_semi")
+        pivots = _pivots(crowd, large)
+        met = written(_visits(written(_nearest(crowd, pivots)), pivots, threshold)).select("id", "v", "scope", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+        part = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+        counts = met.groupBy("scope", "cell").agg(part(F.col("home") == F.col("cell")).alias("members"), part(F.col("home") != F.col("cell")).alias("visitors"))
+        own = own.unionByName(met.join(counts, ["scope", "cell"]))
+    # blocks of members come first, those of visitors after them; visitors don't meet each other
+    member, key = F.col("home") == F.col("cell"), F.xxhash64("id")
+    place = F.when(member, F.pmod(key, F.col("members"))).otherwise(F.col("members") + F.pmod(key, F.col("visitors")))
+    others = F.when(member, F.col("members") + F.col("visitors")).otherwise(F.col("members"))
+    own = own.withColumn("b", place.cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).select("scope", "cell", "i", "j", "b", "id", "v")
     kind = df.schema[id_col].dataType.simpleString()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +158,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = Non
         x, y, s = x[good], y[good], s[good]
         return pd.DataFrame({"id1": np.minimum(x, y), "id2": np.maximum(x, y), "similarity": s}) if x.dtype != object else pd.DataFrame({"id1": [min(p) for p in zip(x, y, strict=True)], "id2": [max(p) for p in zip(x, y, strict=True)], "similarity": s})
 
-    out = dealt.groupBy("scope", "i", "j").applyInPandas(meet, f"id1 {kind}, id2 {kind}, similarity double")
+    out = dealt.groupBy("scope", "cell", "i", "j").applyInPandas(meet, f"id1 {kind}, id2 {kind}, similarity double")
     return out.withColumn("similarity", (1 + F.col("similarity")) / 2) if scale == "unit" else out
 
 
@@ -89,6 +167,97 @@ def similar_cases(cases: DataFrame, threshold: float = 0.7) -> DataFrame:
     return similar_pairs(cases, threshold).withColumnRenamed("similarity", "score")
 
 
+@dataclass(frozen=True)
+class Cells:
+    """A stored inverted file: the vectors (id, v, angle) in a folder for each cell, the pivots, and by cell its radius and size."""
+
+    path: str
+    kind: str
+    pivots: np.ndarray
+    radii: dict[int, float]
+    sizes: dict[int, int]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"id {self.kind}, v array<double>, angle double, cell int").parquet(self.path)
+
+
+def build_cells(corpus: DataFrame, corpus_id: str = "id", vector: str = "embedding", path: str | None = None) -> Cells:
+    """Writes the vectors of corpus by cells, once for all later questions. Every row is in a cell but those without a vector."""
+    path = path or folder(corpus.sparkSession)
+    rows = corpus.where(F.col(vector).isNotNull()).select(F.col(corpus_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = rows.count()
+    pivots, kind = _pivots(rows, n) if n else np.zeros((0, 0)), corpus.schema[corpus_id].dataType.simpleString()
+    (_nearest(rows, pivots) if n else rows.withColumns({"angle": F.lit(0.0), "cell": F.lit(0)})).select("id", "v", "angle", "cell").write.partitionBy("cell").parquet(path)
+    found = Cells(path, kind, pivots, {}, {})
+    for r in found.table(corpus.sparkSession).groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():  # at most PIVOTS
+        found.radii[r["cell"]], found.sizes[r["cell"]] = r["r"], r["n"]
+    return found
+
+
+def search_cells(queries: DataFrame, cells: Cells, k: int = 10, query_id: str = "query_id", vector: str = "embedding", report: bool = False):
+    """query_id, id, similarity, rank as of vector_search, from stored cells; with report also query_id, cells: how many were read.
+
+    A question reads its nearest cells, until they have k vectors; the k-th of these is at an angle t. Then it reads the cells
+    that come nearer than t to it: whose pivot's angle less the radius is at most t, and of these the vectors whose own angle to the
+    pivot allows it. No other vector can be among the k nearest, so the result is that of a full scan. Questions go to the workers in blocks of QUERIES.
+    """
+    spark, kind = queries.sparkSession, queries.schema[query_id].dataType.simpleString()
+    every, parts, counts = sorted(cells.sizes), [], []
+    schema = f"query_id {kind}, id {cells.kind}, similarity double"
+
+    def read(names: list, asked: np.ndarray, wanted: dict[int, list[int]], near: np.ndarray, limit: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array(names), asked, wanted, near, limit))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, asked, wanted, near, limit = shared.value
+            for pdf in batches:
+                for cell, own in pdf.groupby("cell"):
+                    qs = np.array(wanted[cell])
+                    own = own.sort_values("id")
+                    s = np.round(asked[qs] @ _unit(own["v"]).T, 12)
+                    s[np.abs(near[qs, cell][:, None] - own["angle"].to_numpy()) > limit[qs][:, None] + ROOM] = -np.inf
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    out = pd.DataFrame({"query_id": np.repeat(names[qs], best.shape[1]), "id": own["id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(s, best, 1).ravel()})
+                    yield out[out["similarity"] > -np.inf]
+
+        return cells.table(spark).where(F.col("cell").isin(sorted(wanted))).mapInPandas(run, schema)
+
+    def search(block: list) -> None:
+        names, asked = [r[0] for r in block], _unit(pd.Series([r[1] for r in block]))
+        near = _angles(asked, cells.pivots)
+        first: dict[int, list[int]] = {}
+        for q in range(len(block)):
+            have = 0
+            for c in sorted(every, key=lambda c: near[q, c]):
+                if have >= k:
+                    break
+                first.setdefault(c, []).append(q)
+                have += cells.sizes[c]
+        some = written(read(names, asked, first, near, np.full(len(block), np.pi)))
+        w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        kth = {r[0]: r[1] for r in some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select("query_id", "similarity").collect()}  # one for each of the block's questions
+        limit = np.array([np.arccos(np.clip(kth.get(n, -1.0), -1, 1)) for n in names])
+        seen = {(c, q) for c, qs in first.items() for q in qs}
+        rest = {c: [q for q in range(len(block)) if (c, q) not in seen and near[q, c] - cells.radii[c] <= limit[q] + ROOM] for c in every}
+        rest = {c: qs for c, qs in rest.items() if qs}
+        parts.append(some.union(read(names, asked, rest, near, limit)) if rest else some)
+        counts.extend((n, sum((c, q) in seen or q in rest.get(c, ()) for c in every)) for q, n in enumerate(names))
+
+    block = []
+    for row in queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES:
+            search(block)
+            block = []
+    if block and every:
+        search(block)
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.union(p)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    return (out, spark.createDataFrame(counts, f"query_id {kind}, cells int")) if report else out
+
+
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", corpus_id: str = "id", vector: str = "embedding", scale: str = "raw") -> DataFrame:
     """query_id, id, similarity, rank: the k nearest of the corpus for each question; ties go to the smaller id.
 

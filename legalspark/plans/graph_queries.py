@@ -186,6 +186,12 @@ def v4_vector_search(spark, d):
     return vectors.vector_search(_asked(spark, d), _vectors(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM ({_SEARCH})")
+def v4_cell_search(spark, d):
+    """The same from stored cells."""
+    return vectors.search_cells(_asked(spark, d), vectors.build_cells(_vectors(spark, d))).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"SELECT p.*, x.label AS label1, y.label AS label2 FROM (SELECT a.vec_id AS id1, b.vec_id AS id2, round({_COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND {_COSINE} >= {THRESHOLD} ORDER BY similarity DESC, 1, 2 LIMIT 5) p JOIN embeddings x ON x.vec_id = id1 JOIN embeddings y ON y.vec_id = id2")
 def v6_top_similar_report(spark, d):
     v = _vectors(spark, d)
