@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieval, vectors
+from ..operators import fulltext, graph, retrieval, vectors
 from ..sources.shared import written
 from . import testdata as t
 from .registry import query
@@ -89,6 +89,16 @@ def g7_concepts(spark, d):
     return graph.build_concepts(_concepts(spark, d))[0]
 
 
+@query(f"""WITH t AS (SELECT DISTINCT unnest({{tokens}}) AS term FROM benchmark), k AS (SELECT * FROM t WHERE length(term) BETWEEN 3 AND 50),
+w AS (SELECT DISTINCT doc_id, unnest({{tokens}}) AS term FROM documents)
+SELECT doc_id AS id, coalesce(array_to_string(list_sort(list(k.term) FILTER (k.term IS NOT NULL))[:50], ','), '') AS concepts FROM documents LEFT JOIN w USING (doc_id) LEFT JOIN k USING (term) GROUP BY doc_id""".replace("{tokens}", "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+'), lambda x: x <> '')"))
+def g6_dictionary_concepts(spark, d):
+    """A dictionary in a table: all words of the benchmark."""
+    words = table(spark, d, "benchmark").select(F.explode(fulltext.tokens(F.col("text"))).alias("term"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_title"), F.col("text").alias("content"))
+    return graph.extract_concepts(docs, words).select("id", F.array_join("concepts", ",").alias("concepts"))
+
+
 _CASE_TEXT = with_views("cited_lines", "articles") + ", p AS (SELECT DISTINCT l_orderkey AS case_id, unnest([CAST(l_partkey % 150 AS VARCHAR), CAST(l_suppkey % 50 AS VARCHAR)]) AS provision FROM cited_lines)"
 
 

@@ -148,6 +148,20 @@ def test_query_citations(spark):
 # --- vectors and retrieval ---
 
 
+def test_concepts_of_a_dictionary(spark):
+    """A table of 5000 terms finds what the list finds, whatever stands at the terms' edges, and its plan does not grow."""
+    terms = ["bail", "of the", "Código Penal", "c++", "(a) rule", "section 12-a", "new  line", "ab", "x" * 51, "u.s.", "été", "a_b"] + [f"term {k}" for k in range(5000)]
+    texts = ["Bail of the court; Of  the", "código penal", "c++ c++x", "1(a) rule", "see (a) rule, Section 12-A.", "new  line new line ab", None, "", "u.s.a u.s. us", "l'été étés", "a_b a_bc term 77, term 4999.", "éte", "of the"]
+    df = spark.createDataFrame([(k, "D", t) for k, t in enumerate(texts)], "id int, document_title string, content string")
+    small = lambda n: spark.createDataFrame([(t,) for t in terms[:n]], "term string")
+    want = {r["id"]: r["concepts"] for r in graph.extract_concepts(df, terms[:12] + ["term 77", "term 4999"]).collect()}
+    out = graph.extract_concepts(df, small(len(terms)))
+    assert {r["id"]: r["concepts"] for r in out.collect()} == want and want[10] == ["a_b", "term 4999", "term 77"]
+    size = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(out) - size(graph.extract_concepts(df, small(4)))) < 200
+    assert [r["concepts"] for r in graph.extract_concepts(df, small(0)).collect()] == [[]] * len(texts)
+
+
 def test_similar_pairs_in_many_blocks(spark):
     import numpy as np
 
