@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import itertools
 import re
 import tempfile
 import uuid
@@ -24,8 +26,25 @@ HOT_SHARE = 1_000
 
 #: Options of a session that keep Arrow batches small in rows and bytes, so that long texts cannot fill a Python worker.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-#: Folders of the tables that the running operator has written for itself.
+#: Folders of the tables that the running operator has written for itself; all that were handed out under keeping().
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_KEPT: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+
+
+@contextlib.contextmanager
+def keeping():
+    """Within it, the list has every folder that shared_dir hands out."""
+    token = _KEPT.set([])
+    try:
+        yield _KEPT.get()
+    finally:
+        _KEPT.reset(token)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores behind it as it takes to be no column of df."""
+    known = {c.lower() for c in df.columns}
+    return [next(n for k in itertools.count() if (n := name + "_" * k).lower() not in known) for name in names]
 
 
 def shared_dir(spark: SparkSession, scratch: bool = False) -> str:
@@ -43,9 +62,19 @@ def shared_dir(spark: SparkSession, scratch: bool = False) -> str:
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     if scratch and _SCRATCH.get() is not None:
         _SCRATCH.get().append(path)
+    if _KEPT.get() is not None:
+        _KEPT.get().append(path)
     return path
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Few written rows that are much work, such as paths of files: one task reads them and deals them out in turn, to a number of
+    partitions that Spark keeps."""
+    spark = rows.sparkSession
+    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.coalesce(1).sortWithinPartitions(rows.columns[0]).repartition(min(max(1, rows.count()), most))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
     path = shared_dir(df.sparkSession, scratch=True)
@@ -126,20 +155,6 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key, "left"))
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in ids (one materialised column).
-
-    A counted, small list is broadcast, so that texts are not shuffled; a longer one is joined by a shuffle.
-    """
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti")
-
-
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
 def hashed_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     """The n rows of each value of `by` with the smallest hashes of key (all, if there are fewer).
 
@@ -189,3 +204,30 @@ class BitFilter:
             return pd.Series(self.holds(first.to_numpy(), second.to_numpy()))
 
         return known(*self.probes(c))
+
+
+def _split(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows whose key may be in ids, those whose key is not, ids). Long lists go through a filter of bounded size first, so that
+    the join sees, and shuffles, only the rows that it lets through."""
+    maybe = F.coalesce(BitFilter(ids.where(F.col(key).isNotNull()), key).column(F.col(key)), F.lit(False)) & F.col(key).isNotNull()
+    return docs.where(maybe), docs.where(~maybe), ids
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in ids (one materialised column); a null key stays.
+
+    A counted, small list is broadcast, so that texts are not shuffled; of a longer one only rows that a bit filter lets
+    through are joined by a shuffle.
+    """
+    if ids.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(ids), key, "left_anti")
+    some, rest, ids = _split(docs, ids, key)
+    return rest.unionByName(some.join(ids, key, "left_anti").select(docs.columns))
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with only the rows whose key is in ids, in the same way."""
+    if ids.count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(ids), key, "left_semi")
+    some, _, ids = _split(docs, ids, key)
+    return some.join(ids, key, "left_semi").select(docs.columns)

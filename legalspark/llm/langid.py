@@ -23,8 +23,10 @@ SEGMENT, UNITS, TOGETHER = 128, 8, 4096
 ROWS_PER_LANGUAGE = 600
 #: Training: updates, pieces in each (drawn evenly from the languages), bytes in a piece, largest rate.
 UPDATES, STEP, PIECE, RATE = 240, 128, 64, 0.03
-#: A gram is familiar when it is at least one of so many in the sample.
-RARE = 500_000
+#: A gram is a piece of a language when it is at least one of so many in its sample; languages that bits tell apart.
+RARE, BITS = 500_000, 64
+#: A language is likely in a segment from this mean probability on.
+LIKELY = 0.1
 UNKNOWN = "und"
 #: Bytes of a text as bytes beyond ASCII, ASCII letters, or spaces; bytes of a text looked up together.
 LETTERS, CHUNK = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)), 1 << 18
@@ -43,7 +45,7 @@ class Gru:
 
     def __init__(self, languages: list[str], seed: int = 7, weights: dict[str, np.ndarray] | None = None):
         rng, h, n = np.random.default_rng(seed), UNITS, len(languages)
-        self.languages, self.seen = languages, np.zeros(0, np.int32)
+        self.languages, self.seen = languages, np.zeros(1, np.uint8)
         normal = lambda scale, *shape: (scale * rng.standard_normal(shape)).astype(np.float32)
         self.w = weights or {k + d: normal(s, *shape) for d in "fb" for k, s, shape in (("x", 0.3, (3 * h, 256)), ("u", 0.3, (3 * h, h)), ("o", 0.3, (n, h)))} | {"bias": np.zeros((n, 1), np.float32)}
 
@@ -128,10 +130,20 @@ class Gru:
                 self.w[n] = (self.w[n] - now * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return self
 
+    def likely(self, sums: np.ndarray) -> np.ndarray:
+        bits = np.zeros(len(sums), np.uint64)
+        for k in range(len(self.languages)):
+            bits |= np.where(sums[:, k] >= LIKELY * sums.sum(1), np.uint64(1 << k % BITS), np.uint64(0))
+        return bits
+
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities of each text, (texts, languages); zeros for an empty one."""
+        return self.labelled(texts)[0]
+
+    def labelled(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Mean probabilities of each text, (texts, languages), zeros for an empty one; and of each of its segments the
+        languages, as bits, that have at least LIKELY of its probability."""
         sums = np.zeros((len(texts), len(self.languages)))
-        whole, owner, tails, tail_owner = [], [], [], []
+        whole, owner, tails, tail_owner, labels, last = [], [], [], [], [], {}
         for k, t in enumerate(texts):
             n = len(t) // SEGMENT
             whole.append(t[: n * SEGMENT])
@@ -142,13 +154,18 @@ class Gru:
         x, owner = np.frombuffer(b"".join(whole), np.uint8).reshape(-1, SEGMENT), np.concatenate(owner) if owner else np.zeros(0, int)
         for at in range(0, len(x), TOGETHER):
             part = np.ascontiguousarray(x[at : at + TOGETHER].T)
-            np.add.at(sums, owner[at : at + TOGETHER], self.probabilities(part, None).T)
+            found = self.probabilities(part, None).T
+            np.add.at(sums, owner[at : at + TOGETHER], found)
+            labels.append(self.likely(found))
         order = sorted(range(len(tails)), key=lambda k: len(tails[k]))
         for at in range(0, len(order), TOGETHER // 16):
             rows = order[at : at + TOGETHER // 16]
             part, mask = padded([tails[k] for k in rows])
-            np.add.at(sums, np.array([tail_owner[k] for k in rows]), self.probabilities(part, mask).T)
-        return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+            found = self.probabilities(part, mask).T
+            np.add.at(sums, np.array([tail_owner[k] for k in rows]), found)
+            last.update(zip((tail_owner[k] for k in rows), self.likely(found), strict=True))
+        each = np.split(np.concatenate(labels) if labels else np.zeros(0, np.uint64), np.cumsum([len(t) // SEGMENT for t in texts])[:-1]) if texts else []
+        return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None], [np.append(x, last[k]) if k in last else x for k, x in enumerate(each)]
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +176,10 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x.T), (np.arange(width)[:, None] < size).astype(np.float32)
 
 
+def in_words(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.translate(LETTERS), np.uint8) != 32
+
+
 def grams(text: bytes) -> np.ndarray:
     """Codes of all runs of three bytes whose middle is in a word; a space stands for what is between words."""
     b = np.frombuffer(b" " + text.translate(LETTERS) + b" ", np.uint8).astype(np.int32)
@@ -166,16 +187,19 @@ def grams(text: bytes) -> np.ndarray:
 
 
 def lowered(text: str) -> bytes:
-    """Lower case in UTF-8, without runs of ASCII letters and digits that have a digit: keys and numbers are no words."""
-    return CODES.sub(b" ", text.lower().encode("utf-8", "surrogatepass"))
+    """Lower case in UTF-8, with spaces for runs of ASCII letters and digits that have a digit: keys and numbers are no words."""
+    return CODES.sub(lambda m: b" " * len(m[0]), text.lower().encode("utf-8", "surrogatepass"))
 
 
-def familiar(text: bytes, seen: np.ndarray) -> float:
-    """Share of the grams of a lowered text that seen (true by code) has; 0.0 without any."""
+def familiar(text: bytes, size: int, labels: np.ndarray, seen: np.ndarray) -> float:
+    """Share of the grams of a lowered text that are learned pieces of a language that the network finds likely in their segment;
+    0.0 without any. size is that of the text itself, labels has its segments' languages, seen those of a code, as bits."""
     n = known = 0
     for at in range(0, len(text), CHUNK):
-        codes = grams(text[at : at + CHUNK])
-        n, known = n + len(codes), known + int(seen[codes].sum())
+        part = text[at : at + CHUNK]
+        codes, places = grams(part), np.flatnonzero(in_words(part))
+        segment = np.minimum((at + places) * size // len(text) // SEGMENT, len(labels) - 1)
+        n, known = n + len(codes), known + int(np.count_nonzero(seen[codes] & labels[segment].astype(seen.dtype)))
     return known / max(1, n)
 
 
@@ -192,11 +216,13 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Gru:
     if not rows:
         return Gru(languages)
     model = Gru(languages).fit([r[2] for r in rows], np.array([languages.index(r[0]) for r in rows]))
-    counts = np.zeros(1 << 24, np.int32)
-    for _, _, text in rows:
-        for at in range(0, len(text), CHUNK):
-            np.add.at(counts, grams(lowered(text[at : at + CHUNK].decode("utf-8", "replace"))), 1)
-    model.seen = np.flatnonzero(counts >= max(1, counts.sum() // RARE)).astype(np.int32)
+    model.seen = np.zeros(1 << 24, np.min_scalar_type((1 << min(BITS, len(languages))) - 1))
+    for k, language in enumerate(languages):
+        counts = np.zeros(1 << 24, np.int32)
+        for text in (t for name, _, t in rows if name == language):
+            for at in range(0, len(text), CHUNK):
+                np.add.at(counts, grams(lowered(text[at : at + CHUNK].decode("utf-8", "replace"))), 1)
+        model.seen[counts >= max(1, counts.sum() // RARE)] |= model.seen.dtype.type(1 << k % BITS)
     return model
 
 
@@ -205,24 +231,27 @@ def predict(docs: DataFrame, model: Gru, with_familiar: bool = False) -> DataFra
     """doc_id, lang_pred, score of each row of docs: the language with the largest pooled probability over the whole
     text (the first of equal ones), and that probability; `und` and 0.0 if the text is null or has no letter.
 
-    with_familiar adds familiar: the share of the text's grams that the learned pieces of any language have. The network
-    always picks a learned language; this tells whether the text is in any.
+    with_familiar adds familiar: the share of the text's grams that are learned pieces of a language that the network finds
+    likely in their segment. The network always picks a learned language; this tells whether the segments are in it. A text in several
+    languages is judged by each of them where it is spoken.
     """
     names = ["doc_id", "lang_pred", "score"] + ["familiar"] * with_familiar
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w, model.seen))
+    some = np.flatnonzero(model.seen).astype(np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.w, (some, model.seen[some])))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights, codes = shared.value
-        net, seen = Gru(languages, weights=weights), np.zeros(1 << 24 if with_familiar else 0, bool)
+        net, seen = Gru(languages, weights=weights), None
         if with_familiar:
-            seen[codes] = True
+            seen = np.zeros(1 << 24, codes[1].dtype)
+            seen[codes[0]] = codes[1]
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            p = net.pooled(texts)
+            p, labels = net.labelled(texts)
             best = p.argmax(1)
             out = [batch.column(0), pa.array([languages[b] if t else UNKNOWN for b, t in zip(best, texts, strict=True)]), pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))]
             if with_familiar:
-                out.append(pa.array([familiar(lowered(t or ""), seen) for t in batch.column(1).to_pylist()], pa.float64()))
+                out.append(pa.array([familiar(lowered(t or ""), len(b), own, seen) for t, b, own in zip(batch.column(1).to_pylist(), texts, labels, strict=True)], pa.float64()))
             yield pa.RecordBatch.from_arrays(out, names)
         tidy()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, materialise, operator, text_of
+from .common import BROADCAST_ROWS, attach, fresh, materialise, operator, text_of
 
 #: Consecutive lines in a window.
 LINES = 3
@@ -44,11 +44,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     is never a later one of itself. Passages of fewer than three lines within longer texts are left. Extra columns pass
     through; the three added ones replace columns of the same name.
     """
-    spans = removed_spans(docs).select(F.col("doc_id").alias("own_id"), F.col("place").alias("own_place"), F.col("spans").alias("own_spans"))
-    few = spans.agg(F.sum(F.size("own_spans"))).first()[0] or 0
-    here = docs["doc_id"].eqNullSafe(spans["own_id"]) & (F.unhex(F.md5(text_of())) == spans["own_place"])
+    names = fresh(docs, "own_id", "own_place", "own_spans")
+    spans = removed_spans(docs).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "place", "spans"), names, strict=True)])
+    few = spans.agg(F.sum(F.size(names[2]))).first()[0] or 0
+    here = docs["doc_id"].eqNullSafe(spans[names[0]]) & (F.unhex(F.md5(text_of())) == spans[names[1]])
     rows = docs.join(F.broadcast(spans) if few <= BROADCAST_ROWS else spans, here, "left")
-    lines, own = F.split("text", "\n", -1), F.coalesce("own_spans", F.array().cast("array<struct<start:int,end:int>>"))
+    lines, own = F.split("text", "\n", -1), F.coalesce(names[2], F.array().cast("array<struct<start:int,end:int>>"))
     # the lines between one span and the next, in one walk over the spans; each array is made once
     between = lambda x: F.flatten(F.zip_with(F.concat(F.array(F.lit(0)), F.transform(x["own"], lambda s: s["end"])), F.concat(F.transform(x["own"], lambda s: s["start"]), F.array(F.size(x["lines"]))), lambda a, b: F.slice(x["lines"], a + 1, b - a)))
     kept = F.get(F.transform(F.array(F.struct(lines.alias("lines"), own.alias("own"))), between), F.lit(0))
@@ -56,4 +57,4 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     out = rows.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": n_removed.cast("long"),
                             "removed": F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["start"], s["end"])), ","),
                             "text": F.when(F.size(own) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))})
-    return out.drop("own_id", "own_place", "own_spans")
+    return out.drop(*names)

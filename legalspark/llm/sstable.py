@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LONG, PLAIN, lowered, parts_of
-from .common import groups_of, materialise, operator, shared_dir, text_of, tidy
+from .common import dealt, groups_of, materialise, operator, shared_dir, text_of, tidy
 
 MAGIC = b"SST1"
 FOOTER = struct.Struct("<QQIQQI4s")
@@ -322,7 +322,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """
     order = Window.orderBy("low", "high", "path")
     starts = manifest.withColumn("before", F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    shards = starts.select("path", F.col("before").cast("long").alias("before")).repartition("path")
+    shards = starts.select("path", F.col("before").cast("long").alias("before"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +337,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
@@ -387,7 +387,9 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [(doc_id, ids.astype(np.int64)) for ids in opened[path].get(doc_id)]
             yield pd.DataFrame({"doc_id": pd.array([d for d, _ in out], "Int64"), "ids": [i for _, i in out]})
 
-    return found.repartition("path").sortWithinPartitions("path").mapInPandas(fetch, "doc_id long, ids array<long>")
+    found = materialise(found)
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return found.repartition(tasks, "path").sortWithinPartitions("path").mapInPandas(fetch, "doc_id long, ids array<long>")
 
 
 def tokens_to_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, attach, materialise, operator, shared_dir
+from .common import BROADCAST_ROWS, attach, dealt, materialise, operator, shared_dir
 
 #: Bytes of records in an archive before the next is begun; bytes read or inflated at once.
 ARCHIVE, CHUNK = 256 << 20, 1 << 20
@@ -173,13 +173,6 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     return materialise(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, _MANIFEST))
 
 
-def _dealt(archives: DataFrame) -> DataFrame:
-    """Few rows that are much work: spread evenly, in a number of partitions that Spark keeps."""
-    spark = archives.sparkSession
-    most = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return archives.repartition(min(max(1, archives.count()), most))
-
-
 @operator
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Each archive rewritten with a member per record and a sidecar index; path and number of records of the new ones."""
@@ -192,7 +185,7 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                 target = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"path": [target], "records": [normalise(path, target)]}), preserve_index=False)
 
-    return materialise(_dealt(archives.select("path")).mapInArrow(run, _MANIFEST))
+    return materialise(dealt(archives.select("path")).mapInArrow(run, _MANIFEST))
 
 
 @operator
@@ -228,7 +221,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield _rows(out)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return _dealt(archives.select("path", "records")).mapInArrow(run, schema)
+    return dealt(archives.select("path", "records")).mapInArrow(run, schema)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

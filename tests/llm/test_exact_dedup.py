@@ -44,3 +44,17 @@ def test_hashed_samples_are_the_smallest_hashes(spark):
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
     want = {r["id"] for r in rows.where("by = 'many'").orderBy(h, "id").limit(50).collect()} | set(range(5))
     assert {r["id"] for r in got.repartition(3).collect()} == want
+
+
+def test_long_lists_of_ids_shuffle_few_rows(spark, monkeypatch):
+    """Beyond the bound for a broadcast, only rows that a filter lets through meet the list."""
+    from legalspark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 50) AS text").union(spark.createDataFrame([(None, "n")], "doc_id long, text string"))
+    ids = spark.range(0, 3000, 30).selectExpr("id AS doc_id")
+    left = common.drop_ids(docs, ids)
+    assert sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([None, *(k for k in range(3000) if k % 30)], key=str)
+    assert sorted(r["doc_id"] for r in common.keep_ids(docs, ids).collect()) == list(range(0, 3000, 30))
+    some, rest, _ = common._split(docs, ids, "doc_id")
+    assert some.count() == 100 and rest.count() == 2901

@@ -45,3 +45,10 @@ def test_repeated_rows_and_an_empty_table(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc")] * 2, "doc_id long, text string")
     assert [r["n_removed"] for r in line_dedup(docs).collect()] == [0, 0]
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    text = "same one\nsame two\nsame three"
+    docs = spark.createDataFrame([(1, text, "a", 5, None, "p"), (2, text, "b", 6, [1], "q")], "doc_id long, text string, own_spans string, own_id int, own_place array<int>, OWN_SPANS_ string")
+    got = {r["doc_id"]: (r["own_spans"], r["own_id"], r["own_place"], r["OWN_SPANS_"], r["n_removed"]) for r in line_dedup(docs).collect()}
+    assert got == {1: ("a", 5, None, "p", 0), 2: ("b", 6, [1], "q", 3)}

@@ -1,5 +1,6 @@
 """The pipeline against a plain one, stage by stage, on a small table."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -93,3 +94,32 @@ def test_an_empty_table(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """An extra column keeps its values whatever its name, also where rows get keys of their own."""
+    rows, _ = corpus()
+    docs = spark.createDataFrame([(7, rows[0][1], "en", "X1", "a"), (7, rows[1][1], "de", "X2", "b"), (None, rows[2][1], "en", "X3", "c")], "doc_id long, text string, lang string, own_doc_id string, kept_doc_id string")
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.language):
+        kept = stage(spark, docs, "").collect()
+        assert sorted((r["text"], r["own_doc_id"], r["kept_doc_id"]) for r in kept) == sorted((rows[k][1], f"X{k + 1}", "abc"[k]) for k in range(3))
+
+
+def test_only_the_result_is_left(spark, tmp_path, monkeypatch):
+    rows, items = corpus()
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "in/documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "in/benchmark.parquet"))
+    from legalspark.llm import common
+
+    folders, plain = [], common.shared_dir
+
+    def noted(*args, **named):
+        folders.append(plain(*args, **named))
+        return folders[-1]
+
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", noted)
+    out = corpus_pipeline.run(spark, str(tmp_path / "in"))
+    left = [f for f in folders if os.path.exists(f.removeprefix("file://").removeprefix("file:"))]
+    assert out.count() > 0 and len(folders) > 20 and len(left) == 1

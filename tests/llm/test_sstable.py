@@ -89,3 +89,17 @@ def test_blocks_share_prefixes(tmp_path):
     assert len(reader.index) > 1
     assert [len(x) for x in reader.get(3 * 4321)] == [4321 % 50]
     assert reader.get(3 * 4321 + 1) == []
+
+
+def test_each_shard_is_read_by_a_task_of_its_own(spark):
+    from legalspark.llm.common import dealt
+
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('the quick fox ', 20) AS text").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest, read = sstable.tokens_to_shards(docs, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = manifest.count()
+    assert n == 4 and read.count() == 600
+    assert sorted(len(x) for x in dealt(manifest).rdd.glom().collect()) == [1] * n
