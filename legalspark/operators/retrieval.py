@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text, usable, words
+from ..sources.shared import written
 from . import fulltext
+from .datasets import _numbered
 
 #: Parts to which the blocks of a question and kind are dealt before they meet in one context.
 PARTS = 64
@@ -30,21 +32,45 @@ def keyword_search(queries: DataFrame, corpus: DataFrame | fulltext.Index, colum
     return fulltext.search(queries, index, k, column, digits)
 
 
+#: Neighbours in a part of a node's stored list.
+PART = 32
+
+
+def build_adjacency(edges: DataFrame) -> DataFrame:
+    """src, part, dsts: the distinct neighbours of each node in order, PART in a part, written once for all later questions.
+
+    A hub has many parts, which no task holds together: edges are numbered over all ranges, and a place in a node's list is the
+    distance from its first number.
+    """
+    own = _numbered(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "src", "dst", name="_n")
+    first = own.groupBy("src").agg(F.min("_n").alias("_first"))
+    parts = own.join(first, "src").withColumn("part", F.floor((F.col("_n") - F.col("_first")) / PART))
+    return written(parts.groupBy("src", "part").agg(F.sort_array(F.collect_list("dst")).alias("dsts")))
+
+
 def related_articles(starts: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None = 15) -> DataFrame:
-    """query_id, id, distance (and rank): distinct (node, distance) over directed paths of 1 to depth edges (src, dst).
+    """query_id, id, distance (and rank): distinct (node, distance) over directed paths of 1 to depth edges (src, dst), the nearest
+    first and then by id, at most limit of them. edges may be a stored adjacency.
 
-    A path does not use an edge twice, but may come back to a start. Each step keeps distinct frontier rows, so that the
-    number of paths does not grow; edges are narrowed to the frontier by the join itself.
+    A path does not use an edge twice, but may come back to a start. Levels are expanded one after another, and a question stops
+    as soon as limit rows are known. Of a node only the parts with its first neighbours are read: if it has more than
+    limit, its question stops at this level, and the smallest ids are among them. So a level has at most limit nodes of
+    a question to expand, each to about as many, whatever hubs there are. Without a limit all paths are followed.
     """
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    steps = edges if "dsts" in edges.columns else build_adjacency(edges)
+    if limit is not None:
+        steps = steps.where(F.col("part") * PART < limit + depth)
     frontier = starts.select("query_id", F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<string>").alias("used")).distinct()
     found = None
     for d in range(1, depth + 1):
         edge = F.concat_ws(">", F.col("at").cast("string"), F.col("next").cast("string"))
-        moved = frontier.join(step, "at").where(~F.array_contains("used", edge))
-        frontier = moved.select("query_id", "start", F.col("next").alias("at"), (F.array_append("used", edge) if d < depth else F.array().cast("array<string>")).alias("used")).distinct()
-        level = frontier.select("query_id", F.col("at").alias("id")).distinct().withColumn("distance", F.lit(d))
+        moved = frontier.join(steps, F.col("at") == F.col("src")).select("query_id", "start", "at", "used", F.explode("dsts").alias("next")).where(~F.array_contains("used", edge))
+        moved = moved.select("query_id", "start", F.col("next").alias("at"), (F.array_append("used", edge) if d < depth else F.array().cast("array<string>")).alias("used")).distinct()
+        moved = written(moved) if d < depth else moved
+        level = moved.select("query_id", F.col("at").alias("id")).distinct().withColumn("distance", F.lit(d))
         found = level if found is None else found.union(level)
+        if d < depth:
+            frontier = moved if limit is None else moved.join(found.groupBy("query_id").count().where(F.col("count") >= limit).select("query_id"), "query_id", "left_anti")
     return _rank(found, ["distance", "id"], limit)
 
 
@@ -71,7 +97,7 @@ def multi_stage(
     Recall: 15 semantic and 10 keyword articles, 5 and 3 cases, articles reached from the first five (first ten of them),
     two citing cases for each of the first three. Channels are united and reduced by one aggregation on (query_id, type,
     id). The 30 best by weight are re-ranked if there is a scorer (texts has id, type, text), and cut at the threshold;
-    anchors that are not among them go first.
+    anchors that are not among them go first. A node is reached at two distances at most, so the first 20 reached have the first ten nodes.
     """
     p = TUNED if tuned else UNTUNED
     cut = lambda df, n, c: _rank(df, ["rank"], n, name="_r").select("query_id", "id", F.col(c).alias("score"), F.col("_r").alias("place"))
@@ -79,7 +105,7 @@ def multi_stage(
     sc, kc = cut(semantic_cases, 5, "similarity"), cut(keyword_cases, 3, "score")
     merged = sa.withColumn("c", F.lit(0)).union(ka.withColumn("c", F.lit(1))).groupBy("query_id", "id").agg(F.min(F.struct("c", "place")).alias("first"))
     leading = _rank(merged, ["first", "id"], 5)
-    near = related_articles(leading, edges, 2, None).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    near = related_articles(leading, edges, 2, 20).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     graph = _rank(near, ["distance", "id"], 10).select("query_id", "id", (1 / (F.col("distance") + 1)).alias("score"))
     citing = cases_citing(leading.where("rank <= 3"), case_cites, cases, 2).select("query_id", "id").distinct()
 

@@ -247,7 +247,7 @@ def _semantic(spark: SparkSession, d: str) -> DataFrame:
 every AS (SELECT *, 1 AS distance FROM one UNION ALL SELECT *, 2 FROM two)
 SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM every) WHERE rank <= 15""")
 def q2_related_articles(spark, d):
-    edges = t.cites(spark, d)
+    edges = t.cites_graph(spark, d)
     return retrieval.related_articles(edges.select(F.col("src").alias("query_id"), F.col("src").alias("id")).distinct(), edges)
 
 
@@ -273,7 +273,7 @@ f2 AS (SELECT query_id, id, type, CASE WHEN type = 'article' THEN 0.45 * coalesc
 @query(_FUSED + " SELECT query_id, id, type, round(combined, 8) AS combined, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, type, id) AS rank FROM f2) WHERE rank <= 10")
 def q4_multi_stage(spark, d):
     s, k = written(_semantic(spark, d)), written(_keyword(spark, d))
-    out = retrieval.multi_stage(s, k, s, k, t.cites(spark, d), t.case_cites(spark, d), t.cases(spark, d))
+    out = retrieval.multi_stage(s, k, s, k, t.cites_graph(spark, d), t.case_cites(spark, d), t.cases(spark, d))
     return out.select("query_id", "id", "type", F.round("combined", 8).alias("combined"), "rank")
 
 
@@ -317,7 +317,8 @@ rows_ AS (SELECT query_id, id, similarity AS s, NULL::DOUBLE AS k, NULL::DOUBLE
 fused AS (SELECT query_id, id, 0.15 * coalesce(max(s), 0) + 0.15 * coalesce(max(k), 0) + 0.70 * coalesce(max(g), 0) AS combined FROM rows_ GROUP BY 1, 2)
 SELECT query_id, id, round(combined, 8) AS combined, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS rank FROM fused) WHERE rank <= 10""")
 def q9_hybrid_search(spark, d):
-    return retrieval.hybrid_search(_semantic(spark, d), _keyword(spark, d), t.cites(spark, d)).withColumn("combined", F.round("combined", 8))
+    s, k = written(_semantic(spark, d)), written(_keyword(spark, d))
+    return retrieval.hybrid_search(s, k, t.cites_graph(spark, d)).withColumn("combined", F.round("combined", 8))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS query_id, l_partkey AS id, max(round(l_discount - l_tax, 6)) AS final FROM lineitem GROUP BY 1, 2),

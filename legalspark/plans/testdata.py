@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fulltext
+from ..operators import fulltext, retrieval
 
 #: SQL twins of the functions below, by name.
 VIEWS = {
@@ -66,6 +66,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+_GRAPHS: dict[tuple[str, str], DataFrame] = {}
 
 
 def document_index(spark: SparkSession, d: str) -> fulltext.Index:
@@ -74,3 +75,11 @@ def document_index(spark: SparkSession, d: str) -> fulltext.Index:
     if key not in _INDEXES:
         _INDEXES[key] = fulltext.build_index(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
     return _INDEXES[key]
+
+
+def cites_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The stored adjacency of cites; the queries of a session share it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _GRAPHS:
+        _GRAPHS[key] = retrieval.build_adjacency(cites(spark, d))
+    return _GRAPHS[key]

@@ -148,6 +148,31 @@ def test_query_citations(spark):
 # --- vectors and retrieval ---
 
 
+def test_expansion_stops_at_hubs(spark, monkeypatch):
+    """Nodes with very many neighbours: a level has a bounded number of rows, and the first ones are those of all paths."""
+    edges = [(1, 2), (1, 3), (2, 1), (3, 3), (5, 2)] + [(2, 10 + k) for k in range(5000)] + [(3, 7000 - k) for k in range(50)]
+    df = spark.createDataFrame(edges, "src int, dst int").repartition(3)
+    adjacency = retrieval.build_adjacency(df)
+    assert adjacency.where("src = 2").count() == -(-5001 // retrieval.PART) and adjacency.agg(F.max(F.size("dsts"))).first()[0] == retrieval.PART
+    sizes = []
+    plain = retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda x: sizes.append((out := plain(x)).count()) or out)
+    starts = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 99), (5, 1), (5, 5)], "query_id int, id int")
+    out = {}
+    for q in (1, 2, 3, 5):
+        rows_ = set()
+        for s in {1: [1], 2: [2], 3: [3], 5: [1, 5]}[q]:
+            rows_ |= {(1, b) for a, b in edges if a == s} | {(2, c) for a, b in edges if a == s for x, c in edges if x == b and (a, b) != (x, c)}
+        out[q] = sorted(rows_)[:15]
+    got = {}
+    for r in retrieval.related_articles(starts, adjacency).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
+    assert {q: [(d, i) for _, d, i in sorted(v)] for q, v in got.items()} == out
+    assert max(sizes) < 200
+    every = retrieval.related_articles(starts, df, 2, None).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in every}[1] == 2 + 5001 + 51
+
+
 def test_concepts_of_a_dictionary(spark):
     """A table of 5000 terms finds what the list finds, whatever stands at the terms' edges, and its plan does not grow."""
     terms = ["bail", "of the", "Código Penal", "c++", "(a) rule", "section 12-a", "new  line", "ab", "x" * 51, "u.s.", "été", "a_b"] + [f"term {k}" for k in range(5000)]
