@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import values
 from ..functions import text as tx
 from ..operators import datasets, filters, reports, retrieval, scorers, structure
-from ..sources import tables
+from ..sources import buckets, shared, tables
 from ..streaming import history
 from . import testdata as t
 from .registry import query
@@ -58,6 +58,40 @@ def s8_delete_edges(spark, d):
     return tables.delete_edges(t.cites(spark, d), t.articles(spark, d), "Brand#2")
 
 
+@query(f"SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT id, status FROM {_UPDATES}")
+def s5_stored_merge(spark, d):
+    """The upsert into a stored table, in two batches of changes."""
+    path = shared.folder(spark)
+    buckets.create(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), path, "id", 16)
+    changes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("status"), (F.col("l_orderkey") % 5 == 0).alias("late"))
+    for late in (False, True):
+        buckets.merge(spark, path, changes.where(F.col("late") == late).drop("late"), "status")
+    return buckets.read(spark, path)
+
+
+@query(f"SELECT id, status FROM {_UPDATES}")
+def s6_stored_replace(spark, d):
+    path = shared.folder(spark)
+    buckets.create(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), path, "id", 16)
+    buckets.replace(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_linestatus").alias("status")), path)
+    return buckets.read(spark, path)
+
+
+@query(with_views("statutes", "articles", "cites", "case_cites") + """, gone AS (SELECT id FROM articles WHERE document_title = 'Brand#2')
+SELECT 'documents' AS name, title AS a, NULL AS b FROM statutes WHERE title <> 'Brand#2' UNION ALL SELECT 'articles', document_title, id::VARCHAR FROM articles WHERE document_title <> 'Brand#2'
+UNION ALL SELECT 'cites', src::VARCHAR, dst::VARCHAR FROM cites WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone) UNION ALL SELECT 'case_cites', case_id::VARCHAR, article_id::VARCHAR FROM case_cites WHERE article_id NOT IN (FROM gone)""")
+def s7_stored_delete(spark, d):
+    """A cascade through stored tables, with all rows that are left."""
+    folder = shared.folder(spark)
+    stored = {"documents": (t.statutes(spark, d), "title", "title"), "articles": (t.articles(spark, d), "id", "document_title"), "cites": (t.cites(spark, d), ["src", "dst"], "src"), "case_cites": (t.case_cites(spark, d), ["case_id", "article_id"], "article_id")}
+    for name, (rows, keys, by) in stored.items():
+        buckets.create(rows, f"{folder}/{name}", keys, 16, by)
+    buckets.delete_document(spark, folder, "Brand#2", list(stored))
+    column = {"documents": ("title", None), "articles": ("document_title", "id"), "cites": ("src", "dst"), "case_cites": ("case_id", "article_id")}
+    parts = [buckets.read(spark, f"{folder}/{n}").select(F.lit(n).alias("name"), F.col(a).cast("string").alias("a"), (F.col(b) if b else F.lit(None)).cast("string").alias("b")) for n, (a, b) in column.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R')")
 def s9_pending(spark, d):
     marked = F.when(F.col("l_returnflag") == "R", "[ERROR: again]").otherwise("text")

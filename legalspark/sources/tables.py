@@ -74,6 +74,10 @@ def replace_cases(existing: DataFrame, new: DataFrame, keep: bool = False) -> Da
     return upsert(existing, new, "id") if keep else new.dropDuplicates(["id"])
 
 
+#: The ends of edges at which an article may stand.
+EDGE_ENDS = {"cites": ("src", "dst"), "similar_to": ("id1", "id2"), "related_through": ("id1", "id2"), "relates_to": ("article_id",), "case_cites": ("article_id",)}
+
+
 def delete_document(tables: dict[str, DataFrame], title: str) -> dict[str, DataFrame]:
     """tables without a document, its articles, clauses, sub-clauses, and all edges that touch its articles.
 
@@ -82,7 +86,7 @@ def delete_document(tables: dict[str, DataFrame], title: str) -> dict[str, DataF
     """
     if tables["documents"].where(F.col("title") == title).isEmpty():
         raise KeyError(title)
-    out = dict(tables) | {"documents": tables["documents"].where(F.col("title") != title)}
+    out = dict(tables) | {"documents": tables["documents"].where(~F.col("title").eqNullSafe(title))}
     gone = tables["articles"].where(F.col("document_title") == title).select(F.col("id").alias("_gone"))
     out["articles"] = tables["articles"].where(~F.col("document_title").eqNullSafe(title))
     anti = lambda df, c, ids: df.join(ids, df[c] == ids["_gone"], "left_anti")
@@ -91,8 +95,7 @@ def delete_document(tables: dict[str, DataFrame], title: str) -> dict[str, DataF
         out["clauses"] = anti(tables["clauses"], "article_id", gone)
         if "subclauses" in tables:
             out["subclauses"] = anti(tables["subclauses"], "clause_id", clauses)
-    ends = {"cites": ("src", "dst"), "similar_to": ("id1", "id2"), "related_through": ("id1", "id2"), "relates_to": ("article_id",), "case_cites": ("article_id",)}
-    for name, columns in ends.items():
+    for name, columns in EDGE_ENDS.items():
         if name in tables:
             for c in columns:
                 out[name] = anti(out[name], c, gone)
