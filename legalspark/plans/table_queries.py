@@ -8,7 +8,7 @@ from .. import values
 from ..functions import text as tx
 from ..operators import datasets, filters, reports, retrieval, scorers, structure
 from ..sources import buckets, shared, tables
-from ..streaming import history
+from ..streaming import history, workspace
 from . import testdata as t
 from .registry import query
 from .testdata import table, with_views
@@ -560,11 +560,28 @@ def t2_history(spark, d):
     return history.history(turns).select("session_id", F.size("history").cast("long").alias("turns"), F.md5(F.array_join(F.transform("history", lambda h: h["question"]), "|")).alias("digest"))
 
 
-@query("SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY made DESC, l DESC) AS n FROM (SELECT user_id AS id, max(ts) AS made, 'click' AS v, 0 AS l FROM events WHERE event_type = 'click' GROUP BY 1 UNION ALL SELECT user_id, max(ts), 'view', 1 FROM events WHERE event_type = 'view' GROUP BY 1)) WHERE n = 1")
+_SIDE = "SELECT user_id AS id, max(ts) AS made, arg_max(event_type, (ts, event_id)) AS v, {0} AS l FROM events WHERE event_type {1} ('click', 'view') GROUP BY 1"
+
+
+@query(f"SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY made DESC, l DESC) AS n FROM ({_SIDE.format(0, 'IN')} UNION ALL {_SIDE.format(1, 'NOT IN')})) WHERE n = 1")
 def t3_merge_sessions(spark, d):
+    """Two lists of a user's last events: clicks and views, and all others."""
     e = table(spark, d, "events")
-    side = lambda kind: e.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("createdAt")).withColumn("v", F.lit(kind))
-    return history.merge_sessions(side("click"), side("view")).select("id", "v")
+    last = F.max_by("event_type", F.struct("ts", "event_id")).alias("v")
+    side = lambda rows: rows.groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("createdAt"), last)
+    seen = F.col("event_type").isin("click", "view")
+    return history.merge_sessions(side(e.where(seen)), side(e.where(~seen))).select("id", "v")
+
+
+@query("SELECT id, v, e FROM (SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS v, max_by(event_id, (ts, event_id)) AS e FROM events GROUP BY 1) WHERE v <> 'purchase'")
+def t4_stream_workspace(spark, d):
+    """The events as writes of a stream that is stopped and started again; a purchase deletes a user's workspace."""
+    source, out, check = (shared.folder(spark) for _ in range(3))
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("deleted"), F.col("event_type").alias("v"))
+    for late in (0, 1):
+        e.where(F.col("seq") % 2 == late).write.mode("append").parquet(source)
+        workspace.stream_writes(spark.readStream.schema(e.schema).parquet(source), out, check).awaitTermination()
+    return workspace.read_writes(spark, out, "v string").select("id", "v", F.col("seq").alias("e"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1")
