@@ -227,6 +227,33 @@ def merge_subqueries(results: DataFrame, k: int = 12, threshold: float = -1.0, k
     return ranked.where(((F.col("final") >= threshold) | (~F.col("_any") & (F.col("rank") <= keep))) & (F.col("rank") <= k)).drop("_any")
 
 
+def context_blocks(ranked: DataFrame, articles: DataFrame, cases: DataFrame, relevant: DataFrame | None = None, n: int = 3) -> DataFrame:
+    """query_id, type, rank, header, content for build_context, from ranked rows (query_id, type, id, rank).
+
+    An id of a question and type counts once, where it is first; rank becomes its place among the statutes or cases. At clause
+    level, with relevant (query_id, article_id, text, rank: vectors.relevant_clauses), a statute's content is its n nearest
+    clauses; one without clauses or content keeps its content. Articles: id, document_title, article_number, title, content;
+    cases: id, citation, court, date, title, pdf_data, summary, pdf_link.
+    """
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    one = ranked.groupBy("query_id", "type", "id").agg(F.min("rank").alias("rank"))
+    one = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "type").orderBy("rank", "id")))
+    law = one.where("type = 'article'").join(articles.select("id", "document_title", "article_number", F.col("title").alias("_t"), F.col("content").alias("_c")), "id")
+    whole = F.concat(F.lit("Content: "), named("_c"))
+    if relevant is not None:
+        best = relevant.where((F.col("rank") <= n) & (F.col("text") != "")).groupBy("query_id", F.col("article_id").alias("id"))
+        lines = best.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("- "), x["text"])).alias("_l"))
+        law = law.join(lines, ["query_id", "id"], "left")
+        whole = F.when(F.col("_l").isNotNull() & (F.coalesce("_c", F.lit("")) != ""), F.concat(F.lit("Relevant Clauses:\n"), F.array_join("_l", "\n"))).otherwise(whole)
+    head = F.concat(F.lit("[Statutory Law "), F.col("rank"), F.lit("]\nDocument: "), named("document_title"), F.lit("\nArticle "), named("article_number"), F.lit(": "), named("_t"))
+    law = law.select("query_id", "type", "rank", head.alias("header"), whole.alias("content"))
+    case = one.where("type = 'case'").join(cases.select("id", "citation", "court", "date", "title", "pdf_data", "summary", "pdf_link"), "id")
+    head = F.concat(F.lit("[Case Law "), F.col("rank"), *[x for c in ("citation", "court", "date", "title") for x in (F.lit(("]" if c == "citation" else "") + f"\n{c.capitalize()}: "), named(c))])
+    body = F.when(usable("pdf_data"), F.concat(F.lit("Judgment Text:\n"), F.substring("pdf_data", 1, 1500))).otherwise(F.concat(F.lit("Summary: "), named("summary")))
+    link = F.when(F.coalesce("pdf_link", F.lit("")) != "", F.concat(F.lit("\nFull Judgment: "), "pdf_link")).otherwise("")
+    return law.union(case.select("query_id", "type", "rank", head.alias("header"), F.concat(body, link).alias("content")))
+
+
 def build_context(ranked: DataFrame, max_words: int | str = 1500) -> DataFrame:
     """query_id, context from rows of query_id, type, rank, header, content, within a budget of words.
 

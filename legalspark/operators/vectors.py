@@ -33,18 +33,68 @@ def hashing_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(df: DataFrame, column: str, encoder: Callable[[list[str]], np.ndarray] = hashing_encoder, out: str = "embedding") -> DataFrame:
-    """df with the vectors of a text column; a null text has none. encoder takes a list of texts and gives a matrix."""
+#: Characters that an encoder gets at once, in texts of like length; models that this worker has loaded, by name.
+TOGETHER = 1 << 16
+_LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def _model(encoder: Callable | None, factory: Callable | None) -> Callable[[list[str]], np.ndarray]:
+    """In a task: the encoder, or what the factory makes, once for each worker and not once for each task."""
+    if factory is None:
+        return encoder
+    name = f"{factory.__module__}.{factory.__qualname__}"
+    if name not in _LOADED:
+        _LOADED[name] = factory()
+    return _LOADED[name]
+
+
+def _encoded(texts: list[str], model: Callable[[list[str]], np.ndarray]) -> list[np.ndarray]:
+    """The vectors of texts, which go to the model in batches of like length, so that a padding model wastes little."""
+    out: list = [None] * len(texts)
+    order, at = sorted(range(len(texts)), key=lambda k: len(texts[k])), 0
+    while at < len(order):
+        to, size = at + 1, len(texts[order[at]])
+        while to < len(order) and (to + 1 - at) * max(1, len(texts[order[to]])) <= TOGETHER:
+            to += 1
+        for k, v in zip(order[at:to], model([texts[k] for k in order[at:to]]), strict=True):
+            out[k] = v
+        at = to
+    return out
+
+
+def embed(df: DataFrame, column: str, encoder: Callable[[list[str]], np.ndarray] = hashing_encoder, out: str = "embedding", factory: Callable[[], Callable] | None = None, known: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """df with the vectors of a text column; a null text has none. encoder takes a list of texts and gives a matrix.
+
+    With a factory the model is made in the worker, once for all its tasks, and never travels. With once, or with known, a table
+    (digest, vector) of texts that have vectors, each different text is encoded once, known ones not at all; digest is
+    the MD5 of the text. new_vectors gives the table for the next time.
+    """
+    if once or known is not None:
+        every = new_vectors(df, column, encoder, factory, known).select("digest", "vector")
+        every = every if known is None else every.unionByName(known.select("digest", "vector"))
+        rows = df.withColumn("_digest", F.md5(F.col(column)))
+        return rows.join(every.select(F.col("digest").alias("_digest"), F.col("vector").alias(out)), "_digest", "left").select(*[F.col(c) for c in df.columns if c != out], out)
 
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        known = texts.dropna()
-        vectors = dict(zip(known.index, encoder(known.tolist()), strict=True)) if len(known) else {}
-        return pd.Series([vectors.get(k) for k in texts.index], index=texts.index, dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from legalspark.operators import vectors  # the module of the worker keeps what is loaded
+
+        model = vectors._model(encoder, factory)
+        for texts in batches:
+            some = texts.dropna()
+            found = dict(zip(some.index, vectors._encoded(some.tolist(), model), strict=True))
+            yield pd.Series([found.get(k) for k in texts.index], index=texts.index, dtype=object)
 
     return df.withColumn(out, run(F.col(column)))
 
 
+def new_vectors(df: DataFrame, column: str, encoder: Callable[[list[str]], np.ndarray] = hashing_encoder, factory: Callable[[], Callable] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """digest, vector of the different texts of a column that known lacks, written once."""
+    texts = df.where(F.col(column).isNotNull()).select(F.md5(F.col(column)).alias("digest"), F.col(column).alias("text"))
+    texts = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
+    return written(embed(texts.dropDuplicates(["digest"]), "text", encoder, "vector", factory).select("digest", "vector"))
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(v, np.float64) for v in vectors])
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
@@ -305,17 +355,18 @@ def _cosine(a: str, b: str):
     return F.try_divide(dot(d(a), d(b)), F.sqrt(dot(d(a), d(a)) * dot(d(b), d(b))))
 
 
-def relevant_clauses(articles: DataFrame, clauses: DataFrame, subclauses: DataFrame, queries: DataFrame, n: int = 3, encoder: Callable = hashing_encoder) -> DataFrame:
+def relevant_clauses(articles: DataFrame, clauses: DataFrame, subclauses: DataFrame, queries: DataFrame, n: int = 3, encoder: Callable = hashing_encoder, digits: int | None = None) -> DataFrame:
     """query_id, article_id, text, similarity, rank of the n clauses (with their sub-clauses' texts) nearest to the question.
 
-    articles has query_id and id: the candidates of each question. One without clauses stands in with its content.
+    articles has query_id and id: the candidates of each question. One without clauses stands in with its content. digits rounds
+    similarities before they are ranked.
     """
     subs = subclauses.groupBy("clause_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sub_clause_number", "text"))), lambda s: s["text"]), " ").alias("more"))
     full = clauses.join(subs, clauses["id"] == subs["clause_id"], "left").select("article_id", F.concat_ws(" ", "text", "more").alias("text"))
     wanted = articles.select("query_id", F.col("id").alias("article_id"), "content")
     met = wanted.join(full, "article_id", "left").select("query_id", "article_id", F.coalesce("text", "content").alias("text"))
     known = embed(met.select("text").distinct(), "text", encoder, "v")
-    scored = met.join(known, "text").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").withColumn("similarity", _cosine("v", "q"))
+    scored = met.join(known, "text").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").withColumn("similarity", _cosine("v", "q") if digits is None else F.round(_cosine("v", "q"), digits))
     w = Window.partitionBy("query_id", "article_id").orderBy(F.desc("similarity"), "text")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "article_id", "text", "similarity", "rank")
 

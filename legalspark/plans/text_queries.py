@@ -270,6 +270,63 @@ def v5_relevant_clauses(spark, d):
     return vectors.relevant_clauses(part.select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("content")), clauses, subs, asked).select("query_id", "article_id", "rank")
 
 
+def vowels(texts):
+    """An encoder that SQL can express: how often each vowel stands in a text, and its length."""
+    import numpy as np
+
+    return np.array([[t.count(c) for c in "aeiou"] + [len(t)] for t in texts], np.float32).reshape(-1, 6)
+
+
+@query("SELECT doc_id, " + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::FLOAT AS {c}" for c in "aeiou") + ", length(text)::FLOAT AS size FROM documents")
+def v1_embed_vowels(spark, d):
+    """Every text's vector; equal texts are encoded once, by a model that a worker loads once."""
+    rows = vectors.embed(table(spark, d, "documents").select("doc_id", "text"), "text", factory=lambda: vowels, once=True)
+    return rows.select("doc_id", *[F.get("embedding", F.lit(k)).alias(c) for k, c in enumerate([*"aeiou", "size"])])
+
+
+def numbers(texts):
+    """An encoder that SQL can express: the direction of (1000, the first number of a text)."""
+    import re
+
+    import numpy as np
+
+    return np.array([[1000.0, float(m[0]) if (m := re.search("[0-9]+", t)) else 0.0] for t in texts], np.float32).reshape(-1, 2)
+
+
+_CLAUSES = """WITH c AS (SELECT DISTINCT l_partkey AS article_id, l_suppkey AS s, 'supplier ' || l_suppkey AS t, l_partkey || ':' || l_suppkey AS k FROM lineitem), u AS (SELECT k, string_agg(x, ' ' ORDER BY x) AS more FROM (SELECT DISTINCT l_partkey || ':' || l_suppkey AS k, l_linestatus AS x FROM lineitem) GROUP BY k),
+f AS (SELECT p_partkey AS article_id, coalesce(s, 0) AS s, coalesce(t || ' ' || more, p_name) AS text FROM part LEFT JOIN c ON article_id = p_partkey LEFT JOIN u USING (k)),
+scored AS (SELECT article_id, text, list_cosine_similarity([1000.0::DOUBLE, s], [1000.0::DOUBLE, article_id % 300]) AS similarity FROM f),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(similarity, 12) DESC, text) AS rank FROM scored) WHERE rank <= 3)"""
+
+
+def _relevant(spark, d, by):
+    """The clauses of each part (its suppliers) nearest to a question with the number of the part."""
+    part, lines = table(spark, d, "part"), table(spark, d, "lineitem")
+    key = F.concat_ws(":", "l_partkey", "l_suppkey")
+    clauses = lines.select(key.alias("id"), F.col("l_partkey").alias("article_id"), F.col("l_suppkey").cast("string").alias("clause_number"), F.concat_ws(" ", F.lit("supplier"), "l_suppkey").alias("text")).distinct()
+    subs = lines.select(key.alias("clause_id"), F.col("l_linestatus").alias("sub_clause_number"), F.col("l_linestatus").alias("text")).distinct()
+    asked = part.select(by.alias("query_id"), F.array(F.lit(1000.0), (F.col("p_partkey") % 300).cast("double")).cast("array<float>").alias("embedding"))
+    return vectors.relevant_clauses(part.select(by.alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("content")), clauses, subs, asked, encoder=numbers, digits=12)
+
+
+@query(_CLAUSES + " SELECT article_id AS query_id, article_id, text, round(similarity, 6) AS similarity, rank FROM best")
+def v5_numbered_clauses(spark, d):
+    return _relevant(spark, d, F.col("p_partkey")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_CLAUSES + """, l AS (SELECT article_id, string_agg('- ' || text, chr(10) ORDER BY rank) AS lines FROM best GROUP BY article_id)
+SELECT p_partkey AS query_id, '[Statutory Law 1]' || chr(10) || 'Document: ' || p_brand || chr(10) || 'Article ' || p_partkey % 150 || ': ' || p_name || chr(10) || 'Relevant Clauses:' || chr(10) || lines || chr(10) || chr(10) ||
+  '[Case Law 1]' || chr(10) || 'Citation: ' || p_partkey || chr(10) || 'Court: ' || p_type || chr(10) || 'Date: N/A' || chr(10) || 'Title: ' || p_name || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'Judgment Text:' || chr(10) || p_brand ELSE 'Summary: ' || p_type END || chr(10) || 'Full Judgment: /' || p_partkey || '.pdf' AS context
+FROM part JOIN l ON article_id = p_partkey""")
+def q11_clause_context(spark, d):
+    """A statute by its nearest clauses and a case, for each part."""
+    part = table(spark, d, "part")
+    kinds = part.select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("id"), F.explode(F.array(F.lit("article"), F.lit("case"))).alias("type"), F.lit(1).alias("rank"))
+    cases = part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("citation"), F.col("p_type").alias("court"), F.lit(None).cast("string").alias("date"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("[ERROR: none]").alias("pdf_data"), F.col("p_type").alias("summary"), F.concat(F.lit("/"), "p_partkey", F.lit(".pdf")).alias("pdf_link"))
+    laws = t.articles(spark, d).withColumn("content", F.col("title"))
+    return retrieval.build_context(retrieval.context_blocks(kinds, laws, cases, _relevant(spark, d, F.col("p_partkey"))))
+
+
 @query("""WITH c AS (SELECT l_orderkey AS query_id, l_partkey AS id, max(l_discount) AS current FROM lineitem GROUP BY 1, 2), s AS (SELECT query_id, id, 0.3::DOUBLE * current + 0.7::DOUBLE * (1 / (1 + exp(-(len(p_name) % 5 - 2.0::DOUBLE)))) AS final FROM c JOIN part ON p_partkey = id)
 SELECT query_id, id, round(final, 8) AS final, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 8) DESC, id) AS rank FROM s WHERE final >= 0.2) WHERE rank <= 5""")
 def q5_rerank(spark, d):
