@@ -277,6 +277,32 @@ def q4_multi_stage(spark, d):
     return out.select("query_id", "id", "type", F.round("combined", 8).alias("combined"), "rank")
 
 
+def _lengths(questions, texts):
+    """A scorer that SQL can express."""
+    return [len(t) % 5 - 2.0 for t in texts]
+
+
+_RELEVANCE = "(1 / (1 + exp(-(least(length(coalesce(text, '')), 1500) % 5 - 2.0::DOUBLE))))"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit("article"), F.lit("case"))).alias("type"), "text")
+
+
+@query(_FUSED + f""", thirty AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, type, id) AS r FROM f2) WHERE r <= 30),
+good AS (SELECT query_id, type, id, combined, 0.5::DOUBLE * combined + 0.5::DOUBLE * {_RELEVANCE} AS final FROM thirty LEFT JOIN documents ON doc_id = id),
+kept AS (SELECT * FROM good WHERE final >= 0.10), anchors AS (SELECT query_id, k AS position, (query_id * 7 + k) % 40 AS id FROM questions, range(2) t(k)),
+every_ AS (SELECT query_id, type, id, combined, final, false AS anchored, 9999 AS position FROM kept UNION ALL SELECT query_id, 'article', id, 1.0, 1.0, true, position FROM anchors ANTI JOIN (SELECT query_id, id FROM kept WHERE type = 'article') USING (query_id, id))
+SELECT query_id, type, id, round(final, 6) AS final, anchored, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, final DESC, type, id) AS rank FROM every_) WHERE rank <= 10""")
+def q4_reranked(spark, d):
+    """All branches of the multi-stage retrieval: a scorer, its threshold, and anchors, some of which are found anyway."""
+    s, k = written(_semantic(spark, d)), written(_keyword(spark, d))
+    questions = t.questions(spark, d)
+    anchors = questions.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("position")).withColumn("id", (F.col("query_id") * 7 + F.col("position")) % 40)
+    out = retrieval.multi_stage(s, k, s, k, t.cites_graph(spark, d), t.case_cites(spark, d), t.cases(spark, d), anchors=anchors, texts=_texts(spark, d), queries=questions, scorer=_lengths)
+    return out.select("query_id", "type", "id", F.round("final", 6).alias("final"), "anchored", "rank")
+
+
 _STATUTES = with_views("questions") + f""", {_BM25}, {_SEMANTIC}, a AS (SELECT * FROM semantic WHERE rank <= 5), b AS (SELECT * FROM keyword WHERE rank <= 5),
 j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, CASE WHEN score IS NOT NULL THEN similarity + 0.5 ELSE similarity END AS similarity, score, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
 statutes AS (SELECT * FROM (SELECT query_id, id, similarity, score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(similarity, 0) DESC, ra NULLS LAST, rb NULLS LAST, id) AS rank FROM j) WHERE rank <= 10)"""
@@ -309,6 +335,39 @@ def q8_grade_and_combine(spark, d):
     return retrieval.grade_and_combine(statutes, retrieval.retrieve_cases(s, k)).select("query_id", "id", "type", F.round("final", 6).alias("final"), "rank")
 
 
+def _strict(questions, texts):
+    """As _lengths, but nothing is relevant to some questions."""
+    return [-30.0 if len(q) % 3 == 0 else len(t) % 5 - 2.0 for q, t in zip(questions, texts, strict=True)]
+
+
+_GRADED = """, {0}_raw AS (SELECT query_id, id, rank, similarity, score, coalesce(similarity, 0) AS current FROM {1}), {0}_final AS (SELECT r.*, 0.3::DOUBLE * current + 0.7::DOUBLE * CASE WHEN length(q.text) % 3 = 0 THEN 1 / (1 + exp(30.0::DOUBLE)) ELSE {2} END AS final FROM {0}_raw r JOIN questions q USING (query_id) LEFT JOIN documents ON doc_id = id),
+{0}_good AS (SELECT query_id, id, final, rank FROM (SELECT query_id, id, final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS rank FROM {0}_final WHERE final >= 0.2) WHERE rank <= 5),
+{0}_left AS (SELECT query_id, id, coalesce(similarity, CASE WHEN score > 0 THEN 1 - exp(-score / 8) ELSE 0.0 END) AS final, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(similarity, score, 0) DESC, id) AS rank FROM {0}_raw ANTI JOIN {0}_good USING (query_id)) WHERE rank <= 5)"""
+
+
+@query(_STATUTES + f", {_CASES}, some_ AS (SELECT * FROM statutes WHERE query_id % 5 <> 0)" + _GRADED.format("a", "some_", _RELEVANCE.replace("text", "documents.text")) + _GRADED.format("c", "found", _RELEVANCE.replace("text", "documents.text")) + """,
+every_ AS (SELECT query_id, id, 'article' AS type, final, rank, false AS fallback FROM a_good UNION ALL SELECT query_id, id, 'article', final, rank, true FROM a_left UNION ALL SELECT query_id, id, 'case', final, rank, false FROM c_good UNION ALL SELECT query_id, id, 'case', final, rank, true FROM c_left
+  UNION ALL SELECT query_id, id, 'article', score / 100, rank, true FROM keyword WHERE query_id % 5 = 0 AND rank <= 5)
+SELECT query_id, id, type, round(final, 6) AS final, row_number() OVER (PARTITION BY query_id ORDER BY type, rank, id) AS rank, fallback FROM every_""")
+def q8_graded(spark, d):
+    """All branches of the grading: sides that the threshold empties, and questions without statutes, which are filled up."""
+    s, k = written(_semantic(spark, d)), written(_keyword(spark, d))
+    statutes = retrieval.retrieve_statutes(s, k, t.questions(spark, d).withColumn("complexity", F.lit("moderate"))).where("query_id % 5 <> 0")
+    more = k.select("query_id", "id", (F.col("score") / 100).alias("combined"), "rank")
+    out = retrieval.grade_and_combine(statutes, retrieval.retrieve_cases(s, k), more, scorer=_strict, queries=t.questions(spark, d), texts=_texts(spark, d))
+    return out.select("query_id", "id", "type", F.round("final", 6).alias("final"), "rank", "fallback")
+
+
+@query("SELECT id, narrative || chr(10) || chr(10) || laws || chr(10) || chr(10) || cases AS context FROM (SELECT p_partkey AS id, p_name AS narrative, string_agg('- ' || l_suppkey || ' ' || l_orderkey || ' ' || l_returnflag, chr(10) ORDER BY r) AS laws, string_agg('- ' || l_orderkey || ' ' || l_linestatus, chr(10) ORDER BY r) FILTER (r <= 4) AS cases "
+       "FROM part JOIN (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem) ON l_partkey = p_partkey WHERE r <= 5 GROUP BY 1, 2)")
+def q14_draft_context(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("rank", F.struct("l_orderkey", "l_linenumber")).withColumn("id", F.col("l_partkey"))
+    laws = lines.select("id", "rank", F.col("l_suppkey").cast("string").alias("document"), F.col("l_orderkey").cast("string").alias("article"), F.col("l_returnflag").alias("title"))
+    cases = lines.select("id", "rank", F.col("l_orderkey").cast("string").alias("citation"), F.col("l_linestatus").alias("title"))
+    narratives = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("narrative")).join(lines.select("id").distinct(), "id", "left_semi")
+    return retrieval.draft_context(narratives, laws, cases)
+
+
 @query(with_views("questions", "cites") + f""", {_BM25}, {_SEMANTIC}, w AS (SELECT * FROM keyword WHERE rank <= 8), hits AS (SELECT query_id, id, min(place) AS place FROM (SELECT query_id, id, (0, rank) AS place FROM w UNION ALL SELECT query_id, id, (1, rank) FROM semantic) GROUP BY 1, 2),
 n1 AS (SELECT query_id, hits.id AS start, place, dst AS id, 1 AS distance FROM hits JOIN cites ON src = hits.id UNION SELECT query_id, hits.id, place, b.dst, 2 FROM hits JOIN cites a ON a.src = hits.id JOIN cites b ON b.src = a.dst),
 n2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, start ORDER BY distance, id) AS r FROM n1) WHERE r <= 15),

@@ -155,6 +155,28 @@ def p4_normalise_case(spark, d):
     return structure.normalise_case(raw, "Sindh High Court").select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("n"), "id", "title", "summary", "winner")
 
 
+_FORMS = """WITH c AS (SELECT o_orderkey AS k, c_name AS name, strftime(o_orderdate, '%d-%m-%Y') AS date, o_orderpriority AS p, o_orderstatus AS s, o_orderkey % 3 AS m FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT 'Lahore High Court' AS court, CASE WHEN m = 0 THEN '' ELSE k || ' LHC' END AS citation, CASE WHEN m = 0 THEN 'LHC_W_P_' || k ELSE k || '_LHC' END AS id, name AS title, 'W.P ' || k AS case_no, date, CASE WHEN m = 1 THEN p ELSE name || '. W.P ' || k END AS summary FROM c
+UNION ALL SELECT 'Islamabad High Court', '', 'IHC_' || CASE WHEN m = 0 THEN left(regexp_replace(name, '[^A-Za-z0-9_\-]', '_', 'g'), 40) ELSE k || '_2020' END, name, CASE WHEN m = 0 THEN '' ELSE k || '/2020' END, date, CASE WHEN m = 1 THEN name ELSE p || ' ' || s END FROM c
+UNION ALL SELECT 'Peshawar High Court', CASE WHEN m = 0 THEN k || ' PHC' WHEN m = 1 THEN 'other ' || k ELSE '' END, 'PHC_' || CASE WHEN m = 0 THEN k || '_PHC' WHEN m = 1 THEN 'other_' || k ELSE '' || k END, name, '', date, CASE WHEN m = 2 THEN left(p || repeat(' r', 400), 500) ELSE name END FROM c
+UNION ALL SELECT p, CASE WHEN m = 0 THEN '' ELSE k || ' C' END, CASE WHEN m = 0 THEN regexp_replace(name, '[^A-Za-z0-9_\-]', '_', 'g') ELSE k || '_C' END, CASE WHEN m = 1 THEN k || ' C' ELSE name END, '', date, s FROM c"""
+
+
+@query(_FORMS)
+def p4_court_forms(spark, d):
+    """The other forms of listings, each with fields that are absent from some records."""
+    c = t.cases(spark, d).withColumn("m", F.col("id") % 3)
+    key, m, none = F.col("id").cast("string"), F.col("m"), F.lit(None).cast("string")
+    lahore = c.select(F.concat(F.lit(" "), "title").alias("case_title"), F.concat(F.lit("W.P "), key).alias("writ_petition"), F.when(m != 0, F.concat(key, F.lit(" LHC"))).alias("lhc_citation"), F.col("date").alias("order_date"), F.when(m == 1, F.col("court")).alias("matter"))
+    islamabad = c.select(F.col("title").alias("case_title"), F.when(m != 0, F.concat(key, F.lit("/2020"))).alias("case_no"), none.alias("s_no"), F.col("date").alias("order_date"), F.when(m != 1, F.col("court")).alias("description"), F.when(m != 1, F.col("status")).otherwise(" ").alias("discussed_laws"))
+    peshawar = c.select(F.col("title").alias("case_title"), F.when(m == 0, F.concat(key, F.lit(" PHC"))).alias("phc_neutral_citation"), F.when(m == 1, F.concat(F.lit("other "), key)).alias("other_citation"), key.alias("s_no"), F.col("date").alias("decision_date"), F.when(m == 2, F.concat("court", F.repeat(F.lit(" r"), 400))).otherwise("").alias("remarks"))
+    combined = c.select(F.when(m != 0, F.concat(key, F.lit(" C"))).alias("citation"), F.when(m != 1, F.col("title")).alias("parties"), "date", "court", F.col("status").alias("excerpt"))
+    parts = [structure.normalise_case(rows, court) for rows, court in ((lahore, "Lahore High Court"), (islamabad, "Islamabad High Court"), (peshawar, "Peshawar High Court"))]
+    parts.append(structure.normalise_combined(combined))
+    columns = ["court", "citation", "id", "title", "case_no", "date", "summary"]
+    return parts[0].select(columns).union(parts[1].select(columns)).union(parts[2].select(columns)).union(parts[3].select(columns))
+
+
 @query("SELECT c_custkey AS n, left(regexp_replace(c_name || ' / ' || c_mktsegment, '[^A-Za-z0-9_\\-]', '_', 'g'), 120) AS id FROM customer")
 def p5_make_id(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("n"), tx.make_id(F.concat(F.lit(" "), "c_name", F.lit(" / "), "c_mktsegment")).alias("id"))
@@ -554,6 +576,17 @@ def q13_analyse_narratives(spark, d):
     return out.select("id", F.size("laws").cast("long").alias("n_laws"), F.size("cases").cast("long").alias("n_cases"), "merit.score")
 
 
+@query(f"""SELECT doc_id AS id, array_to_string(list_transform(range(1, doc_id % 9 + 1), lambda x: 'a' || x), ',') AS laws, array_to_string(list_transform(range(1, doc_id % 7 + 1), lambda x: 'c' || x), ',') AS cases, array_to_string(checks, ',') AS checklist,
+array_to_string([y for x, y in zip_ if x = 'missing'], ';') AS reasons FROM (SELECT doc_id, checks, list_zip(checks, [{", ".join(_quoted("Missing: " + k) for k in values.CHECKLIST)}]) AS zipped FROM (SELECT doc_id, [{_CHECKS}] AS checks FROM (SELECT doc_id, {_NARRATED} AS low FROM documents)))""".replace("array_to_string([y for x, y in zip_ if x = 'missing'], ';')", "array_to_string(list_transform(list_filter(zipped, lambda z: z[1] = 'missing'), lambda z: z[2]), ';')"))
+def q13_narrative_rows(spark, d):
+    """What an analysis says of each narrative: its laws and cases in order, what was found and what is missing."""
+    rows = _narratives(spark, d).withColumns({"ocr_text": F.lit(None).cast("string"), "incident_date": F.lit(None).cast("string")})
+    some = lambda kind, letter, n: rows.select(F.col("id").alias("query_id"), F.lit(kind).alias("type"), F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("rank")).where("rank > 0").withColumn("id", F.concat(F.lit(letter), "rank"))
+    out = retrieval.analyse_narratives(rows, some("article", "a", F.col("id") % 9).union(some("case", "c", F.col("id") % 7)))
+    checks = F.array_join(F.transform("checklist", lambda c: c["status"]), ",").alias("checklist")
+    return out.select("id", F.array_join("laws", ",").alias("laws"), F.array_join("cases", ",").alias("cases"), checks, F.array_join("reasons", ";").alias("reasons"))
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS turns, md5(string_agg(text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def t2_history(spark, d):
     turns = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"), F.timestamp_seconds("turn").alias("ts"), F.lit(0.0).alias("duration"))
