@@ -60,10 +60,11 @@ def list_cases(cases: DataFrame, limit: int = 100, date_order: str = "string") -
 
 
 def citation_sample(cites: DataFrame, articles: DataFrame, n: int = 10) -> DataFrame:
-    """The first n edges with document and number of both ends; edges are cut before they meet the articles."""
+    """The first n edges with document and number of both ends, null where there is no such article; edges are cut before they
+    meet the articles."""
     few = cites.select("src", "dst").orderBy("src", "dst").limit(n)
     side = lambda k: articles.select(F.col("id").alias(k), F.col("document_title").alias(f"{k}_document"), F.col("article_number").alias(f"{k}_number"))
-    return few.join(side("src"), "src").join(side("dst"), "dst").orderBy("src", "dst")
+    return few.join(side("src"), "src", "left").join(side("dst"), "dst", "left").orderBy("src", "dst")
 
 
 def recall_at_k(retrieved: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:

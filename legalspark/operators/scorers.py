@@ -126,8 +126,9 @@ def match_titles_to_files(titles: DataFrame, files: DataFrame) -> DataFrame:
     """title, file for each distinct title (columns title, and source_file if there is one; files has file).
 
     In turn: the source file, the fixed map (titles that contain each other), the most shared words (two at least; ties
-    go to the first name). Of a name its -Cleaned variant comes first. Words are joined as equal keys, so titles and files
-    are never crossed.
+    go to the first name). Of a name its -Cleaned variant comes first. Words are joined as equal keys. The most common word of
+    each title and file is left out of that join, since two names that share two words share another one, too: a word that
+    very many names have pairs none by itself. Shared words are then counted on all words.
     """
     titles = titles.withColumn("source_file", F.col("source_file") if "source_file" in titles.columns else F.lit(None).cast("string")).select("title", "source_file").distinct()
     low = F.lower(F.col("title"))
@@ -138,7 +139,14 @@ def match_titles_to_files(titles: DataFrame, files: DataFrame) -> DataFrame:
     listed = options.join(files.select("file").distinct(), "file")
     left = titles.select("title", F.explode(_tokens(F.col("title"))).alias("token"))
     right = files.select("file", F.explode(_tokens(F.regexp_replace("file", r"\.[^.]*$", ""))).alias("token")).distinct()
-    shared = left.join(right, "token").groupBy("title", "file").agg(F.count("*").alias("n")).where("n >= 2")
+    common = left.select("token").union(right.select("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def rarer(words: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("n"), "token"))
+        return words.join(common, "token").withColumn("k", place).where("k > 1").select(name, "token")
+
+    pairs = rarer(left, "title").join(rarer(right, "file"), "token").select("title", "file").distinct()
+    shared = pairs.join(left, "title").join(right, ["file", "token"]).groupBy("title", "file").agg(F.count("*").alias("n")).where("n >= 2")
     best = shared.withColumn("k", F.row_number().over(Window.partitionBy("title").orderBy(F.desc("n"), "file"))).where("k = 1")
     all_options = listed.select("title", "rank", "file").unionByName(best.select("title", F.lit(9).alias("rank"), "file"))
     chosen = all_options.groupBy("title").agg(F.min_by("file", "rank").alias("file"))

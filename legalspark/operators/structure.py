@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -33,9 +35,9 @@ def explode_clauses(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- listings to cases ---
 
 
-def normalise_case(df: DataFrame, court: str) -> DataFrame:
+def normalise_case(df: DataFrame, court: str, carried: Sequence[str] = ()) -> DataFrame:
     """One record per row of a court's listing; a court without a form of its own takes that of Lahore. Fields that df lacks
-    are empty. case ids are made safe, and an id of underscores only becomes a hash of title and number."""
+    are empty. case ids are made safe, and an id of underscores only becomes a hash of title and number. carried columns come last."""
     have = {f.name: f.dataType for f in df.schema.fields}
     f = lambda *names: first_text(*[n for n in names if n in have]) if any(n in have for n in names) else F.lit("")
     none, no_words = F.lit(None).cast("string"), F.array().cast("array<string>")
@@ -70,7 +72,7 @@ def normalise_case(df: DataFrame, court: str) -> DataFrame:
         case_id.alias("id"), out["citation"].alias("citation"), title.alias("title"), out["case_no"].alias("case_no"), out["date"].alias("date"), out["judge"].alias("judge"), F.lit(court).alias("court"),
         out["pdf_link"].alias("pdf_link"), out["summary"].alias("summary"), f("pdf_data").alias("pdf_data"), out["discussed_laws"].alias("discussed_laws"),
         F.when(F.size(out["keywords"]) > 0, F.to_json(out["keywords"])).alias("cyber_keywords_json"), out["reason"].alias("cyber_law_reason"), out["profile"].alias("cyber_law_filter_profile"),
-        out["triggers"].alias("cyber_law_triggers_json"), F.nullif(f("winner"), F.lit("")).alias("winner"),
+        out["triggers"].alias("cyber_law_triggers_json"), F.nullif(f("winner"), F.lit("")).alias("winner"), *carried,
     )
 
 

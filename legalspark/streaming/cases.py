@@ -17,7 +17,8 @@ from ..values import COURTS
 def stream_cases(spark: SparkSession, source: str, table: str, checkpoint: str, classify: bool = True) -> StreamingQuery:
     """Read the listing files that have come to a folder since the last run, and append their cases to a parquet table.
 
-    The checkpoint remembers files, so each is read once. A batch writes its own cases only, below `table` as v=<batch>; one
+    The checkpoint remembers files, so each is read once. Of the records of an id in a batch the last one, by file name and place
+    in the file, stays, so that a repeated batch writes the same. A batch writes its own cases only, below `table` as v=<batch>; one
     that is repeated after a failure rewrites the same folder. read_stream_table takes the latest row of each id, and
     compact keeps the number of folders small.
     """
@@ -25,17 +26,19 @@ def stream_cases(spark: SparkSession, source: str, table: str, checkpoint: str,
     both = T.StructType([*[T.StructField(k, T.ArrayType(record)) for k in schemas.WRAPPERS], *record.fields])
     files = spark.readStream.schema(both).option("multiLine", True).option("pathGlobFilter", "*.json").json(source).withColumn("path", F.input_file_name())
     array = F.coalesce(*schemas.WRAPPERS, F.array(F.struct(*record.names)))
-    rows = files.select("path", F.explode(array).alias("c")).select("path", "c.*").withColumn("court", court_of_file("path"))
+    rows = files.select("path", F.posexplode(array).alias("place", "c")).select("path", "place", "c.*").withColumn("court", court_of_file("path"))
 
     def save(batch: DataFrame, version: int) -> None:
         kept = classify_listing(batch, F.concat_ws(" ", "case_title", "writ_petition", "case_number", "matter", "remarks", "excerpt")) if classify else batch
+        order = ["path", "place"]
         kept = kept.persist()  # each court reads it, and files are parsed once
-        parts = [normalise_case(kept.where(F.col("court") == c), c) for c in COURTS.values()] + [normalise_case(kept.where(~F.col("court").isin(list(COURTS.values()))), "Unknown Court")]
+        parts = [normalise_case(kept.where(F.col("court") == c), c, order) for c in COURTS.values()] + [normalise_case(kept.where(~F.col("court").isin(list(COURTS.values()))), "Unknown Court", order)]
         new = parts[0]
         for p in parts[1:]:
             new = new.unionByName(p)
         try:
-            new.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{table}/v={version}")
+            last = F.max_by(F.struct(*[c for c in new.columns if c not in ("id", *order)]), F.struct(*order)).alias("r")
+            new.groupBy("id").agg(last).select("id", "r.*").write.mode("overwrite").parquet(f"{table}/v={version}")
         finally:
             kept.unpersist()
 
