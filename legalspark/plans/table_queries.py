@@ -155,7 +155,7 @@ def p4_normalise_case(spark, d):
     return structure.normalise_case(raw, "Sindh High Court").select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("n"), "id", "title", "summary", "winner")
 
 
-_FORMS = """WITH c AS (SELECT o_orderkey AS k, c_name AS name, strftime(o_orderdate, '%d-%m-%Y') AS date, o_orderpriority AS p, o_orderstatus AS s, o_orderkey % 3 AS m FROM orders JOIN customer ON c_custkey = o_custkey)
+_FORMS = r"""WITH c AS (SELECT o_orderkey AS k, c_name AS name, strftime(o_orderdate, '%d-%m-%Y') AS date, o_orderpriority AS p, o_orderstatus AS s, o_orderkey % 3 AS m FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT 'Lahore High Court' AS court, CASE WHEN m = 0 THEN '' ELSE k || ' LHC' END AS citation, CASE WHEN m = 0 THEN 'LHC_W_P_' || k ELSE k || '_LHC' END AS id, name AS title, 'W.P ' || k AS case_no, date, CASE WHEN m = 1 THEN p ELSE name || '. W.P ' || k END AS summary FROM c
 UNION ALL SELECT 'Islamabad High Court', '', 'IHC_' || CASE WHEN m = 0 THEN left(regexp_replace(name, '[^A-Za-z0-9_\-]', '_', 'g'), 40) ELSE k || '_2020' END, name, CASE WHEN m = 0 THEN '' ELSE k || '/2020' END, date, CASE WHEN m = 1 THEN name ELSE p || ' ' || s END FROM c
 UNION ALL SELECT 'Peshawar High Court', CASE WHEN m = 0 THEN k || ' PHC' WHEN m = 1 THEN 'other ' || k ELSE '' END, 'PHC_' || CASE WHEN m = 0 THEN k || '_PHC' WHEN m = 1 THEN 'other_' || k ELSE '' || k END, name, '', date, CASE WHEN m = 2 THEN left(p || repeat(' r', 400), 500) ELSE name END FROM c
