@@ -46,7 +46,7 @@ BLOOM_BITS_PER_KEY = 12
 BLOCK, SHARD = 64 << 10, 256 << 20
 #: Bytes that each of the two generations of kept words may take in a Python worker, and what an entry costs beyond its
 #: characters and ids.
-MEMO, ENTRY_BYTES = 48 << 20, 220
+MEMO, ENTRY_BYTES = 160 << 20, 220
 #: The only normalisation and split of a tokenizer file for which words are taken apart before the library.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLITS = {"type": "Split", "pattern": {"Regex": PLAIN}, "behavior": "Removed", "invert": True}
@@ -304,7 +304,6 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
                 writer.add(key, ids + end)
         if writer:
             finish()
-        encoder.forget()
         tidy()
         if done:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["path", "low", "high", "docs", "ids"]), preserve_index=False)
