@@ -145,6 +145,17 @@ def test_query_citations(spark):
     assert rows(got, "query_id", "position", "number", "fragment") == [(1, 0, "20", "electronic crimes"), (1, 1, "21", "electronic crimes"), (1, 2, "24", "electronic crimes"), (2, 0, "171-g", "penal code"), (3, 0, "9", "penal code")]
 
 
+def test_advanced_links_of_many_provisions(spark):
+    """A case may name more provisions than the reference's 25, and its text may be longer than 10 000 characters."""
+    articles = spark.createDataFrame([(k, str(k)) for k in range(100, 130)], "id int, article_number string")
+    body = " ; ".join(f"under Section {k} " + "x" * 400 for k in range(100, 130))
+    cases = spark.createDataFrame([(1, None, None, body, None)], "id int, title string, case_no string, summary string, discussed_laws string")
+    known = spark.createDataFrame([(1, 101)], "case_id int, article_id int")
+    got = graph.link_cases_advanced(cases, articles, known, most=None, chars=None)
+    assert sorted(r["article_id"] for r in got.collect()) == [100, *range(102, 130)]
+    assert graph.link_cases_advanced(cases, articles, known, chars=None).count() == 24
+
+
 # --- vectors and retrieval ---
 
 
