@@ -145,6 +145,15 @@ def test_query_citations(spark):
     assert rows(got, "query_id", "position", "number", "fragment") == [(1, 0, "20", "electronic crimes"), (1, 1, "21", "electronic crimes"), (1, 2, "24", "electronic crimes"), (2, 0, "171-g", "penal code"), (3, 0, "9", "penal code")]
 
 
+def test_questions_that_share_an_id(spark):
+    """Different texts of one id are questions of their own: each numbers its citations from 0, and an anchor has the least."""
+    asked = [(7, "Are Sections 1 and 2 of the PPC in force?"), (7, "Are Sections 3 and 1 of the PPC in force?"), (7, "Are Sections 3 and 1 of the PPC in force?")]
+    got = graph.extract_query_citations(spark.createDataFrame(asked, "query_id int, text string"))
+    assert rows(got, "position", "number") == [(0, "1"), (0, "3"), (1, "1"), (1, "2")]
+    articles = spark.createDataFrame([(k, "Penal Code", str(k)) for k in (1, 2, 3)], "id int, document_title string, article_number string")
+    assert rows(graph.anchor_articles(got, articles), "query_id", "id", "position") == [(7, 1, 0), (7, 2, 1), (7, 3, 0)]
+
+
 def test_advanced_links_of_many_provisions(spark):
     """A case may name more provisions than the reference's 25, and its text may be longer than 10 000 characters."""
     articles = spark.createDataFrame([(k, str(k)) for k in range(100, 130)], "id int, article_number string")
