@@ -165,6 +165,19 @@ def test_advanced_links_of_many_provisions(spark):
     assert graph.link_cases_advanced(cases, articles, known, chars=None).count() == 24
 
 
+def test_drafts_order_equal_places_alike(spark, tmp_path):
+    """Rows of one order and line: whatever their order in the file, a draft is the same, in its laws and in its cases."""
+    from legalspark.plans import graph_queries
+
+    lines = [(1, 1, 9, "R", "O"), (1, 1, 8, "A", "F"), (1, 1, 7, "N", "O"), (0, 1, 5, "A", "F")]
+    found = []
+    for k, data in enumerate((lines, lines[::-1])):
+        spark.createDataFrame([(4, *r) for r in data], "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        spark.createDataFrame([(4, "part")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/{k}/part.parquet")
+        found.append(graph_queries.q14_draft_context(spark, f"{tmp_path}/{k}").first()["context"])
+    assert found == ["part\n\n- 5 0 A\n- 7 1 N\n- 8 1 A\n- 9 1 R\n\n- 0 F\n- 1 O\n- 1 F\n- 1 O"] * 2
+
+
 # --- vectors and retrieval ---
 
 
