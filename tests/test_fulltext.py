@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -59,3 +60,20 @@ def test_an_index_that_is_made_on_the_way_and_an_empty_corpus(spark):
     docs = spark.createDataFrame([("x", "Bail", "law"), ("y", "other", None)], "id string, title string, summary string")
     assert [(r["id"], r["rank"]) for r in retrieval.keyword_search(asked, docs, ("title", "summary")).collect()] == [("x", 1)]
     assert retrieval.keyword_search(asked, docs.limit(0), ("title",)).count() == 0
+
+
+def test_sums_by_document_shuffle_no_questions(spark, tmp_path, monkeypatch):
+    """Many copies, ids as strings, few sums at once: the ranks are those of the joins, without rows of questions times documents."""
+    rng = random.Random(5)
+    rows = [(f"d{k:04}", f"c{k % 7} c{k % 3} " + ("x y y" if k % 2 else f"w{rng.randint(0, 99)}")) for k in range(900)] + [("e", None), ("", "c1 c2 x")]
+    questions = [(q, f"c{q % 7} x y w{q} C1") for q in range(20)] + [(None, "c1"), (30, "nothing")]
+    index = fulltext.build_index(spark.createDataFrame(rows, "id string, content string").repartition(5), path=str(tmp_path / "index"), bounds=False)
+    asked = spark.createDataFrame(questions, "query_id int, text string")
+    key = lambda df: sorted(((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect()), key=str)
+    monkeypatch.setattr(fulltext, "CELLS", 500)
+    found = fulltext.search(asked, index, 5, digits=6)
+    assert not re.search(r"hashpartitioning\(query_id#\w+, id#", found._jdf.queryExecution().toString())
+    got = key(found)
+    monkeypatch.setattr(fulltext, "ASKED", 0)
+    monkeypatch.setattr(fulltext, "DIRECT", 0)
+    assert got == key(fulltext.search(asked, index, 5, digits=6)) and len(got) > 90
