@@ -100,6 +100,25 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+#: Similarities that a search holds at once in a task.
+HELD = 1 << 20
+
+
+def _best(q: np.ndarray, v: np.ndarray, k: int, allowed: Callable[[slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in v and similarities, to 12 digits, of the k nearest of each row of q, ties by place; q is taken in strips, so
+    memory does not grow with questions times vectors. What allowed says no to has -inf."""
+    step, n = max(1, HELD // max(1, len(v))), min(k, len(v))
+    best, found = np.empty((len(q), n), np.int64), np.empty((len(q), n))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        s = np.round(q[part] @ v.T, 12)
+        if allowed is not None:
+            s[~allowed(part)] = -np.inf
+        best[part] = np.argsort(-s, axis=1, kind="stable")[:, :n]
+        found[part] = np.take_along_axis(s, best[part], 1)
+    return best, found
+
+
 #: Pivots at most, of which each vector belongs to the nearest; they are read from as many rows with the smallest hashes.
 PIVOTS = 256
 #: Angles are compared with this much room for rounding.
@@ -264,10 +283,9 @@ def search_cells(queries: DataFrame, cells: Cells, k: int = 10, query_id: str =
                 for cell, own in pdf.groupby("cell"):
                     qs = np.array(wanted[cell])
                     own = own.sort_values("id")
-                    s = np.round(asked[qs] @ _unit(own["v"]).T, 12)
-                    s[np.abs(near[qs, cell][:, None] - own["angle"].to_numpy()) > limit[qs][:, None] + ROOM] = -np.inf
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    out = pd.DataFrame({"query_id": np.repeat(names[qs], best.shape[1]), "id": own["id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(s, best, 1).ravel()})
+                    angle = own["angle"].to_numpy()
+                    best, s = _best(asked[qs], _unit(own["v"]), k, lambda p, qs=qs, angle=angle: np.abs(near[qs[p], cell][:, None] - angle) <= limit[qs[p]][:, None] + ROOM)  # noqa: B023
+                    out = pd.DataFrame({"query_id": np.repeat(names[qs], best.shape[1]), "id": own["id"].to_numpy()[best.ravel()], "similarity": s.ravel()})
                     yield out[out["similarity"] > -np.inf]
 
         return cells.table(spark).where(F.col("cell").isin(sorted(wanted))).mapInPandas(run, schema)
@@ -327,9 +345,8 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id:
                 if not len(pdf):
                     continue
                 pdf = pdf.sort_values(corpus_id)
-                s = np.round(q @ _unit(pdf[vector]).T, 12)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(np.array(names), best.shape[1]), "id": pdf[corpus_id].to_numpy()[best.ravel()], "similarity": np.take_along_axis(s, best, 1).ravel()})
+                best, s = _best(q, _unit(pdf[vector]), k)
+                yield pd.DataFrame({"query_id": np.repeat(np.array(names), best.shape[1]), "id": pdf[corpus_id].to_numpy()[best.ravel()], "similarity": s.ravel()})
 
         return rows.mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
 

@@ -1,6 +1,7 @@
 """Cells of vectors: exact results, and cells that are not met."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -58,3 +59,17 @@ def test_search_of_cells(spark, tmp_path):
     counts = {r["query_id"]: r["cells"] for r in read.collect()}
     assert sum(counts[k] for k, *_ in asked[:9]) < 0.5 * 9 * len(cells.sizes), (counts, len(cells.sizes))
     assert vectors.search_cells(queries, vectors.build_cells(spark.createDataFrame([], "id long, embedding array<double>")), 5).count() == 0
+
+
+def test_a_search_holds_strips(spark):
+    """The nearest of many questions among many vectors, without the whole matrix of similarities, and as from the whole one."""
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(-9, 9, (1500, 8)).astype(float), np.repeat(rng.integers(-9, 9, (2000, 8)).astype(float), 4, axis=0)
+    tracemalloc.start()
+    best, found = vectors._best(q, v, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = np.round(q @ v.T, 12)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :6]
+    assert peak < s.nbytes / 2 and (best == want).all() and (found == np.take_along_axis(s, want, 1)).all()
+    assert [x.shape for x in vectors._best(q[:2], v[:3], 6)] == [(2, 3), (2, 3)]
