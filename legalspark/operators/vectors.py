@@ -180,7 +180,8 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = Non
 
     A scope (all rows, or those with the same value of a column such as a document; a null one equals none) of at most BLOCK
     vectors is one matrix product. In larger ones each vector belongs to the cell of its nearest pivot, and visits only the later
-    cells in which the triangle inequality of angles allows a partner. The members of a cell and its visitors are dealt to
+    cells in which the triangle inequality of angles allows a partner; a scope in which that would copy more vectors than blocks
+    alone is dealt to blocks. The members of a cell and its visitors are dealt to
     blocks of about BLOCK vectors by the hash of their id, and each block of members meets the others in one task as a matrix product, in
     strips; only pairs above the threshold leave it. blocks deals each scope to so many blocks, without cells. scale="unit"
     gives (1 + cosine) / 2.
@@ -199,7 +200,12 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = Non
     if large:
         crowd = rows.join(sizes.where(F.col("n") > BLOCK).select("scope"), "scope", "left_semi")
         pivots = _pivots(crowd, large)
-        met = written(_visits(written(_nearest(crowd, pivots)), pivots, threshold)).select("id", "v", "scope", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
+        visited = written(_visits(written(_nearest(crowd, pivots)), pivots, threshold))
+        # where cells leave out little, a vector would be copied to nearly all of them: such a scope is dealt to blocks alone
+        some = visited.groupBy("scope").agg(F.sum(F.size("visits")).alias("copies"), F.ceil(F.count("*") / BLOCK).cast("int").alias("members"))
+        plain = written(some.withColumn("plain", F.col("copies") > F.col("members") * (F.col("members") + 1) / 2 * BLOCK).select("scope", "members", "plain"))
+        own = own.unionByName(crowd.join(plain.where("plain").drop("plain"), "scope").withColumns({"cell": one, "home": one, "visitors": one}))
+        met = visited.join(plain.where("not plain").select("scope"), "scope", "left_semi").select("id", "v", "scope", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
         part = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
         counts = met.groupBy("scope", "cell").agg(part(F.col("home") == F.col("cell")).alias("members"), part(F.col("home") != F.col("cell")).alias("visitors"))
         own = own.unionByName(met.join(counts, ["scope", "cell"]))
@@ -211,21 +217,29 @@ def similar_pairs(df: DataFrame, threshold: float = 0.7, scope: str | None = Non
     dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).select("scope", "cell", "i", "j", "b", "id", "v")
     kind = df.schema[id_col].dataType.simpleString()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id1": pdf["id"][:0], "id2": pdf["id"][:0], "similarity": pd.Series([], dtype=float)})
-        l, r, found = _unit(left["v"]), _unit(right["v"]).T, []  # noqa: E741
-        for at in range(0, len(l), STRIP):
-            s = l[at : at + STRIP] @ r
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of the rows only unit vectors and ids stay, and pairs leave strip by strip, so memory does not grow with the pairs."""
+        ids, units = {True: [], False: []}, {True: [], False: []}
+        for pdf in batches:
+            if len(pdf):
+                i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+                for first in (True, False):
+                    some = pdf[pdf["b"] == (i if first else j)]
+                    if len(some):
+                        ids[first].append(some["id"].to_numpy())
+                        units[first].append(_unit(some["v"]))
+        if not units[True] or not units[False]:
+            return
+        (names, l), (others, r) = ((np.concatenate(ids[k]), np.concatenate(units[k])) for k in (True, False))  # noqa: E741
+        step = max(1, min(STRIP, HELD // len(r)))
+        for at in range(0, len(l), step):
+            s = l[at : at + step] @ r.T
             a, b = np.nonzero(s >= threshold)
-            found.append((a + at, b, s[a, b]))
-        a, b, s = (np.concatenate(part) for part in zip(*found, strict=True))
-        x, y = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
-        good = x < y if i == j else x != y
-        x, y, s = x[good], y[good], s[good]
-        return pd.DataFrame({"id1": np.minimum(x, y), "id2": np.maximum(x, y), "similarity": s}) if x.dtype != object else pd.DataFrame({"id1": [min(p) for p in zip(x, y, strict=True)], "id2": [max(p) for p in zip(x, y, strict=True)], "similarity": s})
+            x, y, s = names[a + at], others[b], s[a, b]
+            good = x < y if i == j else x != y
+            x, y, s = x[good], y[good], s[good]
+            if len(x):
+                yield pd.DataFrame({"id1": np.minimum(x, y), "id2": np.maximum(x, y), "similarity": s}) if x.dtype != object else pd.DataFrame({"id1": [min(p) for p in zip(x, y, strict=True)], "id2": [max(p) for p in zip(x, y, strict=True)], "similarity": s})
 
     out = dealt.groupBy("scope", "cell", "i", "j").applyInPandas(meet, f"id1 {kind}, id2 {kind}, similarity double")
     return out.withColumn("similarity", (1 + F.col("similarity")) / 2) if scale == "unit" else out
