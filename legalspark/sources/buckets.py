@@ -108,15 +108,15 @@ def _replace(spark: SparkSession, v: Version, touched: list[int], rows: DataFram
 def merge(spark: SparkSession, path: str, new: DataFrame, order: str | None = None) -> Version:
     """Rows with known keys take the values of new, others are added (tables.upsert); only the buckets of new are read and
     written. The column `by` must be one of the keys, or not change."""
-    from .shared import written
-    from .tables import upsert
+    from .shared import dealt, written
+    from .tables import upserted
 
     v = current(spark, path)
     new = written(new)
     touched = _touched(new, v)
-    names = read(spark, v, []).columns
-    merged = upsert(read(spark, v, touched), new, v.keys, order).select(*names)
-    return _replace(spark, v, touched, merged)
+    names, old = read(spark, v, []).columns, read(spark, v, touched)
+    with dealt(spark, old.count() + new.count()):
+        return _replace(spark, v, touched, upserted(old, new, v.keys, order).select(*names))
 
 
 def delete(spark: SparkSession, path: str, gone: DataFrame, column: str) -> Version:

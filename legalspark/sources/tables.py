@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import court_of_file, text
 from . import schemas
+from .shared import dealt, written
 
 
 def read_statutes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -59,7 +60,14 @@ def with_court(df: DataFrame, path: str = "path") -> DataFrame:
 
 def upsert(existing: DataFrame, new: DataFrame, keys: str | Sequence[str], order: str | None = None) -> DataFrame:
     """existing with the rows of new: equal keys take the new row, others are added. Of new rows with equal keys the last
-    in order stays (any one, if there is no order). One shuffle of each side, on the keys."""
+    in order stays (any one, if there is no order). One shuffle of each side, on the keys. Runs at once, in partitions by the rows
+    of both sides."""
+    with dealt(existing.sparkSession, existing.count() + new.count()):
+        return written(upserted(existing, new, keys, order))
+
+
+def upserted(existing: DataFrame, new: DataFrame, keys: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """upsert as a plan, for callers that write it themselves."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     if order:
         rest = [c for c in new.columns if c not in keys]
