@@ -19,23 +19,32 @@ from .testdata import table, with_views
 
 
 def _one_per_file(df, path: str) -> str:
-    """A JSON document in each file, as statutes and listings come."""
-    df.write.option("maxRecordsPerFile", 1).json(path)
+    """A JSON document in each file, as statutes and listings come. There are many small files, so tasks move their own into place
+    (version 2); in version 1 the driver moves each."""
+    df.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).json(path)
     return path
 
 
+def _collected(df, keys: dict, record, name: str):
+    """The records of each key as an array. Partitions are a fixed number at least: what a file costs is not its bytes, by which
+    adaptive execution would leave all files to a few tasks."""
+    rows = df.select(*[c.alias(k) for k, c in keys.items()], record.alias("_record"))
+    dealt = rows.repartition(shared.partitions(df.sparkSession, df.count()), *keys)
+    return dealt.groupBy(*keys).agg(F.collect_list("_record").alias(name))
+
+
 def _listings(spark: SparkSession, d: str) -> str:
     """The cases as listing files of up to 500 records."""
     c = t.cases(spark, d)
     record = F.struct(F.col("citation").alias("lhc_citation"), F.concat(F.lit(" "), "title", F.lit(" on cyber crime")).alias("case_title"), F.col("date").alias("date_of_judgment"), F.col("court"), F.col("status").alias("winner"))
-    return _one_per_file(c.groupBy(F.floor(F.col("id") / 500).alias("file")).agg(F.collect_list(record).alias("judgments")).drop("file"), shared.folder(spark))
+    return _one_per_file(_collected(c, {"file": F.floor(F.col("id") / 500)}, record, "judgments").drop("file"), shared.folder(spark))
 
 
 @query("SELECT p_brand || ':Article:' || p_partkey AS id, p_brand AS document_title, CAST(p_partkey AS VARCHAR) AS article_number, p_name AS title, p_size AS page_number FROM part")
 def s1_read_statutes(spark, d):
     """The parts of a brand as the sections of statute files, of up to 500 part keys each."""
     section = F.struct(F.col("p_partkey").cast("string").alias("section_number"), F.col("p_name").alias("title"), F.col("p_size").alias("page_number"))
-    documents = table(spark, d, "part").groupBy(F.col("p_brand").alias("title"), F.floor(F.col("p_partkey") / 500)).agg(F.collect_list(section).alias("sections")).select(F.struct("title", "sections").alias("document"))
+    documents = _collected(table(spark, d, "part"), {"title": F.col("p_brand"), "n": F.floor(F.col("p_partkey") / 500)}, section, "sections").select(F.struct("title", "sections").alias("document"))
     got = structure.normalise_articles(tables.read_statutes(spark, _one_per_file(documents, shared.folder(spark))))
     return got.select("id", "document_title", "article_number", "title", "page_number")
 
@@ -54,7 +63,7 @@ def s3_read_cases(spark, d):
 def s2_read_manifest(spark, d):
     """The statutes of a manifest, of up to 500 part keys each; it also names a file that is not there."""
     article = F.struct(F.col("p_partkey").cast("string").alias("article_number"), F.col("p_name").alias("title"))
-    docs = table(spark, d, "part").groupBy(F.col("p_brand").alias("title"), F.floor(F.col("p_partkey") / 500).alias("n")).agg(F.collect_list(article).alias("articles"))
+    docs = _collected(table(spark, d, "part"), {"title": F.col("p_brand"), "n": F.floor(F.col("p_partkey") / 500)}, article, "articles")
     path, listed = _one_per_file(docs.select(F.struct("title", "articles").alias("document")), shared.folder(spark)), shared.folder(spark)
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).agg(F.sort_array(F.collect_list("path")).alias("statutes"))
     names.select(F.to_json(F.struct("statutes", F.lit(f"{path}/none.json").alias("appendix")))).write.text(listed)

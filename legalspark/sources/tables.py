@@ -15,7 +15,11 @@ from .shared import dealt, written
 
 def read_statutes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per readable file: path, title, year, source_file, articles (the file's articles or sections)."""
-    return _statutes(spark, paths).where("document is not null").select("path", "document.title", "document.year", "document.source_file", F.coalesce("document.articles", "document.sections").alias("articles"))
+    return _readable(_statutes(spark, paths))
+
+
+def _readable(rows: DataFrame) -> DataFrame:
+    return rows.where("document is not null").select("path", "document.title", "document.year", "document.source_file", F.coalesce("document.articles", "document.sections").alias("articles"))
 
 
 def _statutes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -31,16 +35,38 @@ def read_manifest(spark: SparkSession, manifest: str) -> tuple[DataFrame, DataFr
     named = F.map_values(F.from_json("value", "map<string,string>"))  # lists among the values stay JSON and are read in turn
     every = F.flatten(F.transform(named, lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))))
     found = lines.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(every)).alias("p")).where("p is not null and p <> ''").distinct()
-    paths = sorted(r["p"] for r in found.collect())  # names of files, few by nature
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [p for p in paths if hadoop(p).getFileSystem(conf).exists(hadoop(p))]
+    paths = sorted(r["p"] for r in found.collect())  # names of files, which Spark's list of the files to read holds as well
+    there = _existing(spark, paths)
     missing = spark.createDataFrame([(p, "not found") for p in paths if p not in there], "path string, reason string")
     if not there:
         return read_statutes(spark, manifest).limit(0), missing
-    rows = _statutes(spark, there)
-    bad = rows.where("document is null").select("path", F.lit("not a statute").alias("reason"))
-    return read_statutes(spark, there), bad.union(missing)
+    rows = written(_statutes(spark, [p for p in paths if p in there]))  # the files are listed and read once, for good and bad
+    return _readable(rows), rows.where("document is null").select("path", F.lit("not a statute").alias("reason")).union(missing)
+
+
+#: Files of a folder that are asked for one by one; with more, Spark lists the folder.
+ASKED = 1_000
+
+
+def _existing(spark: SparkSession, paths: Sequence[str]) -> set[str]:
+    """Those of the paths that exist. To ask the file system for each takes the driver a millisecond or more; of many in a folder
+    only those that its list of files lacks are asked for (there are folders, and names that are not written plainly)."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    exists = lambda p: path(p).getFileSystem(conf).exists(path(p))
+    folders: dict[str, list[str]] = {}
+    for p in paths:
+        folders.setdefault(p.rpartition("/")[0], []).append(p)
+    there: set[str] = set()
+    for at, inside in folders.items():
+        names: set[str] = set()
+        if at and len(inside) > ASKED:
+            if not exists(at):
+                continue
+            own = path(at).getFileSystem(conf).makeQualified(path(at)).toString() + "/"
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path").where(F.col("path").startswith(own))
+            names = {r["path"][len(own) :] for r in files.collect()}
+        there.update(p for p in inside if p.rpartition("/")[2] in names or exists(p))
+    return there
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
