@@ -8,18 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values
-from ..functions.text import any_of, col, collapsed, text, whole_word
+from ..functions.text import any_of, col, collapsed, once, text, whole_word
 
 _TRIGGERS = "array<struct<kind:string,matched:string>>"
 
 
 def topic_triggers(blob: Column | str, phrases: Sequence[str] = values.TOPIC_PHRASES, tokens: Sequence[str] = values.TOPIC_TOKENS) -> Column:
-    """Matches as (kind, matched), phrases in their order and then whole-word tokens. blob must be normalised already,
-    as a column of its own, so that it is lowered once."""
-    blob = col(blob)
+    """Matches as (kind, matched), phrases in their order and then whole-word tokens. blob must be normalised already;
+    it is computed once, also where Spark moves the triggers into a filter and what they are made of with them."""
     hit = lambda kind, x: F.struct(F.lit(kind).alias("kind"), F.lit(x).alias("matched"))
-    found = [F.when(blob.contains(p), hit("phrase", p)) for p in phrases] + [F.when(whole_word(blob, t), hit("word_token", t)) for t in tokens]
-    return F.array_compact(F.array(*found)) if found else F.array().cast(_TRIGGERS)
+    found = lambda b: [F.when(b.contains(p), hit("phrase", p)) for p in phrases] + [F.when(whole_word(b, t), hit("word_token", t)) for t in tokens]
+    return once(col(blob), lambda b: F.array_compact(F.array(*found(b)))) if phrases or tokens else F.array().cast(_TRIGGERS)
 
 
 def trigger_reason(triggers: Column | str, profile: str = values.FILTER_PROFILE) -> Column:

@@ -38,6 +38,20 @@ def explode_clauses(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
 def normalise_case(df: DataFrame, court: str, carried: Sequence[str] = ()) -> DataFrame:
     """One record per row of a court's listing; a court without a form of its own takes that of Lahore. Fields that df lacks
     are empty. case ids are made safe, and an id of underscores only becomes a hash of title and number. carried columns come last."""
+    return df.select(*[c.alias(k) for k, c in _case_columns(df, court).items()], *carried)
+
+
+def normalise_cases(df: DataFrame, courts: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """normalise_case for a table of several courts, each row by its column court (one that is not among courts is an Unknown
+    Court's), in one pass over the rows."""
+    out = _case_columns(df, "Unknown Court")
+    for court in courts:
+        own = _case_columns(df, court)
+        out = {k: F.when(F.col("court") == court, own[k]).otherwise(c) for k, c in out.items()}
+    return df.select(*[c.alias(k) for k, c in out.items()], *carried)
+
+
+def _case_columns(df: DataFrame, court: str) -> dict[str, Column]:
     have = {f.name: f.dataType for f in df.schema.fields}
     f = lambda *names: first_text(*[n for n in names if n in have]) if any(n in have for n in names) else F.lit("")
     none, no_words = F.lit(None).cast("string"), F.array().cast("array<string>")
@@ -68,12 +82,12 @@ def normalise_case(df: DataFrame, court: str, carried: Sequence[str] = ()) -> Da
             out["reason"] = F.col("cyber_law_reason")
     safe = make_id(out["raw"])
     case_id = F.when(F.regexp_replace(safe, "_", "") == "", F.concat(F.lit("case_"), F.abs(F.xxhash64(title, out["case_no"]) % F.lit(10**10)))).otherwise(safe)
-    return df.select(
-        case_id.alias("id"), out["citation"].alias("citation"), title.alias("title"), out["case_no"].alias("case_no"), out["date"].alias("date"), out["judge"].alias("judge"), F.lit(court).alias("court"),
-        out["pdf_link"].alias("pdf_link"), out["summary"].alias("summary"), f("pdf_data").alias("pdf_data"), out["discussed_laws"].alias("discussed_laws"),
-        F.when(F.size(out["keywords"]) > 0, F.to_json(out["keywords"])).alias("cyber_keywords_json"), out["reason"].alias("cyber_law_reason"), out["profile"].alias("cyber_law_filter_profile"),
-        out["triggers"].alias("cyber_law_triggers_json"), F.nullif(f("winner"), F.lit("")).alias("winner"), *carried,
-    )
+    return {
+        "id": case_id, "citation": out["citation"], "title": title, "case_no": out["case_no"], "date": out["date"], "judge": out["judge"], "court": F.lit(court),
+        "pdf_link": out["pdf_link"], "summary": out["summary"], "pdf_data": f("pdf_data"), "discussed_laws": out["discussed_laws"],
+        "cyber_keywords_json": F.when(F.size(out["keywords"]) > 0, F.to_json(out["keywords"])), "cyber_law_reason": out["reason"], "cyber_law_filter_profile": out["profile"],
+        "cyber_law_triggers_json": out["triggers"], "winner": F.nullif(f("winner"), F.lit("")),
+    }
 
 
 def normalise_combined(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import court_of_file
 from ..operators.filters import classify_listing
-from ..operators.structure import normalise_case
+from ..operators.structure import normalise_cases
 from ..sources import schemas
 from ..values import COURTS
 
@@ -31,16 +31,9 @@ def stream_cases(spark: SparkSession, source: str, table: str, checkpoint: str,
     def save(batch: DataFrame, version: int) -> None:
         kept = classify_listing(batch, F.concat_ws(" ", "case_title", "writ_petition", "case_number", "matter", "remarks", "excerpt")) if classify else batch
         order = ["path", "place"]
-        kept = kept.persist()  # each court reads it, and files are parsed once
-        parts = [normalise_case(kept.where(F.col("court") == c), c, order) for c in COURTS.values()] + [normalise_case(kept.where(~F.col("court").isin(list(COURTS.values()))), "Unknown Court", order)]
-        new = parts[0]
-        for p in parts[1:]:
-            new = new.unionByName(p)
-        try:
-            last = F.max_by(F.struct(*[c for c in new.columns if c not in ("id", *order)]), F.struct(*order)).alias("r")
-            new.groupBy("id").agg(last).select("id", "r.*").write.mode("overwrite").parquet(f"{table}/v={version}")
-        finally:
-            kept.unpersist()
+        new = normalise_cases(kept, list(COURTS.values()), order)
+        last = F.max_by(F.struct(*[c for c in new.columns if c not in ("id", *order)]), F.struct(*order)).alias("r")
+        new.groupBy("id").agg(last).select("id", "r.*").write.mode("overwrite").parquet(f"{table}/v={version}")
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from legalspark import values
 from legalspark.functions import text as tx
-from legalspark.operators import graph
+from legalspark.operators import filters, graph, structure
 from legalspark.sources import shared
 
 
@@ -29,3 +30,20 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     sized = spark.createDataFrame([(k, 0) for k in range(20)], "src long, dst long").withColumn("_n", F.lit(20))
     got = graph._paired(sized, False)
     assert got.rdd.getNumPartitions() == 19 and got.count() == 190
+
+
+def test_triggers_compute_their_text_once(spark):
+    df = spark.createDataFrame([("A  Cyber\nCrime of the FIA",), ("fiat",), (None,)], "t string")
+    got = filters.classify_listing(df, "t")
+    assert [[tuple(x) for x in r["triggers"]] for r in got.collect()] == [[("phrase", "cyber crime"), ("word_token", "fia")]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 4
+
+
+def test_cases_of_all_courts_in_one_pass(spark):
+    fields = "court string, case_title string, parties string, case_no string, lhc_citation string, phc_neutral_citation string, record_id string, remarks string, winner string, s_no string"
+    names = [*values.COURTS.values(), "Unknown Court", "Other"]
+    mixed = spark.createDataFrame([(n, f"t{k} ", f"p{k}", f"n{k}" if k % 2 else "__", f"c{k}" if k % 3 else None, f"phc {k}", f"r{k}", f"m{k}", " " if k else "x", "7") for k, n in enumerate(names * 3)], fields)
+    got = structure.normalise_cases(mixed, list(values.COURTS.values()), ["s_no"])
+    parts = [structure.normalise_case(mixed.where(F.col("court") == c), c, ["s_no"]) for c in values.COURTS.values()]
+    parts.append(structure.normalise_case(mixed.where(~F.col("court").isin(list(values.COURTS.values()))), "Unknown Court", ["s_no"]))
+    assert got.columns == parts[0].columns and sorted(map(repr, got.collect())) == sorted(repr(r) for p in parts for r in p.collect())
