@@ -379,25 +379,26 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id:
     return out.withColumn("similarity", (1 + F.col("similarity")) / 2) if scale == "unit" else out
 
 
-def _cosine(a: str, b: str):
-    """Cosine of two array columns, in double, with built-in functions; null for a zero vector."""
-    d = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(d(a), d(b)), F.sqrt(dot(d(a), d(a)) * dot(d(b), d(b))))
+def _dot(a: str, b: str):
+    """Scalar product of two array columns, in double, with built-in functions."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def relevant_clauses(articles: DataFrame, clauses: DataFrame, subclauses: DataFrame, queries: DataFrame, n: int = 3, encoder: Callable = hashing_encoder, digits: int | None = None) -> DataFrame:
     """query_id, article_id, text, similarity, rank of the n clauses (with their sub-clauses' texts) nearest to the question.
 
     articles has query_id and id: the candidates of each question. One without clauses stands in with its content. digits rounds
-    similarities before they are ranked.
+    similarities before they are ranked. Squares are summed once for each text and question; what remains for a pair is one product.
+    Neither candidates nor vectors are broadcast, however small Spark takes their files to be. Writes the candidates once, since they are read twice.
     """
     subs = subclauses.groupBy("clause_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sub_clause_number", "text"))), lambda s: s["text"]), " ").alias("more"))
     full = clauses.join(subs, clauses["id"] == subs["clause_id"], "left").select("article_id", F.concat_ws(" ", "text", "more").alias("text"))
     wanted = articles.select("query_id", F.col("id").alias("article_id"), "content")
-    met = wanted.join(full, "article_id", "left").select("query_id", "article_id", F.coalesce("text", "content").alias("text"))
-    known = embed(met.select("text").distinct(), "text", encoder, "v")
-    scored = met.join(known, "text").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").withColumn("similarity", _cosine("v", "q") if digits is None else F.round(_cosine("v", "q"), digits))
+    met = written(wanted.join(full, "article_id", "left").select("query_id", "article_id", F.coalesce("text", "content").alias("text")))
+    known = embed(met.select("text").distinct(), "text", encoder, "v").withColumn("vv", _dot("v", "v"))
+    asked = queries.select("query_id", F.col("embedding").alias("q")).withColumn("qq", _dot("q", "q"))
+    cosine = F.try_divide(_dot("v", "q"), F.sqrt(F.col("vv") * F.col("qq")))  # null for a zero vector
+    scored = met.join(known.hint("merge"), "text").join(asked.hint("merge"), "query_id").withColumn("similarity", cosine if digits is None else F.round(cosine, digits))
     w = Window.partitionBy("query_id", "article_id").orderBy(F.desc("similarity"), "text")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "article_id", "text", "similarity", "rank")
 

@@ -275,7 +275,8 @@ def v5_relevant_clauses(spark, d):
     part, lines = table(spark, d, "part"), table(spark, d, "lineitem")
     clauses = lines.select(F.concat_ws(":", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("article_id"), F.col("l_suppkey").cast("string").alias("clause_number"), F.concat_ws(" ", F.lit("supplier"), "l_suppkey", "l_returnflag").alias("text")).dropDuplicates(["id"])
     subs = lines.select(F.concat_ws(":", "l_partkey", "l_suppkey").alias("clause_id"), F.col("l_linestatus").alias("sub_clause_number"), F.col("l_linestatus").alias("text")).distinct()
-    asked = vectors.embed(part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.lit("supplier"), "p_partkey").alias("q")), "q")
+    questions = part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.lit("supplier"), "p_partkey").alias("q"))
+    asked = vectors.embed(questions.repartition(shared.partitions(spark, part.count()), "query_id"), "q")  # a file is few tasks
     return vectors.relevant_clauses(part.select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("content")), clauses, subs, asked).select("query_id", "article_id", "rank")
 
 

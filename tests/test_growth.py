@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from legalspark import values
 from legalspark.functions import text as tx
-from legalspark.operators import filters, graph, structure
+from legalspark.operators import filters, graph, structure, vectors
 from legalspark.sources import shared
 
 
@@ -47,3 +47,17 @@ def test_cases_of_all_courts_in_one_pass(spark):
     parts = [structure.normalise_case(mixed.where(F.col("court") == c), c, ["s_no"]) for c in values.COURTS.values()]
     parts.append(structure.normalise_case(mixed.where(~F.col("court").isin(list(values.COURTS.values()))), "Unknown Court", ["s_no"]))
     assert got.columns == parts[0].columns and sorted(map(repr, got.collect())) == sorted(repr(r) for p in parts for r in p.collect())
+
+
+def test_clauses_are_ranked_without_broadcasts(spark):
+    wanted = spark.createDataFrame([(1, 5, "content"), (2, 6, "b b"), (3, 7, "")], "query_id long, id long, content string")
+    clauses = spark.createDataFrame([(f"5:{k}", 5, str(k), f"a{k} b") for k in range(5)], "id string, article_id long, clause_number string, text string")
+    subs = spark.createDataFrame([("5:1", "2", "b"), ("5:1", "1", "c")], "clause_id string, sub_clause_number string, text string")
+    asked = vectors.embed(spark.createDataFrame([(k, q) for k, q in enumerate(("", "a3 b", "b", "x"))], "query_id long, q string"), "q")
+    got = vectors.relevant_clauses(wanted, clauses, subs, asked)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    texts = {t: vectors.hashing_encoder([t])[0] for t in ["a0 b", "a1 b c b", "a2 b", "a3 b", "a4 b", "b b", ""]}
+    found = {(r["query_id"], r["rank"]): (r["text"], r["similarity"]) for r in got.collect()}
+    assert len(found) == 5 and found[1, 1][0] == "a3 b" and found[3, 1] == ("", None)
+    q = dict(enumerate(vectors.hashing_encoder(["", "a3 b", "b", "x"])))
+    assert all(abs(s - float(texts[t] @ q[k])) < 1e-6 for (k, _), (t, s) in found.items() if s is not None)
