@@ -49,6 +49,16 @@ def test_cases_of_all_courts_in_one_pass(spark):
     assert got.columns == parts[0].columns and sorted(map(repr, got.collect())) == sorted(repr(r) for p in parts for r in p.collect())
 
 
+def test_each_text_is_searched_once(spark):
+    t = "See Section 12A read with article 7 and clause (b), Order XIV. "
+    df = spark.createDataFrame([(k, f"d{k % 2}", [t, t * 30, None, "none", "  section 3"][k % 5]) for k in range(20)], "id long, document_title string, content string")
+    plain, once = graph.extract_references(df), graph.extract_references(df, once=True)
+    assert once.columns == plain.columns and once.count() == 4 * (4 + 120 + 1)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, plain.collect()))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_text" in plan[plan.index("Generate explode") :]
+
+
 def test_clauses_are_ranked_without_broadcasts(spark):
     wanted = spark.createDataFrame([(1, 5, "content"), (2, 6, "b b"), (3, 7, "")], "query_id long, id long, content string")
     clauses = spark.createDataFrame([(f"5:{k}", 5, str(k), f"a{k} b") for k in range(5)], "id string, article_id long, clause_number string, text string")
