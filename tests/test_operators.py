@@ -154,6 +154,35 @@ def test_questions_that_share_an_id(spark):
     assert rows(graph.anchor_articles(got, articles), "query_id", "id", "position") == [(7, 1, 0), (7, 2, 1), (7, 3, 0)]
 
 
+def test_anchors_of_articles_that_share_number_and_title(spark, tmp_path):
+    """Each article that a question names is linked, also if others have its number and title: by its class, which has all of them."""
+    from legalspark.plans import graph_queries
+
+    parts = [(5, "Brand#3"), (155, "Brand#3"), (305, "Brand#6"), (455, "Brand#4"), (6, "Brand#3")]  # penal code: those of Brand#3 and 6
+    spark.createDataFrame([(k, "x", b, 1) for k, b in parts], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(5, 6, 3), (5, 6, 3), (155, 7, 6), (5, 6, 4), (9, 9, 2)]  # sections 5 and 6 of the penal code; 5 and 7 of it; 5 and 6 of electronic crimes
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = graph_queries.g12_anchor_articles(spark, str(tmp_path)).collect()
+    members = [(r["class_id"], r["id"]) for r in got if r["query_id"] is None]
+    links = sorted((r["query_id"], i, r["position"]) for r in got if r["id"] is None for c, i in members if c == r["class_id"])
+    assert sorted(members) == [(5, 5), (5, 155), (5, 305), (6, 6), (455, 455)]
+    assert links == [(5063, 5, 0), (5063, 6, 1), (5063, 155, 0), (5063, 305, 0), (5064, 455, 0), (155076, 5, 0), (155076, 155, 0), (155076, 305, 0)]
+    assert {r["score"] for r in got} == {1.0, None} and len(got) == 9
+
+
+def test_anchors_by_classes_are_those_one_by_one(spark):
+    """Titles with several fragments, numbers in other case, questions that share an id, questions without citations."""
+    titles = ["Penal Code", "THE PENAL CODE of the Constitution", "Constitution", "Electronic Crimes Act", None]
+    articles = spark.createDataFrame([(k, titles[k % 5], [str(k % 3), "9A", None][k % 7 % 3]) for k in range(60)], "id long, document_title string, article_number string")
+    asked = ["Sections 1 and 9a of the PPC, then section 1 of the Constitution", "Section 9A of the constitution and sections 2, 1 of the ppc", "none", None, "Section 0 of PECA"]
+    asked = spark.createDataFrame([(k % 11, asked[k % 5]) for k in range(40)], "query_id long, text string")
+    cited = graph.extract_query_citations(asked)
+    a = articles.withColumn("number", F.lower("article_number"))
+    plain = cited.join(a, "number").where(F.contains(F.lower("document_title"), F.col("fragment"))).groupBy("query_id", "id").agg(F.min("position").alias("position"))
+    wanted = rows(plain, "query_id", "id", "position")
+    assert len(wanted) > 100 and rows(graph.anchor_articles(cited, articles), "query_id", "id", "position") == wanted
+
+
 def test_advanced_links_of_many_provisions(spark):
     """A case may name more provisions than the reference's 25, and its text may be longer than 10 000 characters."""
     articles = spark.createDataFrame([(k, str(k)) for k in range(100, 130)], "id int, article_number string")
