@@ -170,8 +170,8 @@ def test_anchors_of_articles_that_share_number_and_title(spark, tmp_path):
     assert {r["score"] for r in got} == {1.0, None} and len(got) == 9
 
 
-def test_anchors_by_classes_are_those_one_by_one(spark):
-    """Titles with several fragments, numbers in other case, questions that share an id, questions without citations."""
+def test_anchors_by_classes_are_those_one_by_one(spark, monkeypatch):
+    """Titles with several fragments, numbers in other case, questions that share a text or an id, questions without citations."""
     titles = ["Penal Code", "THE PENAL CODE of the Constitution", "Constitution", "Electronic Crimes Act", None]
     articles = spark.createDataFrame([(k, titles[k % 5], [str(k % 3), "9A", None][k % 7 % 3]) for k in range(60)], "id long, document_title string, article_number string")
     asked = ["Sections 1 and 9a of the PPC, then section 1 of the Constitution", "Section 9A of the constitution and sections 2, 1 of the ppc", "none", None, "Section 0 of PECA"]
@@ -181,6 +181,11 @@ def test_anchors_by_classes_are_those_one_by_one(spark):
     plain = cited.join(a, "number").where(F.contains(F.lower("document_title"), F.col("fragment"))).groupBy("query_id", "id").agg(F.min("position").alias("position"))
     wanted = rows(plain, "query_id", "id", "position")
     assert len(wanted) > 100 and rows(graph.anchor_articles(cited, articles), "query_id", "id", "position") == wanted
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        anchors, members = graph.anchor_questions(asked, articles)
+        assert members.select("id").distinct().count() == members.count()
+        assert rows(anchors.join(members, "class_id"), "query_id", "id", "position") == wanted
 
 
 def test_advanced_links_of_many_provisions(spark):
