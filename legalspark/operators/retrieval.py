@@ -299,13 +299,18 @@ def prompt_context(ranked: DataFrame, n: int = 5) -> DataFrame:
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
-def draft_context(narratives: DataFrame, laws: DataFrame, cases: DataFrame) -> DataFrame:
-    """id, context: the narrative, then its first five laws and first four cases as lines."""
-    lines = lambda df, n, body: _rank(df, ["rank"], n, by="id", name="_n").select("id", "_n", body.alias("line"))
+def draft_context(narratives: DataFrame, laws: DataFrame, cases: DataFrame, strict: bool = False) -> DataFrame:
+    """id, context: the narrative, then its first five laws and first four cases as lines. Nulls are left out; with strict they are
+    so as in SQL: a line with a null is none, though it has its place, and without a narrative, laws or cases there is no context."""
+    words = (lambda *c: F.concat(*[x for k in c for x in (F.lit(" "), F.col(k))][1:])) if strict else (lambda *c: F.concat_ws(" ", *c))
+    lines = lambda df, n, body: _rank(df, ["rank"], n, by="id", name="_n").select("id", "_n", F.concat(F.lit("- "), body).alias("line"))
     joined = lambda df, name: df.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), "\n").alias(name))
-    a = joined(lines(laws, 5, F.concat(F.lit("- "), F.concat_ws(" ", "document", "article", "title"))), "laws")
-    b = joined(lines(cases, 4, F.concat(F.lit("- "), F.concat_ws(" ", "citation", "title"))), "cases")
-    return narratives.join(a, "id", "left").join(b, "id", "left").select("id", F.concat_ws("\n\n", "narrative", "laws", "cases").alias("context"))
+    a = joined(lines(laws, 5, words("document", "article", "title")), "laws")
+    b = joined(lines(cases, 4, words("citation", "title")), "cases")
+    met = narratives.join(a, "id", "left").join(b, "id", "left")
+    if strict:
+        return met.select("id", F.concat("narrative", F.lit("\n\n"), F.nullif("laws", F.lit("")), F.lit("\n\n"), F.nullif("cases", F.lit(""))).alias("context"))
+    return met.select("id", F.concat_ws("\n\n", "narrative", "laws", "cases").alias("context"))
 
 
 def analyse_narratives(narratives: DataFrame, retrieved: DataFrame) -> DataFrame:

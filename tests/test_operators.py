@@ -212,6 +212,18 @@ def test_drafts_order_equal_places_alike(spark, tmp_path):
     assert found == ["part\n\n- 5 0 A\n- 7 1 N\n- 8 1 A\n- 9 1 R\n\n- 0 F\n- 1 O\n- 1 F\n- 1 O"] * 2
 
 
+def test_drafts_have_nulls_as_in_sql(spark, tmp_path):
+    """Null order and line come last, a line with a null keeps its place but is not shown, and without a part there is no context."""
+    from legalspark.plans import graph_queries
+
+    lines = [(1, 3, None, 7, "N", "O"), (1, 3, 2, 8, "A", "F"), (1, None, 1, 9, "R", "O"), (1, 2, 1, None, "R", "F"), (2, 1, 1, 5, "A", "F"), (3, 1, 1, None, "A", "F"), (4, 1, 1, 5, "A", None)]
+    lines += [(5, k, 1, 5 if k > 1 else None, "A", "F") for k in range(7)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "d"), (5, "e"), (6, "f")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["id"]: r["context"] for r in graph_queries.q14_draft_context(spark, str(tmp_path)).collect()}
+    assert got == {1: "a\n\n- 8 3 A\n- 7 3 N\n\n- 2 F\n- 3 F\n- 3 O", 2: None, 3: None, 4: None, 5: "e\n\n- 5 2 A\n- 5 3 A\n- 5 4 A\n\n- 0 F\n- 1 F\n- 2 F\n- 3 F"}
+
+
 # --- vectors and retrieval ---
 
 
